@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from cueweave.functions.naming import let
+
 # Field separator and tags of the optional fields.
 SEPARATOR = "\x1f"
 VAD_TAG = "vad:j2"
@@ -13,30 +15,41 @@ NO_SPEECH_TAG = "no_speech_thold"
 ENTROPY_TAG = "entropy_thold"
 
 
-def float_bits_le(c: Column) -> Column:
-    """IEEE-754 single-precision bits, little endian, as BINARY.
+def _magnitude_bits(x: Column) -> Column:
+    """Bits of a non-negative single-precision value held in a double."""
 
-    Spark has no float-to-bits function; the exponent and the mantissa are
-    recovered by exact arithmetic in double precision.
-    """
-    x = F.abs(c.cast("float").cast("double"))
-    guess = F.floor(F.log2(x))
-    scaled = x / F.pow(F.lit(2.0), guess)
-    # log2 may be one off next to a power of two.
-    exponent = guess + F.when(scaled >= 2.0, 1).when(scaled < 1.0, -1).otherwise(0)
-    normal = (exponent + 127) * F.lit(1 << 23) + (x / F.pow(F.lit(2.0), exponent) - 1.0) * float(1 << 23)
-    magnitude = (
+    def normal(exponent: Column) -> Column:
+        fraction = x / F.pow(F.lit(2.0), exponent) - 1.0
+        return (exponent + 127) * F.lit(1 << 23) + fraction * float(1 << 23)
+
+    def exact(guess: Column) -> Column:
+        # log2 may be one off next to a power of two.
+        scaled = x / F.pow(F.lit(2.0), guess)
+        return guess + F.when(scaled >= 2.0, 1).when(scaled < 1.0, -1).otherwise(0)
+
+    return (
         F.when(F.isnan(x), F.lit(0x7FC00000))
         .when(x == F.lit(float("inf")), F.lit(0x7F800000))
         .when(x == 0.0, F.lit(0))
         .when(x < F.lit(2.0**-126), x * F.lit(2.0**149))
-        .otherwise(normal)
+        .otherwise(let(let(F.floor(F.log2(x)), exact), normal))
         .cast("bigint")
     )
-    negative = F.substring(c.cast("float").cast("string"), 1, 1) == "-"
-    bits = magnitude + F.when(negative, F.lit(1 << 31).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
-    big = F.lpad(F.hex(bits), 8, "0")
-    return F.unhex(F.concat(*[F.substring(big, i, 2) for i in (7, 5, 3, 1)]))
+
+
+def float_bits_le(c: Column) -> Column:
+    """IEEE-754 single-precision bits, little endian, as BINARY.
+
+    Spark has no float-to-bits function; the exponent and the mantissa are
+    recovered by exact arithmetic in double precision.
+    """
+    single = c.cast("float")
+    sign = F.when(F.startswith(single.cast("string"), F.lit("-")), F.lit(1 << 31)).otherwise(F.lit(0))
+    bits = let(F.abs(single.cast("double")), _magnitude_bits) + sign.cast("bigint")
+    return let(
+        F.lpad(F.hex(bits), 8, "0"),
+        lambda h: F.unhex(F.concat(*[F.substring(h, i, 2) for i in (7, 5, 3, 1)])),
+    )
 
 
 def _utf8(c: Column | str) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from cueweave.functions.naming import let
 from cueweave.functions.text import trim_ws
 
 # Accepted hosts, the host whose first path segment is the id,
@@ -46,29 +47,42 @@ def canonical_url(
     prefix: str = CANONICAL_PREFIX,
 ) -> Column:
     """struct(video_id, had_playlist, canonical_url, error_code)."""
-    url = _tidy(raw)
-    part = lambda name: F.try_parse_url(url, F.lit(name))
-    host = F.lower(part("HOST"))
-    pairs = _query_pairs(url)
-    segments = F.filter(F.split(F.coalesce(part("PATH"), F.lit("")), "/"), lambda s: s != "")
-    segment = lambda i: F.get(segments, F.lit(i))
 
-    watched = F.get(F.filter(pairs, lambda p: p["key"] == "v"), F.lit(0))["value"]
-    candidate = (
-        F.when(host == short_host, segment(0))
-        .when((F.size(segments) == 1) & (segment(0) == "watch"), watched)
-        .when(segment(0).isin(*ID_KINDS), segment(1))
-    )
-    accepted = (
-        (F.lower(part("PROTOCOL")) == "https")
-        & host.isin(*hosts)
-        & (F.coalesce(part("USERINFO"), F.lit("")) == "")
-        & candidate.rlike(ID_PATTERN)
-    )
-    ok = F.coalesce(accepted, F.lit(False))
-    return F.struct(
-        F.when(ok, candidate).alias("video_id"),
-        F.when(ok, F.exists(pairs, lambda p: p["key"] == "list")).alias("had_playlist"),
-        F.when(ok, F.concat(F.lit(prefix), candidate)).alias("canonical_url"),
-        F.when(~ok, F.lit(INVALID_URL)).alias("error_code"),
-    )
+    def take_apart(url: Column) -> Column:
+        part = lambda name: F.try_parse_url(url, F.lit(name))
+        path = F.split(F.coalesce(part("PATH"), F.lit("")), "/")
+        return F.struct(
+            F.lower(part("PROTOCOL")).alias("scheme"),
+            F.lower(part("HOST")).alias("host"),
+            F.coalesce(part("USERINFO"), F.lit("")).alias("user"),
+            _query_pairs(url).alias("pairs"),
+            F.filter(path, lambda s: s != "").alias("segments"),
+        )
+
+    def candidate(u: Column) -> Column:
+        segment = lambda i: F.get(u["segments"], F.lit(i))
+        watched = F.get(F.filter(u["pairs"], lambda p: p["key"] == "v"), F.lit(0))["value"]
+        return (
+            F.when(u["host"] == short_host, segment(0))
+            .when((F.size(u["segments"]) == 1) & (segment(0) == "watch"), watched)
+            .when(segment(0).isin(*ID_KINDS), segment(1))
+        )
+
+    def verdict(u: Column, found: Column) -> Column:
+        accepted = (
+            (u["scheme"] == "https") & u["host"].isin(*hosts) & (u["user"] == "") & found.rlike(ID_PATTERN)
+        )
+        listed = F.exists(u["pairs"], lambda p: p["key"] == "list")
+        return let(
+            F.coalesce(accepted, F.lit(False)),
+            lambda ok: F.struct(
+                F.when(ok, found).alias("video_id"),
+                F.when(ok, listed).alias("had_playlist"),
+                F.when(ok, F.concat(F.lit(prefix), found)).alias("canonical_url"),
+                F.when(~ok, F.lit(INVALID_URL)).alias("error_code"),
+            ),
+        )
+
+    return let(_tidy(raw), lambda url: let(
+        take_apart(url), lambda u: let(candidate(u), lambda found: verdict(u, found))
+    ))

@@ -117,14 +117,18 @@ def lookup_join(
     how: str = "left",
     hot_rows: int = HOT_ROWS,
     salts: int = 64,
+    count_in: DataFrame | None = None,
 ) -> DataFrame:
     """Equi-join with a table that has few rows per key, safe for hot left keys.
 
     Rows of a hot key are spread over `salts` partitions and only the matching
     right rows are copied that often; all other keys join as usual. Spark still
     broadcasts the right side by itself when its measured size allows it.
+    `spread_by` names columns that tell the rows of a key apart. Hot keys are
+    counted in `count_in` (default: `left`), which should be cheap to compute
+    and may count a key too often, never too rarely.
     """
-    hot = hot_keys(left, keys, hot_rows)
+    hot = hot_keys(left if count_in is None else count_in, keys, hot_rows)
     salted_left = (
         left.join(F.broadcast(hot), keys, "left")
         .withColumn(

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cueweave.functions.naming import let
 from cueweave.functions.text import strip_tags, trim_ws
 from cueweave.functions.timecode import parse_cue_timing, to_ms
 
@@ -18,15 +17,6 @@ _CHUNK = 512
 _CUE = "struct<start:double,end:double,lines:array<string>>"
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """Evaluate `value` once per row and hand it to `use`.
-
-    Inside lambdas Spark shares no common subexpressions; a lambda variable is
-    the way to name an intermediate result.
-    """
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def caption_cues(text: Column) -> Column:
     """File text → array<struct<start, end, lines>> of raw cues.
 

@@ -66,14 +66,19 @@ def progress_highwater(events: DataFrame) -> DataFrame:
 
 
 def coalesce_events(
-    messages: DataFrame, keys: list[str], block_events: int = BLOCK_EVENTS, hot_rows: int = HOT_ROWS
+    messages: DataFrame,
+    keys: list[str],
+    opened_by: str = "seq",
+    block_events: int = BLOCK_EVENTS,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Merge adjacent messages of each batch (`keys`), in `seq` order.
 
     Neighbours with the same type and item merge when they are progress,
     downloads or segments: of progress and downloads the last row stays; the
-    segments of one message stay as rows. Adds `message_seq` (sequence number
-    that opened the message), so a message is the group of rows sharing it.
+    segments of one message stay as rows. Adds `message_seq` (the number,
+    `opened_by`, of the row that opened the message), so a message is the group
+    of rows sharing it.
     """
     label = F.when(
         F.col("type").isin(*MERGED_TYPES),
@@ -90,7 +95,7 @@ def coalesce_events(
     following = F.coalesce(F.lead("_label").over(ordered), F.col("_after"))
     flagged = placed.select(
         *messages.columns, BLOCK,
-        F.when(previous.isNull() | (previous != F.col("_label")), F.col("seq")).alias("_opened"),
+        F.when(previous.isNull() | (previous != F.col("_label")), F.col(opened_by)).alias("_opened"),
         F.coalesce(following == F.col("_label"), F.lit(False)).alias("_superseded"),
     )
     numbered = block_scan(

@@ -14,6 +14,7 @@ from cueweave.functions.catalogue import (
     VAD_MODEL, model_file, model_id, translate_supported,
 )
 from cueweave.functions.digest import config_digest
+from cueweave.functions.naming import let
 from cueweave.functions.text import lang_primary, normalise_lang, normalise_prompt
 from cueweave.functions.timecode import duration_min
 from cueweave.functions.urls import canonical_url
@@ -55,17 +56,26 @@ def captions_or_none(tracks: Column) -> Column:
 
 
 def _track_in(tracks: Column, wanted: Column, auto: bool) -> Column:
-    keys = F.array_sort(F.map_keys(captions_or_none(tracks)))
-    matching = F.filter(keys, lambda k: (k == wanted) | (lang_primary(k) == wanted))
-    lang = F.when(wanted.isNotNull(), F.get(matching, F.lit(0))).when(
-        F.size(keys) == 1, F.get(keys, F.lit(0))
-    )
-    listed = F.try_element_at(captions_or_none(tracks), lang)
-    vtt = F.filter(listed, lambda t: t["ext"] == "vtt")
-    chosen = F.coalesce(F.get(vtt, F.lit(0)), F.get(listed, F.lit(0)))
-    return F.when(
-        chosen["url"].isNotNull(),
-        F.struct(lang.alias("lang"), F.lit(auto).alias("auto"), chosen["url"].alias("url")),
+    def language(keys: Column) -> Column:
+        matching = F.filter(keys, lambda k: (k == wanted) | (lang_primary(k) == wanted))
+        only = F.when(F.size(keys) == 1, F.get(keys, F.lit(0)))
+        return F.when(wanted.isNotNull(), F.get(matching, F.lit(0))).otherwise(only)
+
+    def first_form(listed: Column) -> Column:
+        vtt = F.filter(listed, lambda t: t["ext"] == "vtt")
+        return F.coalesce(F.get(vtt, F.lit(0)), F.get(listed, F.lit(0)))
+
+    def track(m: Column, lang: Column) -> Column:
+        return let(
+            let(F.try_element_at(m, lang), first_form)["url"],
+            lambda url: F.when(
+                url.isNotNull(), F.struct(lang.alias("lang"), F.lit(auto).alias("auto"), url.alias("url"))
+            ),
+        )
+
+    return let(
+        captions_or_none(tracks),
+        lambda m: let(let(F.array_sort(F.map_keys(m)), language), lambda lang: track(m, lang)),
     )
 
 
@@ -135,26 +145,31 @@ def admit_requests(rows: DataFrame) -> DataFrame:
 
 
 def with_digest(requests: DataFrame) -> DataFrame:
-    """Requests with cleaned URL, model and digest: the columns the planning needs."""
-    cleaned = requests.withColumn("_u", canonical_url(F.col("url"))).withColumn(
-        "model_id", model_id(F.col("model"), F.col("model_path"))
-    )
-    early = (
-        F.when(F.col("_u.error_code").isNotNull(), F.col("_u.error_code"))
-        .when(F.col("model_id").isNull(), 30)
-        .when(~translate_supported(F.col("model_id"), F.col("translate")), 40)
-    )
-    digest = config_digest(
-        F.col("video_id"), F.col("model_id"), F.col("lang"), F.col("translate"), F.col("vad"),
-        F.col("word_timestamps"), F.col("initial_prompt"), F.col("no_speech_thold"), F.col("entropy_thold"),
-    )
-    return (
-        cleaned.withColumn("video_id", F.col("_u.video_id"))
-        .withColumn("had_playlist", F.col("_u.had_playlist"))
-        .withColumn("early_code", early)
-        .withColumn("digest", F.when(F.col("early_code").isNull(), digest))
-        .drop("_u")
+    """Requests with cleaned URL, model and digest: the columns the planning needs.
+
+    early_code is 10, 30 or 40 where no digest can or need be made.
+    """
+
+    def checked(u: Column, model: Column) -> Column:
+        code = (
+            F.when(u["error_code"].isNotNull(), u["error_code"])
+            .when(model.isNull(), 30)
+            .when(~translate_supported(model, F.col("translate")), 40)
+        )
+        made = config_digest(
+            u["video_id"], model, F.col("lang"), F.col("translate"), F.col("vad"), F.col("word_timestamps"),
+            F.col("initial_prompt"), F.col("no_speech_thold"), F.col("entropy_thold"),
+        )
+        return let(code, lambda c: F.struct(
+            u["video_id"].alias("video_id"), u["had_playlist"].alias("had_playlist"), model.alias("model_id"),
+            c.alias("early_code"), F.when(c.isNull(), made).alias("digest"),
+        ))
+
+    facts = let(
+        canonical_url(F.col("url")),
+        lambda u: let(model_id(F.col("model"), F.col("model_path")), lambda m: checked(u, m)),
     )
+    return requests.withColumn("_k", facts).select(*requests.columns, "_k.*")
 
 
 def plan_requests(
@@ -172,7 +187,7 @@ def plan_requests(
     looked_up = lookup_join(
         keyed.withColumn("_d", F.when(F.col("use_cache") & F.col("digest").isNotNull(), F.col("digest")).otherwise(lone)),
         stored.select(F.col("digest").alias("_d"), F.lit(True).alias("_hit")),
-        ["_d"], ["request_id"],
+        ["_d"], ["request_id"], count_in=keyed.select(F.col("digest").alias("_d")),
     )
     undecided = F.col("early_code").isNull() & F.col("_hit").isNull()
     facts = probes.select(
@@ -181,7 +196,7 @@ def plan_requests(
     )
     full = lookup_join(
         looked_up.withColumn("_v", F.when(undecided, F.col("video_id")).otherwise(lone)),
-        facts, ["_v"], ["request_id"],
+        facts, ["_v"], ["request_id"], count_in=keyed.select(F.col("video_id").alias("_v")),
     )
     prefer = F.col("prefer_subs")
     file = F.when(F.col("model_path").isNotNull(), F.col("model_path")).otherwise(model_file(F.col("model")))

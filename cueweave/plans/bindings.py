@@ -10,10 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cueweave.functions.catalogue import MODELS
+from cueweave.functions.naming import let
 from cueweave.functions.text import collapse_ws
 from cueweave.functions.timecode import format_timestamp, int_div
 from cueweave.operators.blocks import BLOCK, block_of, block_scan, in_block
-from cueweave.operators.captions import let
 from cueweave.operators.planning import with_digest, with_request_defaults
 from cueweave.sources.readers import parse_probe_json
 from cueweave.streaming.status import watch_state

@@ -622,7 +622,7 @@ def error_summary(evts: DataFrame) -> DataFrame:
 
 @query("documents")
 def pcm_summary(docs: DataFrame) -> DataFrame:
-    return audio.pcm_summary(b.chunks(docs)).withColumn("duration_s", r6("duration_s"))
+    return audio.pcm_summary(b.chunks(docs)).withColumn("duration_s", F.round("duration_s", 7))
 
 
 # --- windows -----------------------------------------------------------------
@@ -788,7 +788,7 @@ def stream_segments(spark: SparkSession, folder: str) -> DataFrame:
     found = b.scored(runner.table_stream(spark, folder, "documents"))
     seq = F.col("media_id") * 1_000_000 + F.col("segment_id")
     provisional = F.struct(F.lit(False).alias("final"), seq.alias("seq"), F.col("text").alias("text"), F.lit(None).cast("double").alias("probability"))
-    final = F.struct(F.lit(True).alias("final"), (seq + 1).alias("seq"), F.upper("text").alias("text"), F.col("no_speech_prob").alias("probability"))
+    final = F.struct(F.lit(True).alias("final"), (seq + 1).alias("seq"), F.concat(F.lit("= "), "text").alias("text"), F.col("no_speech_prob").alias("probability"))
     both = F.when(F.col("segment_id") % 5 == 4, F.array(provisional)).otherwise(F.array(provisional, final))
     return status.supersede(runner.drain(found.select("media_id", "segment_id", F.inline(both)), "segments"))
 
@@ -808,3 +808,6 @@ def stream_watch(spark: SparkSession, folder: str) -> DataFrame:
 @query("events")
 def watch_incidents(evts: DataFrame) -> DataFrame:
     return status.incidents(status.watch_actions(status.daily_outcomes(b.watch_runs(evts))))
+
+
+QUERIES["render"] = QUERIES.pop("render_formats")

@@ -120,9 +120,10 @@ def settled(written: DataFrame) -> DataFrame:
     """Read view over merged micro-batches.
 
     Merging again closes windows that two micro-batches shared; it changes
-    nothing elsewhere.
+    nothing elsewhere, and messages keep the number that opened them.
     """
-    return coalesce_events(written.drop("batch", "message_seq"), ["task_id", "batch_ms"])
+    again = written.drop("batch").withColumnRenamed("message_seq", "_opened_seq")
+    return coalesce_events(again, ["task_id", "batch_ms"], "_opened_seq").drop("_opened_seq")
 
 
 def stream_daily_check(checks: DataFrame, interval_ms: int = CHECK_INTERVAL_MS) -> DataFrame:
