@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from cueweave.functions.timecode import SAMPLE_RATE, int_div
 from cueweave.operators.blocks import BLOCK, block_of, block_scan, in_block
@@ -16,7 +17,7 @@ BLOCK_CHUNKS = 65_536
 EMPTY_STREAM = 20
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(ArrayType(FloatType()))
 def _s16le(data: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for column in data:
         yield column.map(lambda b: np.frombuffer(b, dtype="<i2").astype(np.float32) / np.float32(32768))

@@ -154,7 +154,7 @@ def model_catalogue(pages: DataFrame) -> DataFrame:
     asked = b.requests(pages).groupBy(catalogue.resolve_any_alias(F.col("model")).alias("alias")).agg(
         F.count(F.lit(1)).alias("_n")
     )
-    return models.join(F.broadcast(asked), "alias", "left").select(
+    return models.join(asked, "alias", "left").select(
         "alias", "file", "repo", "revision", "sha256", "size", F.coalesce("_n", F.lit(0)).alias("requests")
     )
 

@@ -48,7 +48,7 @@ def read_probe_json(spark: SparkSession, path: str) -> DataFrame:
 
 def read_caption_files(spark: SparkSession, path: str) -> DataFrame:
     """(file, text): one caption file per row."""
-    return spark.read.option("wholetext", True).text(path).select(
+    return spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("file"), F.col("value").alias("text")
     )
 
