@@ -5,9 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# (?U) makes \s the Unicode White_Space property; plain \s is ASCII only.
-_WS = r"(?U)\s+"
-_WS_EDGES = r"(?U)^\s+|\s+\z"
+# (?U) makes \s the Unicode White_Space property; plain \s is ASCII only. Single
+# plain spaces, the common case, are left alone.
+_WS_RUN = r"(?U)\s{2,}|[^\S ]"
+
+# The characters with that property.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 
 # Entities a caption file escapes, in the order they are undone.
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&amp;", "&"))
@@ -15,12 +21,12 @@ ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&amp;", "&"))
 
 def trim_ws(c: Column) -> Column:
     """Trim any Unicode whitespace (`trim` alone only removes U+0020)."""
-    return F.regexp_replace(c, _WS_EDGES, "")
+    return F.btrim(c, F.lit(WHITE_SPACE))
 
 
 def collapse_ws(c: Column) -> Column:
     """Every run of whitespace becomes one space; both ends trimmed."""
-    return F.btrim(F.regexp_replace(c, _WS, " "))
+    return F.btrim(F.regexp_replace(c, _WS_RUN, " "))
 
 
 def strip_tags(c: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from cueweave.functions.naming import let
 from cueweave.functions.text import trim_ws
 
 # Sampling rate, samples per centisecond, silence kept between
@@ -28,23 +29,25 @@ def _number(c: Column) -> Column:
 
 def parse_timestamp(c: Column) -> Column:
     """`H:M:S.mmm` or `M:S.mmm`, decimal comma tolerated → seconds, else null."""
-    parts = F.split(F.replace(trim_ws(c), F.lit(","), F.lit(".")), ":")
-    part = lambda i: _number(F.get(parts, F.lit(i)))
-    return F.when(
-        F.size(parts) == 3, part(0) * 3600.0 + part(1) * 60.0 + part(2)
-    ).when(F.size(parts) == 2, part(0) * 60.0 + part(1))
+
+    def seconds(parts: Column) -> Column:
+        part = lambda i: _number(F.get(parts, F.lit(i)))
+        return F.when(
+            F.size(parts) == 3, part(0) * 3600.0 + part(1) * 60.0 + part(2)
+        ).when(F.size(parts) == 2, part(0) * 60.0 + part(1))
+
+    return let(F.split(F.replace(trim_ws(c), F.lit(","), F.lit(".")), ":"), seconds)
 
 
 def parse_cue_timing(line: Column) -> Column:
     """`a --> b settings` → struct(start, end) in seconds; null when not a timing line."""
-    left = F.substring_index(line, "-->", 1)
     right = trim_ws(F.regexp_extract(line, r"(?s)^.*?-->(.*)\z", 1))
-    end = F.regexp_extract(right, r"(?U)^(\S+)", 1)
-    start_s, end_s = parse_timestamp(left), parse_timestamp(end)
-    return F.when(
-        F.contains(line, F.lit("-->")) & start_s.isNotNull() & end_s.isNotNull(),
-        F.struct(start_s.alias("start"), end_s.alias("end")),
+    both = F.struct(
+        parse_timestamp(F.substring_index(line, "-->", 1)).alias("start"),
+        parse_timestamp(F.regexp_extract(right, r"(?U)^(\S+)", 1)).alias("end"),
     )
+    valid = let(both, lambda t: F.when(t["start"].isNotNull() & t["end"].isNotNull(), t))
+    return F.when(F.contains(line, F.lit("-->")), valid)
 
 
 def to_ms(seconds: Column) -> Column:

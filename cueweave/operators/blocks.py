@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = "_block"
+MULTI = "_multi"
 
 # Rows of one key beyond which its position axis is cut into blocks, where the
 # axis is sparse. At most total / HOT_ROWS keys can be hot: 250,000 keys, a few
@@ -41,7 +42,8 @@ def block_scan(
     """`rows` plus context columns computed on one summary row per block.
 
     `rows` carries a `_block` column; `summary` aggregates a block; `context`
-    maps (blocks in order, blocks strictly before) to columns.
+    maps (blocks in order, blocks strictly before) to columns. `_multi` is
+    added too: has the key more than one block?
     """
     # The join below drops null keys anyway; dropping them up front gives both
     # branches the same input, so Spark can reuse an exchange beneath them.
@@ -51,6 +53,8 @@ def block_scan(
     order = Window.partitionBy(*keys).orderBy(BLOCK)
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     columns = [c.alias(name) for name, c in context(order, before).items()]
+    columns.append((F.count(F.lit(1)).over(Window.partitionBy(*keys)) > 1).alias(MULTI))
+    rows = rows.drop(MULTI)
     return rows.join(per_block.select(*keys, BLOCK, *columns), [*keys, BLOCK])
 
 
@@ -87,16 +91,22 @@ def sparse_block(
 
 
 def stitch(
-    pieces: DataFrame, keys: list[str], merge: list[Column], columns: list[str]
+    rows: DataFrame,
+    keys: list[str],
+    cut: Callable[[DataFrame], DataFrame],
+    merge: list[Column],
+    columns: list[str],
 ) -> DataFrame:
-    """Join runs that were cut at block borders.
+    """Find runs inside blocks and join those that block borders cut.
 
-    `pieces` has one row per (keys, _block, _no): number 0 continues the last
-    run of an earlier block. Only the first and the last piece of a block can
-    belong to a longer run, so at most two rows per block are regrouped.
+    `cut` turns rows into pieces, one per (keys, _block, _no), where number 0
+    continues the last run of an earlier block. Keys of one block, nearly all,
+    are done with that. Of the others only the first and the last piece of a
+    block can belong to a longer run: at most two rows per block are regrouped.
     """
+    whole = cut(rows.where(~F.col(MULTI))).select(*keys, *columns)
     last = F.max("_no").over(Window.partitionBy(*keys, BLOCK))
-    marked = pieces.withColumn("_edge", (F.col("_no") == 0) | (F.col("_no") == last))
+    marked = cut(rows.where(MULTI)).withColumn("_edge", (F.col("_no") == 0) | (F.col("_no") == last))
     inner = marked.where(~F.col("_edge")).select(*keys, *columns)
     runs = Window.partitionBy(*keys).orderBy(BLOCK, "_no").rowsBetween(Window.unboundedPreceding, 0)
     edges = (
@@ -106,7 +116,7 @@ def stitch(
         .agg(*merge)
         .select(*keys, *columns)
     )
-    return inner.unionByName(edges)
+    return whole.unionByName(inner).unionByName(edges)
 
 
 def lookup_join(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cueweave.functions.text import collapse_ws, wrap_lines
 from cueweave.functions.timecode import half_up, int_div
-from cueweave.operators.blocks import BLOCK, block_of, block_scan, in_block
+from cueweave.operators.blocks import BLOCK, MULTI, block_of, block_scan, in_block
 
 BLOCK_SEGMENTS = 65_536
 
@@ -122,5 +122,5 @@ def clamp_cue_durations(
     return (
         placed.withColumn("_next", next_start)
         .withColumn("end_ms", clamp_end(F.col("start_ms"), F.col("end_ms"), F.col("_next"), options))
-        .drop("_next", "_next_block_start", BLOCK)
+        .drop("_next", "_next_block_start", MULTI, BLOCK)
     )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cueweave.functions.text import words_of
-from cueweave.operators.blocks import BLOCK, block_of, block_scan, in_block, stitch
+from cueweave.operators.blocks import BLOCK, MULTI, block_of, block_scan, in_block, stitch
 
 # Verdict thresholds.
 MIN_COVERAGE_CAPTIONS = 0.9
@@ -79,21 +79,24 @@ def text_runs(segments: DataFrame, block_segments: int = BLOCK_SEGMENTS) -> Data
     )
     ordered, _ = in_block(keys, "segment_id")
     previous = F.coalesce(F.lag("text").over(ordered), F.col("_previous"))
-    opened = placed.withColumn("_opens", F.coalesce(F.col("text") != previous, F.lit(True)))
-    pieces = (
-        opened.withColumn("_no", F.sum(F.col("_opens").cast("bigint")).over(ordered))
-        .groupBy(*keys, BLOCK, "_no")
-        .agg(
-            F.first("text").alias("text"),
-            F.count(F.lit(1)).alias("n"),
-            F.min("segment_id").alias("first_segment"),
-            F.max("segment_id").alias("last_segment"),
-            F.min_by("start_ms", "segment_id").alias("start_ms"),
-            F.max_by("end_ms", "segment_id").alias("end_ms"),
+
+    def cut(rows: DataFrame) -> DataFrame:
+        return (
+            rows.withColumn("_opens", F.coalesce(F.col("text") != previous, F.lit(True)))
+            .withColumn("_no", F.sum(F.col("_opens").cast("bigint")).over(ordered))
+            .groupBy(*keys, BLOCK, "_no")
+            .agg(
+                F.first("text").alias("text"),
+                F.count(F.lit(1)).alias("n"),
+                F.min("segment_id").alias("first_segment"),
+                F.max("segment_id").alias("last_segment"),
+                F.min_by("start_ms", "segment_id").alias("start_ms"),
+                F.max_by("end_ms", "segment_id").alias("end_ms"),
+            )
         )
-    )
+
     return stitch(
-        pieces, keys,
+        placed, keys, cut,
         [
             F.first("text").alias("text"),
             F.sum("n").alias("n"),
@@ -124,7 +127,7 @@ def with_previous_start(segments: DataFrame, block_segments: int = BLOCK_SEGMENT
     ordered, _ = in_block(["media_id"], "segment_id")
     return placed.withColumn(
         "previous_start_ms", F.coalesce(F.lag("start_ms").over(ordered), F.col("_previous"))
-    ).drop("_previous", BLOCK)
+    ).drop("_previous", MULTI, BLOCK)
 
 
 def order_faults() -> Column:
