@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cueweave.functions.text import words_of
-from cueweave.operators.blocks import BLOCK, MULTI, block_of, block_scan, in_block, stitch
+from cueweave.operators.blocks import BLOCK, MULTI, block_of, block_scan, in_block, lookup_join, stitch
 
 # Verdict thresholds.
 MIN_COVERAGE_CAPTIONS = 0.9
@@ -141,13 +141,18 @@ def order_faults() -> Column:
     )
 
 
+def _with_duration(segments: DataFrame, media: DataFrame, block_segments: int) -> DataFrame:
+    """Segments with previous_start_ms and the duration of their media."""
+    return lookup_join(
+        with_previous_start(segments, block_segments), media.select("media_id", "duration_ms"),
+        ["media_id"], ["segment_id"], count_in=segments,
+    )
+
+
 def monotonic_check(segments: DataFrame, media: DataFrame, block_segments: int = BLOCK_SEGMENTS) -> DataFrame:
     """Segments out of order: (media_id, segment_id, start_ms, end_ms, faults)."""
     return (
-        with_previous_start(
-            segments.select("media_id", "segment_id", "start_ms", "end_ms"), block_segments
-        )
-        .join(media.select("media_id", "duration_ms"), "media_id", "left")
+        _with_duration(segments.select("media_id", "segment_id", "start_ms", "end_ms"), media, block_segments)
         .select("media_id", "segment_id", "start_ms", "end_ms", order_faults().alias("faults"))
         .where(F.col("faults") != "")
     )
@@ -159,9 +164,15 @@ def vocabulary(texts: DataFrame) -> DataFrame:
 
 
 def vocab_intersect(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(left_id, right_id, word) both media of a pair use."""
+    """(left_id, right_id, word) both media of a pair use.
+
+    Only the given pairs are compared; a media met in very many of them is
+    spread by its partners.
+    """
     vocab = vocabulary(texts)
-    left = pairs.join(vocab.withColumnRenamed("media_id", "left_id"), "left_id")
+    left = lookup_join(
+        pairs, vocab.withColumnRenamed("media_id", "left_id"), ["left_id"], ["right_id"], how="inner"
+    )
     return left.join(vocab.withColumnRenamed("media_id", "right_id"), ["right_id", "word"]).select(
         "left_id", "right_id", "word"
     )
@@ -177,10 +188,12 @@ def vocab_overlap(pairs: DataFrame, texts: DataFrame, minimum: float = MIN_OVERL
     shared = vocab_intersect(pairs, texts).groupBy("left_id", "right_id").agg(F.count(F.lit(1)).alias("_shared"))
     n = lambda c: F.coalesce(F.col(c), F.lit(0).cast("bigint"))
     overlap = F.col("shared") / F.greatest(F.least("left_words", "right_words"), F.lit(1))
+    left_sizes = sizes.select(F.col("media_id").alias("left_id"), F.col("_n").alias("_l"))
+    right_sizes = sizes.select(F.col("media_id").alias("right_id"), F.col("_n").alias("_r"))
+    sized = lookup_join(pairs, left_sizes, ["left_id"], ["right_id"])
+    sized = lookup_join(sized, right_sizes, ["right_id"], ["left_id"], count_in=pairs)
     return (
-        pairs.join(shared, ["left_id", "right_id"], "left")
-        .join(sizes.select(F.col("media_id").alias("left_id"), F.col("_n").alias("_l")), "left_id", "left")
-        .join(sizes.select(F.col("media_id").alias("right_id"), F.col("_n").alias("_r")), "right_id", "left")
+        sized.join(shared, ["left_id", "right_id"], "left")
         .select("left_id", "right_id", n("_l").alias("left_words"), n("_r").alias("right_words"), n("_shared").alias("shared"))
         .withColumn("overlap", overlap)
         .withColumn("agrees", F.col("overlap") > minimum)
@@ -230,10 +243,8 @@ def quality_report(
 
     `media`: media_id, duration_ms, language (declared), detected.
     """
-    checked = with_previous_start(segments, block_segments).join(
-        media.select("media_id", "duration_ms"), "media_id", "left"
-    )
-    per_media = checked.groupBy("media_id").agg(
+    times = segments.select("media_id", "segment_id", "start_ms", "end_ms")
+    per_media = _with_duration(times, media, block_segments).groupBy("media_id").agg(
         F.count(F.lit(1)).alias("segments"),
         F.max_by("end_ms", "segment_id").alias("covered_ms"),
         F.count_if(F.col("end_ms") - F.col("start_ms") < SHORT_CUE_MS).alias("short_cues"),

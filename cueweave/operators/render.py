@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cueweave.functions.text import collapse_ws, vtt_escape
 from cueweave.functions.timecode import format_timestamp
-from cueweave.operators.blocks import BLOCK, block_of, block_scan
+from cueweave.operators.blocks import BLOCK, block_of, block_scan, lookup_join
 from cueweave.operators.cues import CueOptions, build_cues, drop_empty_segments
 
 PART_ROWS = 65_536
@@ -133,15 +133,19 @@ def render_json(documents: DataFrame, segments: DataFrame, part_rows: int = PART
         F.lit(f'{{"schema_version":{SCHEMA_VERSION},"source":'), F.to_json("source"),
         F.lit(',"transcription":'), F.to_json("run"), F.lit(',"segments":['),
     )
+    # Only opening parts need the head, so a media's many other parts are not
+    # joined at all; a document without segments is a head of its own.
     heads = documents.select("media_id", head.alias("_head"))
-    return heads.join(parts, "media_id", "left").select(
+    opening = heads.join(parts.where("_opening"), "media_id", "left")
+    others = parts.where(~F.col("_opening"))
+    close = F.when(F.coalesce(F.col("_closing"), F.lit(True)), "\n]}\n").otherwise("")
+    known = lookup_join(others, heads.select("media_id"), ["media_id"], [BLOCK], how="left_semi")
+    return opening.select(
         "media_id",
         F.coalesce(F.col(BLOCK), F.lit(0).cast("bigint")).alias("part"),
-        F.concat(
-            F.when(F.coalesce(F.col("_opening"), F.lit(True)), F.concat(F.col("_head"), F.lit("\n"))).otherwise(",\n"),
-            F.coalesce(F.col("_b"), F.lit("")),
-            F.when(F.coalesce(F.col("_closing"), F.lit(True)), "\n]}\n").otherwise(""),
-        ).alias("content"),
+        F.concat("_head", F.lit("\n"), F.coalesce(F.col("_b"), F.lit("")), close).alias("content"),
+    ).unionByName(
+        known.select("media_id", F.col(BLOCK).alias("part"), F.concat(F.lit(",\n"), "_b", close).alias("content"))
     )
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cueweave.functions.text import safe_filename
+from cueweave.operators.blocks import lookup_join
 
 
 class OutputRefused(Exception):
@@ -38,7 +39,8 @@ def check_target(spark: SparkSession, path: str, overwrite: bool = False) -> Non
 
 def document_rows(rendered: DataFrame, media: DataFrame) -> DataFrame:
     """(media_id, format, filename, part, content); `media`: media_id, title."""
-    return rendered.join(media.select("media_id", "title"), "media_id").select(
+    titled = lookup_join(rendered, media.select("media_id", "title"), ["media_id"], ["part"], how="inner")
+    return titled.select(
         "media_id", "format", safe_filename(F.col("title"), F.col("format")).alias("filename"), "part", "content"
     )
 
