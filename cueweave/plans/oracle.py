@@ -582,4 +582,20 @@ _BODIES: dict[str, str] = {
 }
 _BODIES["stream_progress"] = _BODIES["progress_highwater"]
 
-ORACLE: dict[str, str] = {name: _sql(body) for name, body in _BODIES.items()}
+# Columns that literals would leave as 32-bit integers.
+_WIDE = {
+    "read_requests": ("available_bytes", "max_duration_min"), "model_catalogue": ("size",), "resolve_model": ("size",),
+    "admit_requests": ("available_mb", "limit_without_words_min", "limit_min"), "quality_report": ("anomalies",),
+    "chunk_contiguity": ("total",),
+    **{n: ("part",) for n in ("render_txt", "render_srt", "render_vtt", "render_json", "write_documents", "render_txt_turns")},
+}
+
+
+def _widened(name: str, body: str) -> str:
+    if name not in _WIDE:
+        return body
+    casts = ", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in _WIDE[name])
+    return f"SELECT * REPLACE ({casts}) FROM ({body})"
+
+
+ORACLE: dict[str, str] = {name: _sql(_widened(name, body)) for name, body in _BODIES.items()}

@@ -307,7 +307,7 @@ def vtt_escape(pages: DataFrame) -> DataFrame:
 
 def _timing_lines(docs: DataFrame) -> DataFrame:
     lines = F.posexplode(F.split("text", "\n")).alias("line_no", "line")
-    return b.captions(docs).select("media_id", lines)
+    return b.captions(docs).select("media_id", lines).withColumn("line_no", F.col("line_no").cast("bigint"))
 
 
 @query("documents")

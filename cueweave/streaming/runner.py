@@ -18,6 +18,11 @@ def table_stream(spark: SparkSession, folder: str, table: str) -> DataFrame:
     )
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
 def drain(stream: DataFrame, label: str) -> DataFrame:
     """Process all available input into a parquet sink, exactly once; read it back.
 
@@ -33,6 +38,8 @@ def drain(stream: DataFrame, label: str) -> DataFrame:
         .trigger(availableNow=True).start()
     )
     query.awaitTermination()
+    if not _exists(spark, f"{out}/rows"):  # the source held nothing
+        return spark.createDataFrame([], stream.schema)
     return spark.read.schema(stream.schema).parquet(f"{out}/rows")
 
 
@@ -51,6 +58,8 @@ def drain_batches(stream: DataFrame, label: str, work, mode: str = "append") ->
         .option("checkpointLocation", f"{out}/progress").trigger(availableNow=True).start()
     )
     query.awaitTermination()
+    if not _exists(spark, f"{out}/rows"):
+        return work(spark.createDataFrame([], stream.schema)).withColumn("batch", F.lit(0).cast("bigint"))
     return spark.read.option("basePath", f"{out}/rows").parquet(f"{out}/rows/batch=*").withColumn(
         "batch", F.col("batch").cast("bigint")
     )

@@ -105,6 +105,14 @@ def test_progress_over_micro_batches(spark, tmp_path):
     assert rows(got, "task_id", "seq", "percent") == rows(events.progress_highwater(frame), "task_id", "seq", "percent")
 
 
+def test_a_source_without_rows(spark, tmp_path):
+    _, frame = events_frame(spark)
+    (tmp_path / "none").mkdir()
+    empty = spark.readStream.schema(frame.schema).parquet(str(tmp_path / "none"))
+    assert runner.drain(progress.stream_progress(empty), "t-none").count() == 0
+    assert batches.settled(runner.drain_batches(empty, "t-none", batches.coalesce_batch)).count() == 0
+
+
 def test_exact_batches_over_micro_batches(spark, tmp_path):
     data, frame = events_frame(spark)
     opened = runner.drain(batches.stream_openings(in_steps(spark, tmp_path, frame, 3)), "t-openings")

@@ -274,6 +274,24 @@ def test_runs_of_equal_texts(spark, block):
     assert rows(quality.repeat_runs(frame, block), "media_id", "text", "n", "first_segment", "start_ms", "end_ms") == sorted(best.values())
 
 
+def test_a_hot_media_is_spread(spark):
+    """One media alone must not end up in one task."""
+    frame = spark.range(4_000).select(
+        F.lit(1).cast("bigint").alias("media_id"), F.col("id").alias("segment_id"), F.col("id").alias("start_ms"),
+        F.col("id").alias("end_ms"), F.lit("x").alias("text"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        placed = quality.with_previous_start(frame, 100).select(F.spark_partition_id().alias("p"))
+        sizes = [r["count"] for r in placed.groupBy("p").count().collect()]
+        assert len(sizes) > 1 and max(sizes) < 4_000
+        left = frame.select("media_id", "segment_id")
+        right = spark.createDataFrame([(1, "t")], "media_id BIGINT, title STRING").hint("shuffle_hash")
+        joined = lookup_join(left, right, ["media_id"], ["segment_id"], hot_rows=100, salts=32)
+        assert joined.select(F.spark_partition_id().alias("p")).distinct().count() > 1 and joined.count() == 4_000
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
 def test_order_faults(spark):
     segs = spark.createDataFrame([(1, 0, 0, 10, "a"), (1, 1, 100, 90, "a"), (1, 2, 89, 120, "a"), (1, 3, -1, 9_000, "a")], SEGMENTS)
     media = spark.createDataFrame([(1, 5_000)], "media_id BIGINT, duration_ms BIGINT")
