@@ -159,8 +159,13 @@ def monotonic_check(segments: DataFrame, media: DataFrame, block_segments: int =
 
 
 def vocabulary(texts: DataFrame) -> DataFrame:
-    """Distinct (media_id, word); repeats vanish before the exchange."""
-    return texts.select("media_id", F.explode(words_of(F.col("text"))).alias("word")).distinct()
+    """Distinct (media_id, word); repeats vanish before the exchange.
+
+    The filters are those that joins on the result would infer: stated here,
+    every use has the same plan and Spark computes the vocabulary once.
+    """
+    said = texts.select("media_id", F.explode(words_of(F.col("text"))).alias("word"))
+    return said.where(F.col("media_id").isNotNull() & F.col("word").isNotNull()).distinct()
 
 
 def vocab_intersect(pairs: DataFrame, texts: DataFrame) -> DataFrame:

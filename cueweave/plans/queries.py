@@ -698,7 +698,11 @@ def monotonic_check(docs: DataFrame) -> DataFrame:
 
 @query("documents")
 def cache_evict(docs: DataFrame) -> DataFrame:
-    return results.cache_evict(results.latest_entry(b.cache_entries(docs)), b.CACHE_CEILING).select("digest", "bytes", "accessed", "kept")
+    # Several passes read the entries, so they are a written table first.
+    spark = docs.sparkSession
+    path = scratch(spark, "entries")
+    results.latest_entry(b.cache_entries(docs)).select("digest", "bytes", "accessed").write.parquet(path)
+    return results.cache_evict(spark.read.parquet(path), b.CACHE_CEILING)
 
 
 @query("events")
