@@ -22,7 +22,7 @@ from cueweave.llm.bpe import packed
 from cueweave.llm.common import process_state, slices, stored
 
 #: Pieces of one length that are ranked in one task.
-RANKED_TOGETHER = 200_000
+RANKED_TOGETHER = 50_000
 #: Nodes that the branch-and-bound search may visit after its incumbents.
 NODES = 200
 
@@ -243,8 +243,10 @@ def pack(pieces: DataFrame, capacity: int, key: str = "doc_id") -> DataFrame:
         base += times
     # At most `capacity` patterns of a few lengths each, whatever the corpus.
     slots = spark.createDataFrame(slots, "length bigint, _from bigint, _to bigint, _each bigint, _base bigint, _offset bigint")
-    salts = 1 + max(counts.values(), default=0) // RANKED_TOGETHER
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(key, "piece"), F.lit(salts)))
+    salts = [(n, 1 + k // RANKED_TOGETHER) for n, k in counts.items()]  # a row per length
+    salts = spark.createDataFrame(salts, "length bigint, _salts bigint")
+    salted = pieces.join(F.broadcast(salts), "length").withColumn(
+        "_salt", F.pmod(F.xxhash64(key, "piece"), F.col("_salts")))
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     groups = salted.groupBy("length", "_salt").count().select(
         "length", "_salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cueweave.llm import bpe, packing
+from cueweave.llm import bpe, licenses, neighbours, packing, page_text, quality, secret_scan
 from cueweave.llm.common import documents
 
 
@@ -18,13 +18,39 @@ def op2_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_graph_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{folder}/embeddings.parquet")
+    return neighbours.search(vectors.where("vec_id % 20 = 0"), neighbours.index(vectors, 20), 20)
+
+
+def op5_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(documents(spark, folder))
+
+
+def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.judge(documents(spark, folder))
+
+
+def op7_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = secret_scan.scan(documents(spark, folder))
+    of_kind = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("bigint")
+    return found.select(
+        "doc_id", of_kind(0).alias("n_assign"), of_kind(1).alias("n_access"), of_kind(2).alias("n_hex"),
+        F.sha2(secret_scan.listed("base").cast("binary"), 256).alias("base_sha256"),
+        secret_scan.listed("spans").alias("spans"))
+
+
 def op8_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(documents(spark, folder), public_tokenizers.path("byte_bpe_50k.json"),
                                   public_tokenizers.PATTERN)
 
 
+def op9_page_text(spark: SparkSession, folder: str) -> DataFrame:
+    return page_text.extract(spark.read.parquet(f"{folder}/pages.parquet"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op2_byte_bpe, op8_best_fit_packing,
+    op2_byte_bpe, op4_graph_neighbours, op5_license_scan, op6_quality_rules, op7_secret_scan, op8_best_fit_packing, op9_page_text,
 )}
 
 ORACLE: dict[str, str] = {}
