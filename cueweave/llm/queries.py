@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cueweave.llm import bpe, licenses, neighbours, packing, page_text, quality, secret_scan
+from cueweave.llm import bpe, jaccard, licenses, neighbours, packing, page_text, quality, repeats, secret_scan
 from cueweave.llm.common import documents
 
 
@@ -18,6 +18,11 @@ def op2_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op3_suffix_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.find(documents(spark, folder)).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_graph_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     vectors = spark.read.parquet(f"{folder}/embeddings.parquet")
     return neighbours.search(vectors.where("vec_id % 20 = 0"), neighbours.index(vectors, 20), 20)
@@ -49,8 +54,12 @@ def op9_page_text(spark: SparkSession, folder: str) -> DataFrame:
     return page_text.extract(spark.read.parquet(f"{folder}/pages.parquet"))
 
 
+def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.similar(documents(spark, folder), 3, 90).select("doc_id", "n_shingles", "component_id")
+
+
 QUERIES = {f.__name__: f for f in (
-    op2_byte_bpe, op4_graph_neighbours, op5_license_scan, op6_quality_rules, op7_secret_scan, op8_best_fit_packing, op9_page_text,
+    op2_byte_bpe, op3_suffix_repeats, op4_graph_neighbours, op5_license_scan, op6_quality_rules, op7_secret_scan, op8_best_fit_packing, op9_page_text, op10_jaccard_join,
 )}
 
 ORACLE: dict[str, str] = {}
