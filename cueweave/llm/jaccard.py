@@ -217,7 +217,7 @@ def links(sets: list[np.ndarray], share: int, first: int = 0) -> Iterator[tuple[
 
 
 def similar(frame: DataFrame, k: int, share: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """`key`, `n_shingles`, `component_id`, `n_links` per row; links need 100 * shared >= share * united.
+    """`key`, `n_shingles`, `component_id`, `n_links`, `text_hash` (xxhash64) per row; links need 100 * shared >= share * united.
 
     A null or empty text, or one without words, has no shingles and is linked
     with nothing. `component_id` is the smallest key that links reach, the
@@ -230,7 +230,7 @@ def similar(frame: DataFrame, k: int, share: int, key: str = "doc_id", text: str
     and the texts of the members of families.
     """
     spark = frame.sparkSession
-    docs = frame.select(F.col(key).cast("bigint").alias("_id"), F.col(text).alias("_text"))
+    docs = frame.select(F.col(key).cast("bigint").alias("_id"), F.col(text).alias("_text"), F.xxhash64(text).alias("_hash"))
     buckets = group_count(docs, "_text")
     levels = Levels(share)
 
@@ -239,8 +239,8 @@ def similar(frame: DataFrame, k: int, share: int, key: str = "doc_id", text: str
             values, border = shingle_sets(batch.column("_text").to_pylist(), k)
             f1, f2 = prints(values, border)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("_id"), pa.array(np.diff(border), pa.int64()), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64))],
-                ["_id", "n", "f1", "f2"])
+                [batch.column("_id"), batch.column("_hash"), pa.array(np.diff(border), pa.int64()), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64))],
+                ["_id", "_hash", "n", "f1", "f2"])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text", 2 << 20):
@@ -268,7 +268,7 @@ def similar(frame: DataFrame, k: int, share: int, key: str = "doc_id", text: str
         sign = np.concatenate(raw("signs", np.uint64))
         return pa.table(dict(zip("ab", (pa.array(x.view(np.int64)) for x in _stars(sign, node)))))
 
-    rows = stored(docs.mapInArrow(describe, "_id bigint, n bigint, f1 bigint, f2 bigint"), "sets")
+    rows = stored(docs.mapInArrow(describe, "_id bigint, _hash bigint, n bigint, f1 bigint, f2 bigint"), "sets")
     signed = docs.mapInArrow(sign, "bucket int, signs binary, nodes binary, which binary")
     edges = signed.groupBy("bucket").applyInArrow(meet, "a bigint, b bigint")
     family = stored(components(edges).withColumnRenamed("node", "f1"), "families")
@@ -292,6 +292,7 @@ def similar(frame: DataFrame, k: int, share: int, key: str = "doc_id", text: str
             names = [n for n in batch.schema.names if n != "_text"]
             yield pa.RecordBatch.from_arrays([*(some.column(n) for n in names), pa.array(sets, pa.binary())], [*names, "set"])
 
+    docs = docs.drop("_hash")
     sets = docs.hint("shuffle_hash").join(inside.hint("shuffle_hash"), docs["_id"].eqNullSafe(inside["_rep"])).drop("_id").mapInArrow(
         fetch, "root bigint, blocks bigint, block bigint, f1 bigint, f2 bigint, _rep bigint, member bigint, copies bigint, set binary")
     # A family of one block shares a task with others; of several, each pair of blocks has its own.
@@ -335,7 +336,7 @@ def similar(frame: DataFrame, k: int, share: int, key: str = "doc_id", text: str
     return rows.join(known, ["f1", "f2"], "left").select(
         F.col("_id").alias(key), F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("_id")).alias("component_id"),
-        F.when(F.col("n") > 0, F.col("links")).otherwise(F.lit(0)).alias("n_links"))
+        F.when(F.col("n") > 0, F.col("links")).otherwise(F.lit(0)).alias("n_links"), F.col("_hash").alias("text_hash"))
 
 
 def _packed(sign: np.ndarray, node: np.ndarray) -> tuple[bytes, bytes, bytes]:

@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cueweave.llm import bpe, jaccard, licenses, neighbours, packing, page_text, quality, repeats, secret_scan
+from cueweave.llm import bpe, chat, jaccard, licenses, neighbours, packing, page_text, quality, repeats, secret_scan
 from cueweave.llm.common import documents
 
 
+def op1_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.render(spark.read.parquet(f"{folder}/conversations.parquet"))
+
+
 def op2_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     coded = bpe.encode(documents(spark, folder), public_tokenizers.path("byte_bpe_50k.tiktoken"),
                        public_tokenizers.PATTERN, decoded=True)
@@ -59,7 +63,7 @@ def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_byte_bpe, op3_suffix_repeats, op4_graph_neighbours, op5_license_scan, op6_quality_rules, op7_secret_scan, op8_best_fit_packing, op9_page_text, op10_jaccard_join,
+    op1_chat_format, op2_byte_bpe, op3_suffix_repeats, op4_graph_neighbours, op5_license_scan, op6_quality_rules, op7_secret_scan, op8_best_fit_packing, op9_page_text, op10_jaccard_join,
 )}
 
 ORACLE: dict[str, str] = {}

@@ -214,14 +214,16 @@ def _parts(table: pa.Table, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     return slices(iter(table.to_batches()), "text", size)
 
 
-def find(frame: DataFrame, width: int = 50, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def find(frame: DataFrame, width: int = 50, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (),
+         whole: bool = False) -> DataFrame:
     """`key`, the `carry` columns, `n_bytes`, `n_removed`, `n_spans`, `kept` (binary) per row.
 
     Removed is each byte covered by a string of `width` bytes that also starts
     in a row with a smaller key. A null or empty text has no bytes; null keys
     count as greater than all others and as equal to each other; rows of equal
     keys take nothing from each other, so repeated rows give equal rows; an
-    empty table gives none. Columns outside `carry` are not read.
+    empty table gives none. Columns outside `carry` are not read. With `whole` a
+    character goes only if all its bytes do, so `kept` is text again.
     """
     spark = frame.sparkSession
     least = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -414,6 +416,9 @@ def find(frame: DataFrame, width: int = 50, key: str = "doc_id", text: str = "te
                     np.add.at(depth, begin[a:b], 1)
                     np.add.at(depth, begin[a:b] + count[a:b] - 1 + width, -1)
                     covered = np.cumsum(depth[:-1]) > 0
+                    if whole:
+                        letter = np.flatnonzero(np.frombuffer(value, np.uint8) & 0xC0 != 0x80)
+                        covered = np.repeat(np.logical_and.reduceat(covered, letter), np.diff(np.append(letter, len(value))))
                     removed = int(covered.sum())
                     spans = int((np.diff(covered.astype(np.int8), prepend=0) == 1).sum())
                     kept = np.frombuffer(value, np.uint8)[~covered].tobytes()
