@@ -1,15 +1,17 @@
 """Quality rules: fixed counts, and the divergence of a document from its language.
 
 Two histograms describe a document: classes of characters, and the most common
-words of its language (all others together are one more bin). The reference of
-a language is the sum over all documents that name it. A document whose
-Jensen-Shannon distance (base 2, square root) to the reference is too large is
-rejected; short documents are not judged, as their histograms mean little.
+words of its language (all others together are one more bin). Both come from the
+corpus: the most common words of every language found there are counted, and the
+reference of a language is the sum over all documents that name it. A document
+whose Jensen-Shannon distance (base 2, square root) to the reference is too large
+is rejected; short documents are not judged, as their histograms mean little, and
+neither are documents without a language, or of one with few documents.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cueweave.functions.naming import let
@@ -19,16 +21,15 @@ from cueweave.llm.common import stored
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOL = r"[#*$%&|<>]"
 
+BLANK = "\t\n\x0b\f\r"
+
 #: Common words per language; the histogram has a bin for each, and one for the rest.
-COMMON = {
-    "en": "the of and to in is that for".split(),
-    "de": "der die und in zu den von mit".split(),
-    "fr": "de la le et les des en un".split(),
-    "es": "de la que el en y los del".split(),
-}
+N_COMMON = 8
 CLASSES = ("upper", "digit", "mark", "symbol", "space", "wide", "other")
 #: Documents with fewer words are judged by the fixed rules alone.
 LEAST_WORDS = 100
+#: A language with fewer documents of so many words has no reference.
+LEAST_DOCUMENTS = 10
 #: Largest distances that pass.
 CHARACTER_LIMIT = 0.3
 WORD_LIMIT = 0.26
@@ -58,9 +59,23 @@ def _repeated(words: Column) -> Column:
     return F.when(F.size(words) < 4, 0).otherwise(let(windows, counted))
 
 
+def common_words(frame: DataFrame, text: str = "text", lang: str = "lang", n: int = N_COMMON) -> DataFrame:
+    """`_l` and `_top`: the `n` most common words with a letter of each language, ties by the word."""
+    words = F.explode(F.split(F.translate(F.col(text), BLANK, " " * len(BLANK)), " "))
+    counts = frame.where(F.col(lang).isNotNull()).select(F.col(lang).alias("_l"), words.alias("_word"))
+    counts = counts.where("_word <> ''").groupBy("_l", "_word").agg(F.count("*").alias("_n"))
+    counts = counts.where(F.regexp_like("_word", F.lit(r"\p{L}")))  # marks of tables are no words
+    rank = F.row_number().over(Window.partitionBy("_l").orderBy(F.desc("_n"), "_word"))  # limited per task before the shuffle
+    top = counts.withColumn("_rank", rank).where(F.col("_rank") <= n)
+    return top.groupBy("_l").agg(F.array_sort(F.collect_list(F.struct("_rank", "_word"))).alias("_top")).select(
+        "_l", F.col("_top._word").alias("_top"))
+
+
 def measure(frame: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """Per row: the fixed counts, and both histograms as arrays of counts."""
     rows = frame.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"), F.col(lang).alias("_lang"))
+    top = common_words(frame, text, lang)  # a row per language
+    rows = rows.join(F.broadcast(top), F.col("_lang") == F.col("_l"), "left").drop("_l")
     rows = rows.withColumn("_words", F.regexp_extract_all("_text", F.lit(WORD), F.lit(0)))
     rows = rows.withColumn("_spaced", F.concat(F.lit(" "), F.array_join("_words", "  "), F.lit(" ")))
     lines = F.filter(F.split("_text", "\n"), lambda line: F.regexp_like(line, F.lit(WORD)))
@@ -76,15 +91,10 @@ def measure(frame: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     classes = let(classes, lambda a: F.concat(a, F.array(F.greatest(
         F.lit(0.0), F.octet_length("_text") - F.aggregate(a, F.lit(0.0), lambda s, x: s + x)))))
 
-    def of_language(words: list[str]) -> Column:
-        counts = [(F.octet_length("_spaced") - F.octet_length(F.replace("_spaced", F.lit(f" {w} "), F.lit(""))))
-                  / (len(w) + 2) for w in words]
-        return let(F.array(*counts), lambda a: F.concat(a, F.array(
-            F.size("_words") - F.aggregate(a, F.lit(0.0), lambda s, x: s + x))))
-
-    common = None
-    for name, words in COMMON.items():
-        common = (F if common is None else common).when(F.col("_lang") == name, of_language(words))
+    counts = F.transform("_top", lambda w: let(F.concat(F.lit(" "), w, F.lit(" ")), lambda x: (
+        F.octet_length("_spaced") - F.octet_length(F.replace("_spaced", x, F.lit("")))) / F.octet_length(x)))
+    common = let(counts, lambda a: F.concat(a, F.array(
+        F.size("_words") - F.aggregate(a, F.lit(0.0), lambda s, x: s + x))))
     return rows.select(
         "_key", "_lang", F.size("_words").cast("bigint").alias("n_words"), F.col("_chars").cast("bigint").alias("word_chars"),
         F.col("_symbols").cast("bigint").alias("n_symbols"), F.col("_lines").cast("bigint").alias("n_dup_lines"),
@@ -107,32 +117,33 @@ def distance(a: Column, b: Column) -> Column:
 
 def judge(frame: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang",
           character_limit: float = CHARACTER_LIMIT, word_limit: float = WORD_LIMIT,
-          least_words: int = LEAST_WORDS) -> DataFrame:
+          least_words: int = LEAST_WORDS, least_documents: int = LEAST_DOCUMENTS) -> DataFrame:
     """Per row: key, `n_words`, `word_chars`, `n_symbols`, `n_dup_lines`, `n_repeat_words`,
     `base_failed`, `kept`, `character_distance`, `word_distance`.
 
-    A null or empty text has no words, so it fails. A null language, or one
-    without common words here, is not judged by words; its reference for
-    characters is the sum over all documents. Null keys stay null; repeated rows
-    give equal rows and count as often as they occur; an empty table gives none.
-    Other columns are not read. Texts are read once; their counts are stored,
-    and the references are sums of a few numbers per language of `COMMON`.
+    A null or empty text has no words, so it fails. A null language, or one with
+    fewer than `least_documents` documents of `least_words` words, has no
+    reference: its distances are null, and the fixed rules alone decide. Null keys
+    stay null; repeated rows give equal rows and count as often as they occur; an
+    empty table gives none. Other columns are not read. Texts are read twice, for
+    the common words and for the counts, which are stored; the references are sums
+    of a few numbers per language.
     """
     rows = stored(measure(frame, key, text, lang), "quality")
-    known = F.when(F.col("_lang").isin(*COMMON), F.col("_lang")).otherwise(F.lit("*"))
     sums = lambda name, n: F.array(*[F.coalesce(F.sum(F.get(F.col(name), F.lit(i))), F.lit(0.0)) for i in range(n)])
-    n_common = max(map(len, COMMON.values())) + 1
-    each = rows.groupBy(known.alias("_l")).agg(sums("_classes", len(CLASSES)).alias("_ref_c"), sums("_common", n_common).alias("_ref_w"))
-    whole = rows.agg(sums("_classes", len(CLASSES)).alias("_ref_c")).select(
-        F.lit("*").alias("_l"), "_ref_c", F.lit(None).cast("array<double>").alias("_ref_w"))
-    reference = each.where("_l <> '*'").unionByName(whole)  # a row per language of COMMON, and one
-    rows = rows.withColumn("_l", known).join(F.broadcast(reference), "_l", "left")
-    apart_c = distance(F.col("_classes"), F.col("_ref_c"))
-    apart_w = F.when(F.col("_common").isNotNull(), distance(F.col("_common"), F.slice("_ref_w", F.lit(1), F.size("_common"))))
+    reference = rows.where(F.col("_lang").isNotNull()).groupBy(F.col("_lang").alias("_l")).agg(
+        sums("_classes", len(CLASSES)).alias("_ref_c"), sums("_common", N_COMMON + 1).alias("_ref_w"),
+        F.count_if(F.col("n_words") >= least_words).alias("_judged"))
+    reference = reference.where(F.col("_judged") >= least_documents).drop("_judged")  # a row per language
+    rows = rows.join(F.broadcast(reference), F.col("_lang") == F.col("_l"), "left")
+    known = F.col("_l").isNotNull()
+    apart_c = F.when(known, distance(F.col("_classes"), F.col("_ref_c")))
+    apart_w = F.when(known & F.col("_common").isNotNull(),
+                     distance(F.col("_common"), F.slice("_ref_w", F.lit(1), F.size("_common"))))
     rows = rows.select(
         "*", apart_c.alias("character_distance"), apart_w.alias("word_distance"),
         ((F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).alias("base_failed"))
-    far = (F.col("character_distance") > character_limit) | (F.coalesce("word_distance", F.lit(0.0)) > word_limit)
+    far = F.coalesce((F.col("character_distance") > character_limit) | (F.col("word_distance") > word_limit), F.lit(False))
     return rows.select(
         F.col("_key").alias(key), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & ~((F.col("n_words") >= least_words) & far)).alias("kept"),
