@@ -1,9 +1,10 @@
 """Secrets in texts: fixed patterns, and a battery of randomness tests.
 
-Long runs of key-like characters are candidates. Their encoding (decimal, hex,
-base 32, base 64) is inferred from the characters; under it the symbols of a
-key are uniform and independent. Three tests measure that: chi-squared of the
-symbol counts, runs about the middle of the alphabet, and serial correlation.
+Within runs of key-like characters, every longest piece of one encoding's
+characters (decimal, hex, base 32, 36, 62, 64) is a candidate, so names, paths and
+signs beside a key do not hide it. Under the encoding the symbols of a key are
+uniform and independent. Three tests measure that: chi-squared of the symbol
+counts, runs about the middle of the alphabet, and serial correlation.
 Fisher's method combines them. Over the whole corpus, false discoveries of
 structure are controlled (Benjamini-Hochberg) within each encoding and length
 class, as short strings say less; a candidate without proven structure is a
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,17 +34,29 @@ NAMES = ("passw", "secret", "token", "api")
 ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 6, 20, 24
 
 #: A run of key-like characters that is worth testing.
+LEAST = 20
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+PADDING = re.compile(r"={1,6}(?![A-Za-z0-9+/_=-])")
 ALPHABETS = (
     ("decimal", "0123456789"),
     ("hex", "0123456789abcdef"),
     ("HEX", "0123456789ABCDEF"),
     ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
     ("base36", "0123456789abcdefghijklmnopqrstuvwxyz"),
+    ("base62", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"),
     ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
     ("base64url", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
 )
-_PLACES = [(name, {c: i for i, c in enumerate(letters)}, len(letters)) for name, letters in ALPHABETS]
+
+
+def _class(c: str) -> int:
+    return 0 if c.isupper() else 1 if c.islower() else 2
+
+
+#: Per encoding: place and class of each character, how many each class has, and its longest pieces.
+_PLACES = {name: ({c: i for i, c in enumerate(letters)}, {c: _class(c) for c in letters},
+                  [sum(_class(c) == k for c in letters) for k in range(3)],
+                  re.compile(f"[{re.escape(letters)}]{{{LEAST},}}")) for name, letters in ALPHABETS}
 #: Steps per halving of a p-value, and the most halvings told apart.
 STEPS, HALVINGS = 8, 64
 
@@ -57,22 +71,24 @@ def _chi_upper(x: float, freedom: int) -> float:
     return 0.5 * math.erfc((((x / freedom) ** (1 / 3)) - (1 - a)) / math.sqrt(2 * a))
 
 
-def battery(run: str) -> tuple[str, float] | None:
-    """(encoding, combined p-value of randomness) of a run of characters.
+def pieces(run: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, encoding) of the longest pieces of each encoding; equal pieces have the narrowest one."""
+    seen = set()
+    for name, (*_, longest) in _PLACES.items():
+        for m in longest.finditer(run):
+            if m.span() not in seen:
+                seen.add(m.span())
+                yield *m.span(), name
 
-    None where no encoding holds all characters, or fewer than two of lower
-    case, upper case and digits occur, or fewer than three digits: words and
-    names joined by signs are not keys.
+
+def battery(body: str, name: str) -> float:
+    """Combined p-value of randomness of a string of an encoding's characters.
+
+    Counts of upper case, lower case and others tell words and names from keys;
+    the smaller p-value of that and of Fisher's method, doubled.
     """
-    body = run.rstrip("=")
-    digits = sum(c.isdigit() for c in body)
-    if digits < 3 or digits == len(body) or len(body) < 20:
-        return None
-    for name, places, size in _PLACES:
-        if all(c in places for c in body):
-            break
-    else:
-        return None
+    places, classes, members, _ = _PLACES[name]
+    size = len(places)
     codes = [places[c] for c in body]
     n = len(codes)
     bins = max(2, min(size, n // 5))
@@ -100,7 +116,13 @@ def battery(run: str) -> tuple[str, float] | None:
     serial = sum(a * b for a, b in zip(around, around[1:])) / power if power else 1.0
     p_serial = _normal_two_sided(serial * math.sqrt(n) + 1 / math.sqrt(n))
     x = -sum(math.log(max(p, 1e-300)) for p in (p_chi, p_runs, p_serial))
-    return name, min(1.0, math.exp(-x) * (1 + x + x * x / 2))  # Fisher: chi-squared, 6 degrees
+    p = min(1.0, math.exp(-x) * (1 + x + x * x / 2))  # Fisher: chi-squared, 6 degrees
+    kinds = sum(map(bool, members))
+    if kinds > 1:
+        found = Counter(classes[c] for c in body)
+        apart = sum((found[k] - n * e / size) ** 2 / (n * e / size) for k, e in enumerate(members) if e)
+        p = min(1.0, 2 * min(p, _chi_upper(apart, kinds - 1)))
+    return p
 
 
 def length_class(n: int) -> int:
@@ -122,8 +144,10 @@ def spans_of(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int
         a, b = run.span()
         base += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text, a, b) if m.end() - m.start() >= ACCESS_LEAST]
         base += [(m.start(), 2, m.end()) for m in HEX.finditer(text, a, b) if m.end() - m.start() >= HEX_LEAST]
-        if (found := battery(run[0])) and found[1] > 0:
-            tested.append((a, b, f"{found[0]}:{length_class(b - a)}", step_of(found[1])))
+        for start, stop, name in pieces(run[0]):
+            p = battery(run[0][start:stop], name)
+            padded = PADDING.match(text, a + stop) if name.startswith(("base32", "base64")) else None
+            tested.append((a + start, padded.end() if padded else a + stop, f"{name}:{length_class(stop - start)}", step_of(p)))
     base.sort()
     tested = [t for t in tested if not any(s < t[1] and t[0] < e for s, _, e in base)]
     return base, tested
@@ -152,7 +176,7 @@ def scan(frame: DataFrame, rate: float = 0.05, key: str = "doc_id", text: str =
 
     Texts are read once. What was found, a few numbers per row, is stored; the
     corpus-wide control needs its counts per stratum and step, at most
-    8 * 7 * 513 of them.
+    8 * 8 * 513 of them.
     """
     span = "array<struct<start:int,kind:int,stop:int>>"
     tested = "array<struct<start:int,stop:int,stratum:string,step:int>>"
