@@ -5,8 +5,9 @@ small ones first) searches the graph built so far greedily; of what it meets, an
 edge is kept unless an edge kept before lies closer to the target by the factor
 `alpha`, so edges point in diverse directions. Reverse edges are added and
 pruned alike. A query walks every shard's graph with a beam and the best of all
-shards are merged. Inner products become distances by one more coordinate that
-gives all vectors the same length.
+shards are merged. In building, inner products become distances by one more
+coordinate that gives all vectors the same length; a query orders by the inner
+products themselves.
 """
 
 from __future__ import annotations
@@ -29,19 +30,24 @@ ALPHA = 1.2
 QUERY_BLOCK = 512
 
 
-def beam(points: np.ndarray, graph: np.ndarray, entry: int, queries: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(nodes, squared distances less the query's own square), nearest first; -1 where there are fewer.
+def beam(points: np.ndarray, graph: np.ndarray, entries: np.ndarray, queries: np.ndarray, width: int,
+         squares: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, `squares` of the nodes less twice the inner product), least first; -1 where there are fewer.
 
-    All queries advance together: each expands its nearest unexpanded node.
+    With the nodes' squared lengths that is the squared distance less the query's
+    own square, with zeros the order of inner products. All queries advance
+    together: each expands its nearest unexpanded node.
     """
     n, q = len(points), len(queries)
-    squares = np.einsum("nd,nd->n", points, points)
     nodes = np.full((q, width), -1, np.int32)
-    away = np.full((q, width), np.inf, np.float32)
+    away = np.full((q, width), np.inf)
     done = np.zeros((q, width), bool)
     seen = np.zeros((q, n), bool)
-    nodes[:, 0], seen[:, entry] = entry, True
-    away[:, 0] = squares[entry] - 2 * queries @ points[entry]
+    entries = entries[:width]
+    first = squares[entries] - 2 * queries @ points[entries].T
+    order = np.argsort(first, 1, kind="stable")
+    nodes[:, : len(entries)], away[:, : len(entries)] = entries[order], np.take_along_axis(first, order, 1)
+    seen[:, entries] = True
     while True:
         waiting = ~done & (nodes >= 0)
         rows = np.flatnonzero(waiting.any(1))
@@ -56,7 +62,7 @@ def beam(points: np.ndarray, graph: np.ndarray, entry: int, queries: np.ndarray,
         d = squares[near] - 2 * np.einsum("rkd,rd->rk", points[near], queries[rows])
         d[~fresh] = np.inf
         near = np.where(fresh, near, -1)
-        all_d = np.concatenate([away[rows], d.astype(np.float32)], 1)
+        all_d = np.concatenate([away[rows], d], 1)
         best = np.argsort(all_d, 1, kind="stable")[:, :width]
         away[rows] = np.take_along_axis(all_d, best, 1)
         nodes[rows] = np.take_along_axis(np.concatenate([nodes[rows], near], 1), best, 1)
@@ -92,13 +98,14 @@ def build(points: np.ndarray, degree: int = DEGREE, width: int = BUILD_BEAM, alp
     """(neighbours of each node, entry node). Deterministic: nodes are inserted in the given order."""
     n = len(points)
     graph = np.full((n, 2 * degree), -1, np.int32)
+    squares = np.einsum("nd,nd->n", points, points)
     entry = int(((points - points.mean(0)) ** 2).sum(1).argmin())
     order = np.concatenate([[entry], np.delete(np.arange(n), entry)])
     at, size = 1, 1
     while at < n:
         batch = order[at : at + size]
         at, size = at + len(batch), min(2 * size, 256)
-        met, _ = beam(points, graph, entry, points[batch], width)
+        met, _ = beam(points, graph, np.array([entry]), points[batch], width, squares)
         out = prune(points, batch, met, degree, alpha)
         graph[batch, :degree] = out
         source = np.repeat(batch, degree)
@@ -125,9 +132,20 @@ def build(points: np.ndarray, degree: int = DEGREE, width: int = BUILD_BEAM, alp
 
 
 def level(vectors: np.ndarray, longest: float) -> np.ndarray:
-    """Single-precision copies with one more coordinate, all of length `longest`."""
-    rest = np.sqrt(np.maximum(0.0, longest * longest - (vectors * vectors).sum(1)))
-    return np.concatenate([vectors, rest[:, None]], 1).astype(np.float32)
+    """The vectors with one more coordinate, at equal distances `longest` from one point.
+
+    The coordinate counts from that length downwards, so short vectors beside a very
+    long one keep their digits.
+    """
+    squares = (vectors * vectors).sum(1)
+    rest = np.sqrt(np.maximum(0.0, longest * longest - squares))
+    return np.concatenate([vectors, (squares / (longest + rest))[:, None]], 1)
+
+
+def starts(vectors: np.ndarray, entry: int) -> np.ndarray:
+    """Where searches start: the entry node and the longest vectors, to which few edges lead."""
+    longest = np.argsort(-(vectors * vectors).sum(1), kind="stable")[:DEGREE]
+    return np.concatenate([[entry], longest[longest != entry]])
 
 
 def index(frame: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", shard: int = SHARD) -> DataFrame:
@@ -156,13 +174,12 @@ def index(frame: DataFrame, k: int, key: str = "vec_id", vector: str = "embeddin
         ids = table["_ids"].combine_chunks()
         return pa.table({
             "size": pa.array([d], pa.int32()), "shard": table["_shard"].slice(0, 1).cast(pa.int64()), "entry": pa.array([entry], pa.int32()),
-            "longest": pa.array([shards[d][1]], pa.float64()),
             "vectors": pa.array([vectors.tobytes()], pa.binary()), "graph": pa.array([graph.tobytes()], pa.binary()),
             "counts": pa.array([np.diff(ids.offsets.to_numpy()).astype(np.int64).tobytes()], pa.binary()),
             "ids": pa.array([ids.flatten().to_numpy().astype(np.int64).tobytes()], pa.binary())})
 
     return stored(nodes.groupBy("_size", "_shard").applyInArrow(
-        run, "size int, shard bigint, entry int, longest double, vectors binary, graph binary, counts binary, ids binary"), "graphs")
+        run, "size int, shard bigint, entry int, vectors binary, graph binary, counts binary, ids binary"), "graphs")
 
 
 def _valid(frame: DataFrame, key: str, vector: str) -> DataFrame:
@@ -202,9 +219,8 @@ def search(queries: DataFrame, graphs: DataFrame, k: int, key: str = "vec_id", v
                 start = np.cumsum(counts) - counts
                 asked = one["_queries"].as_py()
                 wanted = np.array([q["_vector"] for q in asked], np.float64).reshape(-1, d)
-                points = level(vectors, one["longest"].as_py())
-                flat = np.concatenate([wanted, np.zeros((len(wanted), 1))], 1).astype(np.float32)
-                near, _ = beam(points, graph, one["entry"].as_py(), flat, max(width, k + 1))
+                entries = starts(vectors, one["entry"].as_py())
+                near, _ = beam(vectors, graph, entries, wanted, max(width, k + 1), np.zeros(len(vectors)))
                 out_q, out_i, out_s = [], [], []
                 for q, (mine, nodes, v) in enumerate(zip(asked, near, wanted)):
                     nodes = nodes[nodes >= 0]
@@ -219,7 +235,7 @@ def search(queries: DataFrame, graphs: DataFrame, k: int, key: str = "vec_id", v
                     [pa.array(out_q, pa.int64()), pa.array(out_i, pa.list_(pa.int64())), pa.array(out_s, pa.list_(pa.float64()))],
                     ["query_id", "ids", "scores"])
 
-    found = pairs.select("size", "shard", "entry", "longest", "vectors", "graph", "counts", "ids", "_queries").mapInArrow(
+    found = pairs.select("size", "shard", "entry", "vectors", "graph", "counts", "ids", "_queries").mapInArrow(
         run, "query_id bigint, ids array<bigint>, scores array<double>")
     each = found.select("query_id", F.transform(F.arrays_zip("ids", "scores"), lambda x: F.struct(
         (-x["scores"]).alias("away"), x["ids"].alias("id"))).alias("best"))
