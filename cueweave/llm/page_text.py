@@ -4,7 +4,8 @@ The standard library's parser streams its events once; nothing builds a tree.
 A block of text is a line with a text-to-tag ratio (visible characters outside
 links per tag). The ratios are smoothed with a Gaussian along the page, split
 into two clusters, and the containers in which the upper cluster lies are the
-content regions. Elements whose tag or class says that they are no content
+content regions. An article is one region, with all tables, figures and divisions
+inside of it. Elements whose tag or class says that they are no content
 (menus, footers, forms, comments, ...) open no lines.
 """
 
@@ -29,7 +30,11 @@ BLOCK = frozenset(
 #: Elements that never hold article text.
 SILENT = frozenset(
     "head title script style noscript template nav footer aside form button select option textarea input label iframe "
-    "object svg math canvas audio video dialog menu".split())
+    "object svg math canvas audio video dialog menu annotation annotation-xml".split())
+#: Of these, what may hold text of an article when it stands inside of one.
+INSIDE = frozenset("math object label".split())
+#: Elements that open a region even inside an article.
+REGION = frozenset("article main".split())
 CONTAINER = frozenset("article main section div td body html blockquote figure details".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Opening one of these ends an open element of the second set.
@@ -108,13 +113,13 @@ class Lines(HTMLParser):
             hidden |= name == "hidden" or name == "aria-hidden" and value == "true"
             hidden |= name == "style" and "display:none" in (value or "").replace(" ", "").lower()
         if tag not in ("html", "body", "main"):
-            silent |= tag in SILENT or hidden or bool(words & NOISE)
+            silent |= tag in SILENT and not (article and tag in INSIDE) or hidden or bool(words & NOISE)
             if (tag == "header" or words & TOP) and not silent:
                 header, silent = (True, False) if article else (header, True)
-        if tag in CONTAINER:
+        if tag in CONTAINER and (not article or tag in REGION):
             self.containers += 1
             container = self.containers
-        article |= tag in ("article", "main") or "articlebody" in words or "main" in words and tag != "html"
+        article |= tag in REGION or "articlebody" in words or "main" in words and tag != "html"
         self.open.append((tag, silent, container, article, header))
         self.count[tag] += 1
         self.links += tag == "a"
