@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cueweave.llm import bpe, chat, jaccard, licenses, neighbours, packing, page_text, quality, repeats, secret_scan
+from cueweave.llm import bpe, chat, jaccard, licenses, neighbours, packing, page_text, quality, repeats, secret_scan, sharding
 from cueweave.llm.common import documents
 
 
@@ -62,8 +62,15 @@ def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.similar(documents(spark, folder), 3, 90).select("doc_id", "n_shingles", "component_id")
 
 
+def op11_best_fit_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.shard(documents(spark, folder), count=24).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_chat_format, op2_byte_bpe, op3_suffix_repeats, op4_graph_neighbours, op5_license_scan, op6_quality_rules, op7_secret_scan, op8_best_fit_packing, op9_page_text, op10_jaccard_join,
+    op11_best_fit_sharding,
 )}
 
 ORACLE: dict[str, str] = {}
