@@ -6,6 +6,7 @@ import math
 import sys
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,3 +63,16 @@ def group_count(frame: DataFrame, text: str, bytes_per_group: int = GROUP_BYTES)
 def ascii_lower(text: Column) -> Column:
     """A-Z in lower case, every other character as it is."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def pack(values: np.ndarray) -> bytes:
+    """Integers as compressed byte planes."""
+    raw = np.ascontiguousarray(values.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    return len(values).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpack(data: bytes) -> np.ndarray:
+    """The integers of `pack`."""
+    n = int.from_bytes(data[:8], "little")
+    raw = pa.decompress(data[8:], n * 8, codec="zstd", asbytes=True) if n else b""
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, n).T).view("<i8").reshape(n)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cueweave.llm import bpe, chat, jaccard, licenses, neighbours, packing, page_text, quality, repeats, secret_scan, sharding
+from cueweave.llm import bpe, chat, jaccard, licenses, neighbours, packing, page_text, phrases, quality, repeats, secret_scan, sharding
 from cueweave.llm.common import documents
 
 
@@ -68,9 +68,13 @@ def op11_best_fit_sharding(spark: SparkSession, folder: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op12_phrase_mining(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(documents(spark, folder))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_chat_format, op2_byte_bpe, op3_suffix_repeats, op4_graph_neighbours, op5_license_scan, op6_quality_rules, op7_secret_scan, op8_best_fit_packing, op9_page_text, op10_jaccard_join,
-    op11_best_fit_sharding,
+    op11_best_fit_sharding, op12_phrase_mining,
 )}
 
 ORACLE: dict[str, str] = {}
