@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cueweave.llm import bpe, chat, jaccard, licenses, neighbours, packing, page_text, phrases, quality, repeats, secret_scan, sharding
+from cueweave.llm import (
+    alignment, bpe, chat, jaccard, licenses, neighbours, packing, page_text, phrases, quality, repeats, secret_scan, sharding,
+)
 from cueweave.llm.common import documents
 
 
@@ -72,9 +74,14 @@ def op12_phrase_mining(spark: SparkSession, folder: str) -> DataFrame:
     return phrases.collocations(documents(spark, folder))
 
 
+def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.align(documents(spark, folder), public_tokenizers.path("byte_bpe_50k.json"),
+                           public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_chat_format, op2_byte_bpe, op3_suffix_repeats, op4_graph_neighbours, op5_license_scan, op6_quality_rules, op7_secret_scan, op8_best_fit_packing, op9_page_text, op10_jaccard_join,
-    op11_best_fit_sharding, op12_phrase_mining,
+    op11_best_fit_sharding, op12_phrase_mining, op13_token_alignment,
 )}
 
 ORACLE: dict[str, str] = {}
