@@ -66,13 +66,34 @@ def ascii_lower(text: Column) -> Column:
 
 
 def pack(values: np.ndarray) -> bytes:
-    """Integers as compressed byte planes."""
-    raw = np.ascontiguousarray(values.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
-    return len(values).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+    """Integers as compressed byte planes, as many as the largest one needs."""
+    bits = np.ascontiguousarray(values.astype("<i8")).view(np.uint64)
+    planes = (int(np.bitwise_or.reduce(bits, initial=0)).bit_length() + 7) // 8
+    raw = np.ascontiguousarray(bits.view(np.uint8).reshape(-1, 8)[:, :planes].T).tobytes()
+    return bytes([planes]) + len(values).to_bytes(8, "little") + pa.Codec("zstd", 6).compress(raw, asbytes=True)
 
 
 def unpack(data: bytes) -> np.ndarray:
     """The integers of `pack`."""
-    n = int.from_bytes(data[:8], "little")
-    raw = pa.decompress(data[8:], n * 8, codec="zstd", asbytes=True) if n else b""
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, n).T).view("<i8").reshape(n)
+    planes, n = data[0], int.from_bytes(data[1:9], "little")
+    out = np.zeros((n, 8), np.uint8)
+    if n and planes:
+        raw = pa.decompress(data[9:], n * planes, codec="zstd", asbytes=True)
+        out[:, :planes] = np.frombuffer(raw, np.uint8).reshape(planes, n).T
+    return out.view("<i8").reshape(n)
+
+
+def pack_columns(columns: list[np.ndarray]) -> bytes:
+    """Columns of one length; the first, which rises, as differences."""
+    parts = [pack(np.diff(columns[0], prepend=0)), *map(pack, columns[1:])]
+    return b"".join(len(p).to_bytes(4, "little") + p for p in parts)
+
+
+def unpack_columns(data: bytes) -> list[np.ndarray]:
+    """The columns of `pack_columns`."""
+    out, at = [], 0
+    while at < len(data):
+        size = int.from_bytes(data[at:at + 4], "little")
+        out.append(unpack(data[at + 4:at + 4 + size]))
+        at += 4 + size
+    return [np.cumsum(out[0]), *out[1:]]

@@ -6,10 +6,14 @@ word ids with separators between pieces. Both of its Burrows-Wheeler transforms
 the right reads the symbols of the interval in the reverse transform and moves
 both intervals at once, a step to the left does the same the other way round.
 
-Phrases grow by one word per round. A round's counts are summed over the shards
-by Spark, and only phrases that occur often enough in the whole corpus grow on;
-a phrase is never more frequent than its parts, so none is lost. Words, then
-word pairs, that are too rare are cut out of the sequences as separators.
+Phrases grow by one word per round. A round's counts are summed over the shards,
+and only phrases that occur often enough in the whole corpus grow on; a phrase
+is never more frequent than its parts, so none is lost. Words, then word pairs,
+that are too rare are cut out of the sequences as separators.
+
+The sum is a shuffle by a hash of the phrase. A shard packs its counts per group
+of hashes into one row, and a group packs what it tells a shard likewise, since
+sorted numbers take a third of the bytes that rows of their own would.
 """
 
 from __future__ import annotations
@@ -17,30 +21,28 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cueweave.llm.common import pack, stored, unpack
+from cueweave.llm.common import group_count, pack, pack_columns, stored, unpack, unpack_columns
 
 #: Bytes of text per shard: bounds the memory of a task.
-SHARD_BYTES = 24 << 20
+SHARD_BYTES = 8 << 20
 
 #: Bits of a word's number for its place in the shard's dictionary, and of a shard's for its place in the task.
 PLACE_BITS, TURN_BITS = 30, 11
 
 #: Occurrences that one step looks at together.
-STEP_ROWS = 1 << 20
+STEP_ROWS = 1 << 19
 
 #: What separates pieces of a text, and the language of documents without one.
 SEPARATORS = "[.,;:!?\n-\r]+"
 NO_LANGUAGE = "und"
 
-#: Rows per Arrow batch of counts.
-_BATCH = 1 << 17
-
 
 # --- one shard -----------------------------------------------------------------
 
@@ -197,36 +199,112 @@ def ranks(phrases: np.ndarray, base: int) -> np.ndarray:
 
 # --- tasks ---------------------------------------------------------------------
 
-_SHARDS = "shard BIGINT, ids BINARY, langs ARRAY<STRING>, words ARRAY<STRING>, counts ARRAY<BIGINT>"
-
-
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    task, turn = TaskContext.get().partitionId(), 0
-    held, size = [], 0
-
-    def shard() -> pa.RecordBatch:
-        table = pa.Table.from_batches(held)
-        text, lang = (pa.concat_arrays(table[c].cast(pa.large_string()).chunks) for c in ("text", "lang"))
-        ids, langs, words, counts = word_ids(text, lang)
-        if turn >> TURN_BITS:
-            raise ValueError("too many shards in one task: read the documents in more partitions")
-        one = lambda a, kind: pa.array([a], pa.list_(kind))
-        return pa.RecordBatch.from_arrays(
-            [pa.array([task << TURN_BITS | turn]), pa.array([pack(ids)], pa.binary()), one(langs.to_pylist(), pa.string()),
-             one(words.to_pylist(), pa.string()), one(counts, pa.int64())], ["shard", "ids", "langs", "words", "counts"])
-
-    for batch in batches:
-        lengths = pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False)
-        first = 0
-        for i, n in enumerate(lengths):
-            if size and size + n > SHARD_BYTES:
-                held.append(batch.slice(first, i - first))
-                yield shard()
-                held, size, first, turn = [], 0, i, turn + 1
-            size += int(n)
-        held.append(batch.slice(first))
-    if sum(map(len, held)):
-        yield shard()
+#: Rows of a shard (`part` is null) and of its counts for a group of the sum.
+_BLOCK = "part BIGINT, shard BIGINT, data BINARY"
+#: What a sum tells a shard, or (`shard` is null) the corpus.
+_TOLD = "shard BIGINT, data BINARY"
+
+
+def _batch(schema: str, *columns) -> pa.RecordBatch:
+    kinds = {"BIGINT": pa.int64(), "BINARY": pa.binary(), "STRING": pa.string()}
+    fields = [f.split(" ") for f in schema.split(", ")]
+    arrays = [c if isinstance(c, pa.Array) else pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields)]
+    return pa.RecordBatch.from_arrays(arrays, [n for n, _ in fields])
+
+
+def _ipc(columns: dict) -> bytes:
+    batch, sink = pa.RecordBatch.from_pydict(columns), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _runs(part: np.ndarray) -> list[tuple[int, int]]:
+    start = np.flatnonzero(np.diff(part, prepend=-1))
+    return list(zip(start.tolist(), np.append(start[1:], len(part)).tolist()))
+
+
+def _shards(parts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, turn = TaskContext.get().partitionId(), 0
+        held, size = [], 0
+
+        def shard() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held)
+            text, lang = (pa.concat_arrays(table[c].cast(pa.large_string()).chunks) for c in ("text", "lang"))
+            ids, langs, words, counts = word_ids(text, lang)
+            if turn >> TURN_BITS:
+                raise ValueError("too many shards in one task: read the documents in more partitions")
+            number = task << TURN_BITS | turn
+            part = (pd.util.hash_array(words.to_numpy(zero_copy_only=False)) % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            by = [c.take(pa.array(order)) for c in (langs, words, pa.array(np.arange(1, len(order) + 1)), pa.array(counts))]
+            runs = _runs(part[order])
+            data = [_ipc(dict(zip(("lang", "word", "place", "count"), (c[a:b] for c in by)))) for a, b in runs]
+            return _batch(_BLOCK, [None, *(int(part[order[a]]) for a, _ in runs)], [number] * (len(runs) + 1), [pack(ids), *data])
+
+        for batch in batches:
+            lengths = pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False)
+            first = 0
+            for i, n in enumerate(lengths):
+                if size and size + n > SHARD_BYTES:
+                    held.append(batch.slice(first, i - first))
+                    yield shard()
+                    held, size, first, turn = [], 0, i, turn + 1
+                size += int(n)
+            held.append(batch.slice(first))
+        if sum(map(len, held)):
+            yield shard()
+
+    return run
+
+
+def _sum_words(least: int):
+    def run(group: pa.Table) -> pa.Table:
+        tables = []
+        for shard, data in zip(group["shard"].to_pylist(), group["data"]):
+            table = pa.ipc.open_stream(data.as_buffer()).read_all()
+            tables.append(table.append_column("shard", pa.array(np.full(len(table), shard))))
+        rows = pa.concat_tables(tables).combine_chunks()
+        place, shard = rows["place"].to_numpy(), rows["shard"].to_numpy()
+        rows = rows.append_column("id", pa.array(shard << PLACE_BITS | place))
+        sums = rows.group_by(["lang", "word"]).aggregate([("count", "sum"), ("id", "min")])
+        all_words = rows.group_by("lang").aggregate([("count", "sum")])
+        sums = sums.filter(pc.greater_equal(sums["count_sum"], least))
+        known = rows.select(["lang", "word", "shard", "place"]).join(sums, ["lang", "word"], join_type="inner").sort_by(
+            [("shard", "ascending"), ("place", "ascending")])
+        shard, place, word = (known[c].to_numpy() for c in ("shard", "place", "id_min"))
+        runs = _runs(shard)
+        total = _ipc({"lang": pa.concat_arrays([*sums["lang"].chunks, *all_words["lang"].chunks]),
+                      "word": pa.concat_arrays([*sums["word"].chunks, pa.nulls(len(all_words), sums["word"].type)]),
+                      "word_id": pa.concat_arrays([*sums["id_min"].chunks, pa.nulls(len(all_words), pa.int64())]),
+                      "total": pa.concat_arrays([*sums["count_sum"].chunks, *all_words["count_sum"].chunks])})
+        told = [pack_columns([place[a:b], word[a:b]]) for a, b in runs]
+        return pa.Table.from_batches([_batch(_TOLD, [None, *(int(shard[a]) for a, _ in runs)], [total, *told])])
+
+    return run
+
+
+def _sum_phrases(least: int):
+    def run(group: pa.Table) -> pa.Table:
+        blocks = [unpack_columns(d.as_buffer().to_pybytes()) for d in group["data"]]
+        shard = np.repeat(group["shard"].to_numpy(), [len(b[0]) for b in blocks])
+        *words, count = (np.concatenate(c) for c in zip(*blocks))
+        order = np.lexsort(words[::-1])
+        words = [w[order] for w in words]
+        new = np.flatnonzero(np.logical_or.reduce([np.diff(w, prepend=-1) != 0 for w in words]))
+        total = np.add.reduceat(count[order], new)
+        known = np.repeat(total >= least, np.diff(np.append(new, len(order))))
+        frequent = new[total >= least]
+        sums = pack_columns([*(w[frequent] for w in words), total[total >= least]])
+        shard, words = shard[order][known], [w[known] for w in words]
+        by_shard = np.argsort(shard, kind="stable")
+        shard, words = shard[by_shard], [w[by_shard] for w in words]
+        runs = _runs(shard)
+        told = [pack_columns([w[a:b] for w in words]) for a, b in runs]
+        return pa.Table.from_batches([_batch(_TOLD, [None, *(int(shard[a]) for a, _ in runs)], [sums, *told])])
+
+    return run
 
 
 def _rows(frames: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -235,10 +313,9 @@ def _rows(frames: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield {n: batch.column(n)[i] for n in batch.schema.names}
 
 
-def _lists(scalar: pa.Scalar) -> list[np.ndarray]:
-    """The columns of a list of structs of integers."""
-    values = scalar.values
-    return [values.field(i).to_numpy(zero_copy_only=False) for i in range(values.type.num_fields)]
+def _alive(row: dict) -> list[np.ndarray]:
+    """The columns that all groups of a sum tell a shard."""
+    return [np.concatenate(c) for c in zip(*(unpack_columns(p.as_buffer().to_pybytes()) for p in row["alive"].values))]
 
 
 _REDUCED = "shard BIGINT, words BINARY, sequence BINARY"
@@ -247,14 +324,12 @@ _REDUCED = "shard BIGINT, words BINARY, sequence BINARY"
 def _frequent_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sequences of frequent words alone, numbered anew; `words` holds their numbers in the corpus."""
     for row in _rows(batches):
-        place, word = _lists(row["alive"])
+        place, word = _alive(row)
         order = np.argsort(place)
-        ids = unpack(row["ids"].as_py())
+        ids = unpack(row["data"].as_py())
         symbol = np.zeros(max(int(ids.max(initial=0)), int(place.max())) + 1, np.int64)
         symbol[place[order]] = np.arange(1, len(order) + 1)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([row["shard"].as_py()]), pa.array([pack(np.append(0, word[order]))]), pa.array([pack(tidy(symbol[ids]))])],
-            ["shard", "words", "sequence"])
+        yield _batch(_REDUCED, [row["shard"].as_py()], [pack(np.append(0, word[order]))], [pack(tidy(symbol[ids]))])
 
 
 _INDEX = "shard BIGINT, words BINARY, before BINARY, after BINARY"
@@ -264,12 +339,10 @@ def _frequent_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     """The index of the sequences in which every pair of neighbours is frequent."""
     for row in _rows(batches):
         words, s = unpack(row["words"].as_py()), unpack(row["sequence"].as_py())
-        first, second = _local(words, _lists(row["alive"])).T
+        first, second = _local(words, _alive(row)).T
         s = cut_pairs(s, np.sort(first * len(words) + second), len(words))
         index = Index.of(s, len(words), 4)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([row["shard"].as_py()]), pa.array([row["words"].as_py()]), pa.array([pack(index.side["left"])]),
-             pa.array([pack(index.side["right"])])], ["shard", "words", "before", "after"])
+        yield _batch(_INDEX, [row["shard"].as_py()], [row["words"].as_py()], [pack(index.side["left"])], [pack(index.side["right"])])
 
 
 def _local(words: np.ndarray, columns: list[np.ndarray]) -> np.ndarray:
@@ -283,58 +356,83 @@ def _index(row: dict) -> tuple[np.ndarray, Index]:
     return words, Index(unpack(row["before"].as_py()), unpack(row["after"].as_py()), len(words))
 
 
-def _counts(shard: int, words: np.ndarray, nodes: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-    for i in range(0, len(nodes["size"]), _BATCH):
-        phrase, size = words[nodes["phrase"][i:i + _BATCH]], nodes["size"][i:i + _BATCH]
-        columns = [np.full(len(size), shard), *phrase.T, size]
-        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns],
-                                         ["shard", *(f"w{k + 1}" for k in range(phrase.shape[1])), "count"])
+def _counts(shard: int, parts: int, words: np.ndarray, nodes: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """A shard's phrases and counts, one row per group of the sum."""
+    columns = list(words[nodes["phrase"]].T)
+    mixed = np.zeros(len(nodes["size"]), np.uint64)
+    for c in columns:
+        mixed = (mixed ^ c.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    part = (mixed % np.uint64(parts)).astype(np.int64)
+    order = np.lexsort((*columns[::-1], part))
+    part, columns = part[order], [c[order] for c in (*columns, nodes["size"])]
+    runs = _runs(part)
+    if runs:
+        yield _batch(_BLOCK, [int(part[a]) for a, _ in runs], [shard] * len(runs), [pack_columns([c[a:b] for c in columns]) for a, b in runs])
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for row in _rows(batches):
-        words = unpack(row["words"].as_py())
-        index = Index.of(unpack(row["sequence"].as_py()), len(words), 2)
-        yield from _counts(row["shard"].as_py(), words, index.grown(index.words(), "right"))
+def _pairs(parts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            words = unpack(row["words"].as_py())
+            index = Index.of(unpack(row["sequence"].as_py()), len(words), 2)
+            yield from _counts(row["shard"].as_py(), parts, words, index.grown(index.words(), "right"))
+
+    return run
+
+
+def _triples(parts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            words, index = _index(row)
+            pairs = index.grown(index.words(), "right")
+            yield from _counts(row["shard"].as_py(), parts, words, index.grown(pairs, "left"))
+
+    return run
+
 
+def _fours(parts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            words, index = _index(row)
+            triples = index.grown(index.grown(index.words(), "right"), "left")
+            both = ranks(np.concatenate((_local(words, _alive(row)), triples["phrase"])), len(words))
+            frequent, local = np.split(both, [len(both) - len(triples["size"])])
+            triples = chosen(triples, np.isin(local, frequent))
+            fours = index.grown(triples, "right")
+            # The last three words are a frequent triple where the interval of the reversed phrase lies in one's.
+            ends = within(triples["right"], triples["size"], fours["right"])
+            yield from _counts(row["shard"].as_py(), parts, words, chosen(fours, ends))
 
-def _triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return run
+
+
+_WORD_SUMS = "lang STRING, word STRING, word_id BIGINT, total BIGINT"
+
+
+def _word_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for row in _rows(batches):
-        words, index = _index(row)
-        pairs = index.grown(index.words(), "right")
-        yield from _counts(row["shard"].as_py(), words, index.grown(pairs, "left"))
+        table = pa.ipc.open_stream(row["data"].as_buffer()).read_all()
+        yield from table.cast(pa.schema([("lang", pa.string()), ("word", pa.string()), ("word_id", pa.int64()), ("total", pa.int64())])).to_batches()
 
 
-def _fours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _phrase_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for row in _rows(batches):
-        words, index = _index(row)
-        triples = index.grown(index.grown(index.words(), "right"), "left")
-        both = ranks(np.concatenate((_local(words, _lists(row["alive"])), triples["phrase"])), len(words))
-        frequent, local = np.split(both, [len(both) - len(triples["size"])])
-        triples = chosen(triples, np.isin(local, frequent))
-        fours = index.grown(triples, "right")
-        # The last three words are a frequent triple where the interval of the reversed phrase lies in one's.
-        ends = within(triples["right"], triples["size"], fours["right"])
-        yield from _counts(row["shard"].as_py(), words, chosen(fours, ends))
+        columns = unpack_columns(row["data"].as_py())
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [*_names(len(columns) - 1), "f"])
 
 
 # --- the corpus ----------------------------------------------------------------
 
 
-def _frequent(counts: DataFrame, keys: list[str], least: int, label: str, *more) -> DataFrame:
-    """Rows whose sum over the shards is at least `least`; `first` marks one row of each sum.
+def _summed(blocks: DataFrame, how, label: str) -> tuple[DataFrame, DataFrame]:
+    """(`shard`, `alive`: what the sums tell each shard; rows of the sums themselves).
 
-    A key has at most one row per shard.
+    A shard has a phrase once, and hashes deal phrases evenly: no group is large.
     """
-    same = Window.partitionBy(*keys)
-    return stored(
-        counts.withColumns({"total": F.sum("count").over(same), "first": F.min("shard").over(same) == F.col("shard")})
-        .withColumns({n: c.over(same) for n, c in more}).where(F.col("total") >= least).drop("count"), label)
-
-
-def _with_alive(table: DataFrame, alive: DataFrame, *columns: str) -> DataFrame:
-    """A shard's row plus what of it goes on: bounded by the shard's size."""
-    return table.join(alive.groupBy("shard").agg(F.collect_list(F.struct(*columns)).alias("alive")), "shard")
+    found = stored(blocks.groupBy("part").applyInArrow(how, _TOLD), label)
+    told = found.where("shard IS NOT NULL").groupBy("shard").agg(F.collect_list("data").alias("alive"))
+    return told, found.where("shard IS NULL").select("data")
 
 
 def phrase_counts(docs: DataFrame, least: int = 30, text: str = "text", lang: str = "lang") -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -344,30 +442,33 @@ def phrase_counts(docs: DataFrame, least: int = 30, text: str = "text", lang: st
     Null texts count as empty, null languages as `und`; an empty table gives empty ones.
     """
     plain = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(F.col(lang), F.lit(NO_LANGUAGE)).alias("lang"))
-    shards = stored(plain.mapInArrow(_shards, _SHARDS), "phrase-shards")
-    entries = shards.select("shard", F.posexplode(F.arrays_zip("langs", "words", "counts")).alias("place", "e")).select(
-        "shard", (F.col("place") + 1).cast("bigint").alias("place"), "e.langs", "e.words", "e.counts").toDF("shard", "place", "lang", "word", "count")
-    number = F.shiftleft("shard", PLACE_BITS).bitwiseOR(F.col("place"))
-    words = _frequent(entries, ["lang", "word"], least, "phrase-words", ("word_id", F.min(number)))
-    reduced = stored(_with_alive(shards.select("shard", "ids"), words, "place", "word_id").mapInArrow(_frequent_words, _REDUCED), "phrase-sequences")
-    pairs = _frequent(_emitted(reduced, _pairs, 2), _names(2), least, "phrase-pairs")
-    index = stored(_with_alive(reduced, pairs, *_names(2)).mapInArrow(_frequent_pairs, _INDEX), "phrase-index")
-    triples = _frequent(_emitted(index, _triples, 3), _names(3), least, "phrase-triples")
-    fours = _frequent(_emitted(_with_alive(index, triples, *_names(3)), _fours, 4), _names(4), least, "phrase-fours")
-
-    found = words.where("first").select(F.array("word_id").alias("ids"), F.col("total").alias("f"))
-    for k, frame in enumerate((pairs, triples, fours), 2):
-        found = found.unionByName(frame.where("first").select(F.array(*_names(k)).alias("ids"), F.col("total").alias("f")))
-    languages = entries.groupBy("lang").agg(F.sum("count").alias("n"))
-    return languages, words.where("first").select("word_id", "lang", "word"), found
+    parts = group_count(plain, "text", SHARD_BYTES)  # a group of a sum is about as large as a shard
+    shards = stored(plain.mapInArrow(_shards(parts), _BLOCK), "phrase-shards")
+    told, sums = _summed(shards.where("part IS NOT NULL"), _sum_words(least), "phrase-words")
+    words = stored(sums.mapInArrow(_word_sums, _WORD_SUMS), "phrase-vocabulary")
+    known = words.where("word_id IS NOT NULL")
+    found = known.select(F.array("word_id").alias("ids"), F.col("total").alias("f"))
+
+    sequences = shards.where("part IS NULL").select("shard", "data").join(told, "shard")
+    reduced = stored(sequences.mapInArrow(_frequent_words, _REDUCED), "phrase-sequences")
+    told, sums = _summed(reduced.mapInArrow(_pairs(parts), _BLOCK), _sum_phrases(least), "phrase-pairs")
+    found = found.unionByName(_phrases(sums, 2))
+    index = stored(reduced.join(told, "shard").mapInArrow(_frequent_pairs, _INDEX), "phrase-index")
+    told, sums = _summed(index.mapInArrow(_triples(parts), _BLOCK), _sum_phrases(least), "phrase-triples")
+    found = found.unionByName(_phrases(sums, 3))
+    _, sums = _summed(index.join(told, "shard").mapInArrow(_fours(parts), _BLOCK), _sum_phrases(least), "phrase-fours")
+    found = found.unionByName(_phrases(sums, 4))
+    languages = words.where("word_id IS NULL").groupBy("lang").agg(F.sum("total").alias("n"))
+    return languages, known.select("word_id", "lang", "word"), stored(found, "phrase-counts")
 
 
 def _names(k: int) -> list[str]:
     return [f"w{i + 1}" for i in range(k)]
 
 
-def _emitted(table: DataFrame, step, k: int) -> DataFrame:
-    return table.mapInArrow(step, ", ".join(f"{n} BIGINT" for n in ("shard", *_names(k), "count")))
+def _phrases(sums: DataFrame, k: int) -> DataFrame:
+    schema = ", ".join(f"{n} BIGINT" for n in (*_names(k), "f"))
+    return sums.mapInArrow(_phrase_sums, schema).select(F.array(*_names(k)).alias("ids"), "f")
 
 
 def collocations(docs: DataFrame, least: int = 30, top: int | None = 2000, text: str = "text", lang: str = "lang") -> DataFrame:
