@@ -119,6 +119,40 @@ def stitch(
     return whole.unionByName(inner).unionByName(edges)
 
 
+def as_of(
+    points: DataFrame, steps: DataFrame, keys: list[str], position: Column, at: Column, value: Column, width: int
+) -> DataFrame:
+    """`points` plus `_hit`, `value` of the last step at or before their position, and
+    `_first`, that of their key's first step; null where there is none.
+
+    A merge: steps and points of a key lie in blocks of the axis, each block also
+    gets what is in force where it begins, and one ordered pass over the block
+    hands the value down. Points are shuffled once; a value reaches later blocks
+    through one summary row per block. Null keys are a key of their own, null
+    positions find nothing.
+    """
+    here, lowest = [F.col(k) for k in keys], F.lit(-(2**63)).cast("bigint")
+    asked = points.select(*keys, block_of(position, width).alias(BLOCK), position.cast("bigint").alias("_at"), F.struct(*points.columns).alias("_row"))
+    given = steps.select(*keys, block_of(at, width).alias(BLOCK), at.cast("bigint").alias("_at"), value.alias("_value"))
+    cells = asked.select(*keys, BLOCK).distinct().unionByName(given, allowMissingColumns=True).groupBy(*keys, BLOCK).agg(
+        F.max_by("_value", "_at").alias("_end"), F.min_by("_value", "_at").alias("_begin"))
+    order = Window.partitionBy(*keys).orderBy(BLOCK)
+    carried = cells.select(
+        *here, BLOCK, lowest.alias("_at"),
+        F.last("_end", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("_value"),
+        F.first("_begin", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_first"))
+    every = carried.unionByName(given, allowMissingColumns=True).unionByName(asked, allowMissingColumns=True)
+    # At one position steps come before points: they have no row.
+    merged = Window.partitionBy(*keys, BLOCK).orderBy(F.col("_at").asc_nulls_last(), F.col("_row").isNotNull())
+    so_far = merged.rowsBetween(Window.unboundedPreceding, 0)
+    found = every.select(
+        "_at", "_row", F.last("_value", ignorenulls=True).over(so_far).alias("_hit"),
+        F.first("_first", ignorenulls=True).over(so_far).alias("_first"))
+    known = F.col("_at").isNotNull()
+    return found.where(F.col("_row").isNotNull()).select(
+        "_row.*", F.when(known, F.col("_hit")).alias("_hit"), F.when(known, F.col("_first")).alias("_first"))
+
+
 def lookup_join(
     left: DataFrame,
     right: DataFrame,

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampType
 
 from cueweave.operators.blocks import lookup_join
 
@@ -55,53 +56,66 @@ def cache_list(entries: DataFrame) -> DataFrame:
     return entries.orderBy(F.col("accessed").desc(), F.col("digest"))
 
 
-def _crossing(histogram: DataFrame, order: Column, room: int) -> Row | None:
-    """First bucket, in order, whose running bytes exceed `room`.
-
-    A histogram has at most 65,536 buckets, so one unpartitioned window is small.
-    """
-    running = F.sum("bytes").over(Window.orderBy(order))
-    return (
-        histogram.withColumn("upto", running).where(F.col("upto") > room).orderBy("upto", order).first()
-    )
+def access_micros(entries: DataFrame) -> Column:
+    """Access time as a number: microseconds of a timestamp, else the number itself;
+    entries that were never accessed come before all others."""
+    kind = entries.schema["accessed"].dataType
+    number = F.unix_micros("accessed") if isinstance(kind, TimestampType) else F.col("accessed").cast("bigint")
+    return F.coalesce(number, F.lit(-(2**63)).cast("bigint"))
 
 
-def eviction_cut(entries: DataFrame, max_bytes: int = MAX_BYTES) -> Column:
-    """Condition met by the entries that stay.
+def first_evicted(entries: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """One row (`_time`, `_digest`): the first entry, newest access first and equal times by
+    digest, with which the running size passes `max_bytes`; nulls if all fit.
 
-    Entries stay, newest access first, while their running size fits the
-    ceiling. Instead of sorting the table, the place of the cut is found digit
-    by digit: a histogram of bytes over 16 bits of the access time shows the
-    bucket where the ceiling is crossed, the next pass looks into that bucket
-    only, then ties are settled by four hex digits of the digest at a time.
-    Each pass is a scan with a tiny aggregate, and the result is a plain filter.
+    A hierarchical prefix sum: bytes per bucket of 16 bits of the time, a running
+    sum over at most 65,536 buckets, then the same inside the bucket where the
+    ceiling is passed; ties go on with four hex digits of the digest each. Only the
+    entries of the last bucket, which share a microsecond and eight hex digits,
+    are sorted. It is one plan; each level is a scan of three columns with a small aggregate.
     """
-    accessed = F.col("accessed").cast("bigint")
-    time_digits = [F.shiftright(accessed, 48)] + [
-        F.shiftright(accessed, s).bitwiseAND(F.lit(0xFFFF)) for s in (32, 16, 0)
-    ]
-    tie_digits = [F.substring("digest", start, 4) for start in range(1, 65, 4)]
-    room, inside, keep = max_bytes, F.lit(True), F.lit(False)
-    for i, digit in enumerate(time_digits + tie_digits):
-        newest_first = i < len(time_digits)
-        histogram = entries.where(inside).groupBy(digit.alias("bucket")).agg(
-            F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("n")
-        )
-        order = F.col("bucket").desc() if newest_first else F.col("bucket").asc()
-        cut = _crossing(histogram, order, room)
-        if cut is None:
-            return keep | inside
-        keep = keep | (inside & (digit > cut["bucket"] if newest_first else digit < cut["bucket"]))
-        inside = inside & (digit == cut["bucket"])
-        room -= cut["upto"] - cut["bytes"]
-        if cut["n"] == 1:
-            return keep
-    return keep
+    time = F.col("_time")
+    levels = [(F.shiftright(time, 48), True), *((F.shiftright(time, s).bitwiseAND(F.lit(0xFFFF)), True) for s in (32, 16, 0)),
+              *((F.substring("_digest", at, 4), False) for at in (1, 5))]
+    rows = entries.select(access_micros(entries).alias("_time"), F.coalesce("digest", F.lit("")).alias("_digest"),
+                          F.coalesce(F.col("bytes"), F.lit(0)).alias("_bytes"))
+    inside, path = rows.withColumn("_room", F.lit(max_bytes).cast("decimal(38,0)")), []
+    for k, (digit, newest_first) in enumerate(levels):
+        sums = inside.groupBy("_room", *path, digit.alias("_digit")).agg(F.sum(F.col("_bytes").cast("decimal(38,0)")).alias("_sum"))
+        order = Window.orderBy(F.col("_digit").desc() if newest_first else F.col("_digit").asc())
+        over = sums.withColumn("_upto", F.sum("_sum").over(order)).where(F.col("_upto") > F.col("_room"))
+        first = F.max_by if newest_first else F.min_by
+        room = (F.col("_room") - F.col("_upto") + F.col("_sum")).cast("decimal(38,0)")
+        cut = over.agg(first(F.struct(*path, F.col("_digit").alias(f"_cut{k}"), room.alias("_left")), F.col("_digit")).alias("_c"))
+        path.append(f"_cut{k}")
+        cut = cut.select("_c.*").withColumnRenamed("_left", "_room")
+        same = F.lit(True)
+        for name, (d, _) in zip(path, levels):
+            same = same & (d == F.col(name))
+        inside = rows.join(F.broadcast(cut), same)  # one row
+    order = Window.orderBy(time.desc(), "_digest")
+    passed = inside.withColumns({"_upto": F.sum("_bytes").over(order), "_no": F.row_number().over(order)}).where("_upto > _room")
+    return passed.agg(F.min_by(F.struct("_time", "_digest"), "_no").alias("_c")).select("_c.*")
 
 
 def cache_evict(entries: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """`entries` plus `kept`: least recently used ones go beyond the ceiling."""
-    return entries.withColumn("kept", eviction_cut(entries, max_bytes))
+    """`entries` plus `kept`: least recently used ones go beyond the ceiling.
+
+    `accessed` is a timestamp, to the microsecond, or a number; null times are the
+    oldest, null sizes count nothing.
+    """
+    cut = F.broadcast(first_evicted(entries, max_bytes))  # one row
+    time, digest = access_micros(entries), F.coalesce("digest", F.lit(""))
+    newer = (time > F.col("_time")) | ((time == F.col("_time")) & (digest < F.col("_digest")))
+    return entries.join(cut, F.lit(True), "left").select(
+        *entries.columns, (F.col("_time").isNull() | newer).alias("kept"))
+
+
+def touch(entries: DataFrame, hits: DataFrame) -> DataFrame:
+    """`entries` with the access time of those that `hits` (digest, accessed) found, if it is later."""
+    last = hits.where("digest IS NOT NULL").groupBy("digest").agg(F.max("accessed").alias("_touched"))
+    touched = entries.join(last, "digest", "left")
+    return touched.withColumn("accessed", F.greatest("accessed", "_touched")).select(*entries.columns)
 
 
 def read_versioned(envelopes: DataFrame, version: int = CACHE_VERSION) -> DataFrame:

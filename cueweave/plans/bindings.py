@@ -158,11 +158,20 @@ def tokens(docs: DataFrame) -> DataFrame:
 
 
 def spans(events: DataFrame) -> DataFrame:
+    """Spans of five media, each as long as its last span says."""
     start = int_div(micros(F.col("ts")) - EPOCH_2024_US, 1_000_000)
-    return events.select(
-        (F.col("user_id") % 5).alias("media_id"), start.alias("start"),
-        (start + F.floor(F.col("value") * 20)).alias("end"), F.lit(2_500_000).cast("bigint").alias("length"),
-    )
+    rows = events.select(
+        (F.col("user_id") % 5).alias("media_id"), start.alias("start"), (start + F.floor(F.col("value") * 20)).alias("end"))
+    return rows.join(rows.groupBy("media_id").agg(F.max("end").alias("length")), "media_id")
+
+
+def speech(docs: DataFrame) -> DataFrame:
+    """Spans of the segments in the original sound, where each is three seconds later than
+    compaction leaves it after the one before."""
+    shift = (F.col("segment_id") + 1) * 48_000
+    return segments(docs).select(
+        "media_id", (F.col("start_ms") * 16 + shift).alias("start"), (F.col("end_ms") * 16 + shift).alias("end"),
+        F.lit(1 << 50).alias("length"))
 
 
 def points(events: DataFrame) -> DataFrame:
@@ -179,6 +188,13 @@ def progress(events: DataFrame) -> DataFrame:
     )
 
 
+def timed_progress(events: DataFrame) -> DataFrame:
+    return events.select(
+        F.col("user_id").alias("task_id"), F.col("event_id").alias("seq"),
+        int_div(micros(F.col("ts")), 1000).alias("ts_ms"), F.floor("value").cast("int").alias("percent"),
+    )
+
+
 TYPES = {"click": "progress", "view": "segments", "purchase": "download", "signup": "notice", "error": "phase"}
 
 
@@ -406,11 +422,11 @@ def checksum_manifests(pages: DataFrame) -> DataFrame:
 
 
 def watch_runs(events: DataFrame) -> DataFrame:
-    """target_id, day, seq, state."""
+    """target_id, ts_ms, seq, state."""
     code = F.when(F.col("event_type") == "error", 20).when(F.col("event_type") == "click", 12).otherwise(0)
     found = F.col("event_type").isin("view", "signup")
     return events.select(
-        F.col("user_id").alias("target_id"), int_div(micros(F.col("ts")), 86_400_000_000).alias("day"),
+        F.col("user_id").alias("target_id"), int_div(micros(F.col("ts")), 1000).alias("ts_ms"),
         F.col("event_id").alias("seq"), watch_state(code, found).alias("state"),
     )
 

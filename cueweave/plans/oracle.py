@@ -147,8 +147,7 @@ CTES: dict[str, str] = {
         GROUP BY media_id, segment_id, wn""",
     "spans": f"""SELECT user_id % 5 AS media_id, (epoch_us(ts) - {_US2024}) // 1000000 AS start,
             (epoch_us(ts) - {_US2024}) // 1000000 + CAST(floor(value * 20) AS BIGINT) AS "end" FROM events""",
-    "clipped": """SELECT media_id, start, least(e + 1, 2500000) AS "end" FROM (
-            SELECT media_id, least(start, 2500000) AS start, least("end", 2500000) AS e FROM spans) WHERE e > start""",
+    "clipped": """SELECT media_id, start, least("end" + 1, max("end") OVER (PARTITION BY media_id)) AS "end" FROM spans WHERE "end" > start""",
     "merged": """SELECT media_id, min(start) AS start, max("end") AS "end"
         FROM (SELECT *, sum(opens) OVER (PARTITION BY media_id ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS island
             FROM (SELECT *, CASE WHEN start <= max("end") OVER (PARTITION BY media_id ORDER BY start, "end"
@@ -261,14 +260,12 @@ CTES: dict[str, str] = {
         WHERE length(w) > 3""",
     "runs_of_text": """SELECT media_id, text, count(*) AS n, min(segment_id) AS first_segment, min(start_ms) AS start_ms, max(end_ms) AS end_ms
         FROM (SELECT *, segment_id - row_number() OVER (PARTITION BY media_id, text ORDER BY segment_id) AS isle FROM segs) GROUP BY media_id, text, isle""",
-    "day_states": """SELECT target_id, day, state FROM (
-            SELECT user_id AS target_id, epoch_us(ts) // 86400000000 AS day, event_id, CASE WHEN event_type = 'click' THEN 'inconclusive'
-                WHEN event_type IN ('view', 'signup') THEN 'success' ELSE 'failure' END AS state FROM events)
-        QUALIFY row_number() OVER (PARTITION BY target_id, day ORDER BY event_id DESC) = 1""",
-    "actions": """SELECT target_id, day, action FROM (
-            SELECT target_id, day, CASE WHEN state = 'failure' AND prev = 'failure' THEN 'append' WHEN state = 'failure' THEN 'open'
+    "watch_runs": """SELECT user_id AS target_id, epoch_us(ts) // 1000 AS ts_ms, event_id AS seq, epoch_us(ts) // 86400000000 AS day,
+            CASE WHEN event_type IN ('view', 'signup') THEN 'success' ELSE 'failure' END AS state FROM events WHERE event_type <> 'click'""",
+    "actions": """SELECT target_id, ts_ms, seq, day, action FROM (
+            SELECT *, CASE WHEN state = 'failure' AND prev = 'failure' THEN 'append' WHEN state = 'failure' THEN 'open'
                 WHEN prev = 'failure' THEN 'close' END AS action
-            FROM (SELECT *, lag(state) OVER (PARTITION BY target_id ORDER BY day) AS prev FROM day_states WHERE state <> 'inconclusive'))
+            FROM (SELECT *, lag(state) OVER (PARTITION BY target_id ORDER BY ts_ms, seq) AS prev FROM watch_runs))
         WHERE action IS NOT NULL""",
 }
 
@@ -488,6 +485,8 @@ _BODIES: dict[str, str] = {
                 FROM (SELECT media_id, segment_id, unnest(string_split_regex(lower(text), '[^\p{L}\p{N}]+')) AS w FROM segs) WHERE length(w) > 3 GROUP BY media_id, w)
             WHERE l OR r GROUP BY media_id) v ON v.media_id = coalesce(a.media_id, b.media_id)""",
     "assemble_words": 'SELECT media_id, segment_id, word_id, word, start, "end", probability FROM words',
+    "assemble_words_mapped": """SELECT media_id, segment_id, word_id, word, probability,
+            start * 10 + (segment_id + 1) * 3000 AS start_ms, "end" * 10 + (segment_id + 1) * 3000 AS end_ms FROM words""",
     "coverage": """SELECT m.media_id, c AS covered_ms, duration_ms, round(CAST(c AS DOUBLE) / duration_ms, 6) AS coverage, c > duration_ms * 0.9 AS sufficient
         FROM media m JOIN (SELECT media_id, arg_max(end_ms, segment_id) AS c FROM segs GROUP BY 1) s ON s.media_id = m.media_id""",
     "repeated_segments": "SELECT media_id, text, count(*) AS n FROM segs GROUP BY ALL HAVING count(*) > 3",
@@ -550,6 +549,9 @@ _BODIES: dict[str, str] = {
             SELECT media_id, segment_id, CASE WHEN segment_id % 17 = 16 THEN start_ms - 30000 ELSE start_ms END AS a,
                 CASE WHEN segment_id % 23 = 22 THEN (start_ms) - 5 ELSE end_ms END AS b FROM segs) s LEFT JOIN media m ON m.media_id = s.media_id)) WHERE faults <> ''""",
     "cache_evict": f"SELECT digest, bytes, accessed, sum(bytes) OVER (ORDER BY accessed DESC, digest ROWS UNBOUNDED PRECEDING) <= {CACHE_CEILING} AS kept FROM latest",
+    "cache_evict_micros": f"""SELECT digest, bytes, accessed,
+            sum(bytes) OVER (ORDER BY accessed DESC NULLS LAST, digest ROWS UNBOUNDED PRECEDING) <= {CACHE_CEILING} AS kept
+        FROM (SELECT digest, bytes, CASE WHEN entry_id % 97 <> 5 THEN {_US2024} + entry_id * 3 % 1009 END AS accessed FROM latest)""",
     "progress_highwater": """SELECT task_id, seq, percent FROM (SELECT user_id AS task_id, event_id AS seq, CAST(floor(value) AS INTEGER) AS percent,
             coalesce(max(floor(value)) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS h FROM events) WHERE percent > h""",
     "coalesce_events": "SELECT task_id, seq, ts_ms, type, item, amount, batch_ms, message_seq FROM merged_msgs",
@@ -561,6 +563,8 @@ _BODIES: dict[str, str] = {
                     CAST(coalesce(sum(octet_length(encode(line))) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT)
                         + (CASE WHEN (i - 1) % 11 = 10 THEN 1 ELSE 0 END) AS pos FROM lines)))""",
     "latest_entry": "SELECT digest, entry_id, bytes, accessed, title FROM latest",
+    "cache_touch": """SELECT l.digest, entry_id, bytes, greatest(accessed, coalesce(h.a, accessed)) AS accessed, title
+        FROM latest l LEFT JOIN (SELECT sha256(text) AS digest, max(doc_id % 7 + 30) AS a FROM documents WHERE doc_id % 3 = 0 GROUP BY 1) h ON h.digest = l.digest""",
     "cache_list": "SELECT digest, accessed, bytes, title FROM latest ORDER BY accessed DESC, digest",
     "track_union": "SELECT video_id, lang, auto, position, ext, url FROM tracks",
     "plan_requests": _PLAN,
@@ -575,10 +579,12 @@ _BODIES: dict[str, str] = {
     "stream_segments": """SELECT media_id, segment_id, segment_id % 5 <> 4 AS final, media_id * 1000000 + segment_id + (CASE WHEN segment_id % 5 <> 4 THEN 1 ELSE 0 END) AS seq,
         CASE WHEN segment_id % 5 <> 4 THEN '= ' || text ELSE text END AS text, CASE WHEN segment_id % 5 <> 4 AND segment_id % 10 <> 9 THEN (segment_id * 37 % 100) / 100.0 END AS probability FROM segs""",
     "stream_daily_check": "SELECT task_id, opened_ms FROM due",
-    "stream_watch": "SELECT target_id, day, action FROM actions",
+    "stream_watch": "SELECT target_id, ts_ms, seq, day, action FROM actions",
+    "stream_flush": """SELECT task_id, max(batch_ms) AS batch_ms, arg_max(n, batch_ms) AS n, count(*) AS batches
+        FROM (SELECT task_id, ts_ms // 100 * 100 AS batch_ms, count(*) AS n FROM msgs GROUP BY ALL) GROUP BY task_id""",
     "watch_incidents": """SELECT target_id, CAST(k AS BIGINT) AS incident, min(day) AS opened, count(*) FILTER (WHERE action <> 'close') AS failures,
             max(CASE WHEN action = 'close' THEN day END) AS closed
-        FROM (SELECT *, sum(CASE WHEN action = 'open' THEN 1 ELSE 0 END) OVER (PARTITION BY target_id ORDER BY day) AS k FROM actions) GROUP BY target_id, k""",
+        FROM (SELECT *, sum(CASE WHEN action = 'open' THEN 1 ELSE 0 END) OVER (PARTITION BY target_id ORDER BY ts_ms, seq) AS k FROM actions) GROUP BY target_id, k""",
 }
 _BODIES["stream_progress"] = _BODIES["progress_highwater"]
 

@@ -14,7 +14,7 @@ from cueweave.operators import (
 from cueweave.operators.blocks import lookup_join
 from cueweave.plans import bindings as b
 from cueweave.session import configure, scratch
-from cueweave.sources import readers, writers
+from cueweave.sources import readers, result_table, writers
 from cueweave.streaming import batches, progress, runner, status
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -502,11 +502,7 @@ def _timemap(evts: DataFrame) -> DataFrame:
 
 @query("events")
 def remap_timeline(evts: DataFrame) -> DataFrame:
-    # The map is read three times below; written once it is computed once.
-    spark = evts.sparkSession
-    path = scratch(spark, "timemap")
-    _timemap(evts).write.parquet(path)
-    return timeline.remap_timeline(b.points(evts), spark.read.parquet(path), spread_by=["point_id"])
+    return timeline.remap_timeline(b.points(evts), _timemap(evts))
 
 
 @query("documents")
@@ -558,6 +554,14 @@ def assemble_words(docs: DataFrame) -> DataFrame:
     return words.assemble_words(b.tokens(docs)).withColumn("probability", r6("probability"))
 
 
+@query("documents")
+def assemble_words_mapped(docs: DataFrame) -> DataFrame:
+    """Words of recognised compacted sound, with times on the original axis."""
+    pieces = timeline.compact_timeline(timeline.merge_spans(b.speech(docs)))
+    made = words.on_original_axis(words.assemble_words(b.tokens(docs)), pieces)
+    return made.withColumn("probability", r6("probability"))
+
+
 @query("documents")
 def coverage(docs: DataFrame) -> DataFrame:
     return quality.coverage(b.segments(docs), b.media(docs)).withColumn("coverage", r6("coverage"))
@@ -698,13 +702,24 @@ def monotonic_check(docs: DataFrame) -> DataFrame:
 
 @query("documents")
 def cache_evict(docs: DataFrame) -> DataFrame:
-    # Several passes read the entries, so they are a written table first.
+    # Several levels read the entries, so they are a written table first.
     spark = docs.sparkSession
     path = scratch(spark, "entries")
     results.latest_entry(b.cache_entries(docs)).select("digest", "bytes", "accessed").write.parquet(path)
     return results.cache_evict(spark.read.parquet(path), b.CACHE_CEILING)
 
 
+@query("documents")
+def cache_evict_micros(docs: DataFrame) -> DataFrame:
+    """Access times a few microseconds apart, some unknown."""
+    entries = results.latest_entry(b.cache_entries(docs))
+    at = F.timestamp_micros(F.lit(b.EPOCH_2024_US) + F.col("entry_id") * 3 % 1009)
+    path = scratch(docs.sparkSession, "entries")
+    entries.select("digest", "bytes", F.when(F.col("entry_id") % 97 != 5, at).alias("accessed")).write.parquet(path)
+    found = results.cache_evict(docs.sparkSession.read.parquet(path), b.CACHE_CEILING)
+    return found.select("digest", "bytes", F.unix_micros("accessed").alias("accessed"), "kept")
+
+
 @query("events")
 def progress_highwater(evts: DataFrame) -> DataFrame:
     return events.progress_highwater(b.progress(evts))
@@ -725,6 +740,18 @@ def latest_entry(docs: DataFrame) -> DataFrame:
     return results.latest_entry(b.cache_entries(docs)).select("digest", "entry_id", "bytes", "accessed", "title")
 
 
+@query("documents")
+def cache_touch(docs: DataFrame) -> DataFrame:
+    """A table in buckets: half of the entries, then the others together with hits on every third."""
+    path = scratch(docs.sparkSession, "results")
+    entries = b.cache_entries(docs)
+    half = F.col("entry_id") % 2 == 0
+    result_table.upsert_results(entries.where(half), path, buckets=16)
+    hits = entries.where("entry_id % 3 = 0").select("digest", (F.col("entry_id") % 7 + 30).alias("accessed"))
+    result_table.upsert_results(entries.where(~half), path, hits)
+    return result_table.read_results(docs.sparkSession, path).select("digest", "entry_id", "bytes", "accessed", "title")
+
+
 @query("documents")
 def cache_list(docs: DataFrame) -> DataFrame:
     return results.cache_list(results.latest_entry(b.cache_entries(docs))).select("digest", "accessed", "bytes", "title")
@@ -755,34 +782,54 @@ def build_documents(docs: DataFrame) -> DataFrame:
 # --- streams -----------------------------------------------------------------
 
 
+def _replayed(spark: SparkSession, folder: str, make) -> tuple[DataFrame, DataFrame, str]:
+    """The events as a stream, as a table, and the watermark delay that a stored table needs."""
+    table = make(b.table(spark, folder, "events"))
+    return make(runner.table_stream(spark, folder, "events")), table, runner.table_delay(table)
+
+
 @stream_query
 def stream_progress(spark: SparkSession, folder: str) -> DataFrame:
-    source = b.progress(runner.table_stream(spark, folder, "events"))
-    return runner.drain(progress.stream_progress(source), "progress")
+    source, table, delay = _replayed(spark, folder, b.timed_progress)
+    return runner.drain_closed(source, lambda s: progress.stream_progress(s, delay), "progress", table)
 
 
 @stream_query
 def stream_batches(spark: SparkSession, folder: str) -> DataFrame:
     """Windows opened by their first message, then every message with its window."""
-    source = b.messages(runner.table_stream(spark, folder, "events"))
-    opened = runner.drain(batches.stream_openings(source), "openings")
-    return batches.assign_batches(b.messages(b.table(spark, folder, "events")), opened).select("task_id", "seq", "ts_ms", "batch_ms")
+    source, table, delay = _replayed(spark, folder, b.messages)
+    opened = runner.drain_closed(source, lambda s: batches.stream_openings(s, delay=delay), "openings", table)
+    return batches.assign_batches(table, opened).select("task_id", "seq", "ts_ms", "batch_ms")
 
 
 @stream_query
 def stream_coalesce(spark: SparkSession, folder: str) -> DataFrame:
-    source = b.messages(runner.table_stream(spark, folder, "events"))
-    return batches.settled(runner.drain_batches(source, "coalesced", batches.coalesce_batch))
+    source, table, delay = _replayed(spark, folder, b.messages)
+    return runner.drain_closed_batches(
+        source, lambda s: batches.closed_windows(s, delay=delay), "coalesced", batches.coalesce_batch, table).drop("batch")
+
+
+@stream_query
+def stream_flush(spark: SparkSession, folder: str) -> DataFrame:
+    """The last batch of each task, which only the closing of the stream delivers."""
+    source, table, delay = _replayed(spark, folder, b.messages)
+
+    def counted(messages: DataFrame) -> DataFrame:
+        return batches.windowed_counts(messages.withColumn("ts", F.timestamp_millis("ts_ms")), watermark=delay)
+
+    found = runner.drain_closed(source, counted, "flush", table).withColumn("batch_ms", F.unix_millis("window_start"))
+    last = F.max_by(F.struct("batch_ms", "n"), "batch_ms")
+    return found.groupBy("task_id").agg(last.alias("_last"), F.count("*").alias("batches")).select("task_id", "_last.*", "batches")
 
 
 @stream_query
 def stream_status(spark: SparkSession, folder: str) -> DataFrame:
-    m = b.messages(runner.table_stream(spark, folder, "events"))
-    source = m.select(
+    messages, table, _ = _replayed(spark, folder, b.messages)
+    source = messages.select(
         "task_id", "seq", "ts_ms", F.when(F.col("type") == "progress", F.col("amount")).alias("percent"),
         F.when(F.col("type") == "segments", F.col("ts_ms") * 7).alias("end_ms"),
     )
-    written = runner.drain_batches(status.stream_status(source), "status", lambda batch: batch, mode="update")
+    written = runner.drain_batches(status.stream_status(source), "status", lambda batch: batch, "update", table)
     return status.latest_status(written)
 
 
@@ -794,24 +841,28 @@ def stream_segments(spark: SparkSession, folder: str) -> DataFrame:
     provisional = F.struct(F.lit(False).alias("final"), seq.alias("seq"), F.col("text").alias("text"), F.lit(None).cast("double").alias("probability"))
     final = F.struct(F.lit(True).alias("final"), (seq + 1).alias("seq"), F.concat(F.lit("= "), "text").alias("text"), F.col("no_speech_prob").alias("probability"))
     both = F.when(F.col("segment_id") % 5 == 4, F.array(provisional)).otherwise(F.array(provisional, final))
-    return status.supersede(runner.drain(found.select("media_id", "segment_id", F.inline(both)), "segments"))
+    rows = found.select("media_id", "segment_id", F.inline(both))
+    return status.supersede(runner.drain(rows, "segments", b.table(spark, folder, "documents")))
 
 
 @stream_query
 def stream_daily_check(spark: SparkSession, folder: str) -> DataFrame:
-    e = runner.table_stream(spark, folder, "events")
-    checks = e.select(F.col("user_id").alias("task_id"), timecode.int_div(b.micros(F.col("ts")), 1000).alias("ts_ms"))
-    return runner.drain(batches.stream_daily_check(checks), "daily")
+    def checks(e: DataFrame) -> DataFrame:
+        return e.select(F.col("user_id").alias("task_id"), timecode.int_div(b.micros(F.col("ts")), 1000).alias("ts_ms"))
+
+    source, table, delay = _replayed(spark, folder, checks)
+    return runner.drain_closed(source, lambda s: batches.stream_daily_check(s, delay=delay), "daily", table)
 
 
 @stream_query
 def stream_watch(spark: SparkSession, folder: str) -> DataFrame:
-    return runner.drain(status.stream_watch(b.watch_runs(runner.table_stream(spark, folder, "events"))), "watch")
+    source, table, delay = _replayed(spark, folder, b.watch_runs)
+    return runner.drain_closed(source, lambda s: status.stream_watch(s, delay), "watch", table)
 
 
 @query("events")
 def watch_incidents(evts: DataFrame) -> DataFrame:
-    return status.incidents(status.watch_actions(status.daily_outcomes(b.watch_runs(evts))))
+    return status.incidents(status.watch_actions(b.watch_runs(evts)))
 
 
 QUERIES["render"] = QUERIES.pop("render_formats")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cueweave.functions.text import safe_filename
 from cueweave.operators.blocks import lookup_join
+from cueweave.sources import manifest
 
 
 class OutputRefused(Exception):
@@ -57,13 +58,46 @@ def write_documents(rows: DataFrame, path: str, overwrite: bool = False) -> None
     aside = f"{path.rstrip('/')}.{uuid.uuid4().hex}.part"
     rows.write.mode("errorifexists").partitionBy("format").parquet(aside)
     staged = jvm.org.apache.hadoop.fs.Path(aside)
+    old = None
     if overwrite and fs.exists(target):
         old = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.{uuid.uuid4().hex}.old")
-        fs.rename(target, old)
-        fs.rename(staged, target)
+        _rename(fs, target, old)
+    try:
+        _rename(fs, staged, target)
+    except OutputRefused:
+        if old is not None:
+            _rename(fs, old, target)
+        raise
+    if old is not None:
         fs.delete(old, True)
-    elif not fs.rename(staged, target):
-        raise OutputRefused(f"could not rename into {path}")
+
+
+def _rename(fs, source, target) -> None:
+    if not fs.rename(source, target):
+        raise OutputRefused(f"could not rename {source} to {target}")
+
+
+def publish_documents(rows: DataFrame, path: str) -> int:
+    """Write document rows as the next state of the folder; returns its number.
+
+    Two phases: files go below a new run, then one manifest names them. A failure at any
+    step leaves the state before; readers never see a mixture, since one file
+    names all folders. `rows` are computed once.
+    """
+    spark = rows.sparkSession
+    number = manifest.version(spark, path)
+    run = manifest.new_run(path)
+    rows.write.partitionBy("format").parquet(f"{path}/{run}")
+    manifest.publish(spark, path, {"documents": run}, number)
+    return number + 1
+
+
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """The documents that were published last."""
+    folders = manifest.read(spark, path)
+    if not folders:
+        raise FileNotFoundError(f"nothing published in {path}")
+    return spark.read.parquet(f"{path}/{folders['documents']}")
 
 
 def write_table(rows: DataFrame, path: str, overwrite: bool = False) -> None:

@@ -7,11 +7,12 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessorHandle
 
 from cueweave.functions.timecode import int_div
 from cueweave.operators.blocks import BLOCK, block_of, lookup_join
 from cueweave.operators.events import coalesce_events
+from cueweave.streaming.ordered import CLOSE_MS, Ordered, in_order
 
 # Length of a batch, spacing of checks.
 WINDOW_MS = 100
@@ -33,10 +34,12 @@ def tumbling_batches(messages: DataFrame, window_ms: int = WINDOW_MS) -> DataFra
 def windowed_counts(messages: DataFrame, window_ms: int = WINDOW_MS, watermark: str = WATERMARK) -> DataFrame:
     """Messages per task and window; rows later than the watermark are dropped.
 
-    The watermark is an addition of this library with its own default.
+    The watermark is an addition of this library with its own default. In append
+    mode a window is delivered once it is over; the last ones need a stream
+    that is closed (`runner.drain_closed`).
     """
     return (
-        messages.withWatermark("ts", watermark)
+        messages.withWatermark("ts", watermark).where(F.col("ts") < F.timestamp_millis(F.lit(CLOSE_MS)))
         .groupBy("task_id", F.window("ts", f"{window_ms} milliseconds").alias("w"))
         .agg(F.count(F.lit(1)).alias("n"))
         .select("task_id", F.col("w.start").alias("window_start"), "n")
@@ -49,55 +52,64 @@ def distinct_times(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield rows[["task_id", "ts_ms"]].drop_duplicates()
 
 
-class Openings(StatefulProcessor):
+class Openings(Ordered):
     """Emits the times that open a window of fixed length.
 
     The first time opens a window; the first one at or past its end opens the
-    next. A last opening in the future (clock set back) counts as over.
+    next. The last opening is kept until its window has ended.
     """
 
+    columns = {"ts_ms": "BIGINT"}
+    result = ["task_id", "opened_ms"]
+
     def __init__(self, window_ms: int) -> None:
         self.window_ms = window_ms
+        self.cell_ms = max(self.cell_ms, 64 * window_ms)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
         self.opened = handle.getValueState("opened", "opened_ms BIGINT")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        times = sorted({int(t) for frame in rows for t in frame["ts_ms"]})
+    def reduce(self, rows: pd.DataFrame) -> pd.DataFrame:
+        return rows.drop_duplicates()
+
+    def take(self, key: tuple, rows: pd.DataFrame) -> list[tuple]:
         last = self.opened.get()[0] if self.opened.exists() else None
         opened = []
-        for t in times:
-            if last is None or last > t or t - last >= self.window_ms:
-                last = t
-                opened.append((key[0], t))
+        for t in rows["ts_ms"]:
+            if last is None or t - last >= self.window_ms:
+                last = int(t)
+                opened.append((key[0], last))
         if opened:
             self.opened.update((last,))
-        yield pd.DataFrame(opened, columns=["task_id", "opened_ms"])
+        return opened
 
-    def close(self) -> None:
-        pass
+    def idle(self, key: tuple, now: int) -> int | None:
+        if not self.opened.exists():
+            return None
+        end = self.opened.get()[0] + self.window_ms
+        if end <= now:  # every row before the watermark has been handed over
+            self.opened.clear()
+            return None
+        return end
 
 
-def stream_openings(messages: DataFrame, window_ms: int = WINDOW_MS) -> DataFrame:
-    """(task_id, opened_ms): exact windows, each opened by its first message.
+def stream_openings(messages: DataFrame, window_ms: int = WINDOW_MS, delay: str = WATERMARK) -> DataFrame:
+    """(task_id, opened_ms): exact windows, each opened by its first message by event time.
 
+    Files and micro-batches may bring the messages in any order within `delay`.
     Only distinct milliseconds reach the state, so its work is bounded by
     elapsed time and not by the number of messages.
     """
-    return (
-        messages.select("task_id", "ts_ms")
-        .mapInPandas(distinct_times, "task_id BIGINT, ts_ms BIGINT")
-        .groupBy("task_id")
-        .transformWithStateInPandas(Openings(window_ms), _OPENINGS, "Append", "None")
-    )
+    times = messages.select("task_id", "ts_ms").mapInPandas(distinct_times, "task_id BIGINT, ts_ms BIGINT")
+    return in_order(times, "task_id", Openings(window_ms), _OPENINGS, delay)
 
 
 def assign_batches(messages: DataFrame, openings: DataFrame, window_ms: int = WINDOW_MS) -> DataFrame:
     """Add `batch_ms`, the opening of each message's window.
 
     A window touches at most the cells of its two ends, so each opening is
-    listed there and the lookup is an equi-join per cell. Input in time order
-    is assumed, as in `stream_openings`.
+    listed there and the lookup is an equi-join per cell.
     """
     end = F.col("opened_ms") + (window_ms - 1)
     cells = F.array_distinct(F.array(block_of(F.col("opened_ms"), _CELL_MS), block_of(end, _CELL_MS)))
@@ -111,21 +123,38 @@ def assign_batches(messages: DataFrame, openings: DataFrame, window_ms: int = WI
     return found.select(*messages.columns, F.try_element_at(before, F.lit(-1)).alias("batch_ms"))
 
 
+def closed_windows(messages: DataFrame, window_ms: int = WINDOW_MS, delay: str = WATERMARK) -> DataFrame:
+    """The messages of each fixed window, delivered together when the window is over.
+
+    State is native and ends with the window. A window's messages are held in
+    groups of 65,536 sequence numbers, since one task may send a third of all.
+    """
+    at = F.timestamp_millis("ts_ms")
+    rest = messages.columns
+    return (
+        messages.where(F.col("ts_ms").isNotNull()).withColumn("at", at).withWatermark("at", delay)
+        .where(F.col("at") < F.timestamp_millis(F.lit(CLOSE_MS)))
+        .groupBy("task_id", F.window("at", f"{window_ms} milliseconds"), F.floor(F.col("seq") / 65_536).alias("_part"))
+        .agg(F.collect_list(F.struct(*rest)).alias("_rows"))
+        .select(F.inline("_rows"))
+    )
+
+
 def coalesce_batch(batch: DataFrame) -> DataFrame:
     """Work of `foreachBatch`: merge neighbours inside each task and window."""
     return coalesce_events(tumbling_batches(batch), ["task_id", "batch_ms"])
 
 
 def settled(written: DataFrame) -> DataFrame:
-    """Read view over merged micro-batches.
+    """Read view over micro-batches that were merged before their windows were over.
 
-    Merging again closes windows that two micro-batches shared; it changes
-    nothing elsewhere, and messages keep the number that opened them.
+    Merging again closes windows that two micro-batches shared, if they came in
+    order; messages keep the number that opened them.
     """
     again = written.drop("batch").withColumnRenamed("message_seq", "_opened_seq")
     return coalesce_events(again, ["task_id", "batch_ms"], "_opened_seq").drop("_opened_seq")
 
 
-def stream_daily_check(checks: DataFrame, interval_ms: int = CHECK_INTERVAL_MS) -> DataFrame:
+def stream_daily_check(checks: DataFrame, interval_ms: int = CHECK_INTERVAL_MS, delay: str = WATERMARK) -> DataFrame:
     """Checks that are due: at most one per key and interval."""
-    return stream_openings(checks, interval_ms)
+    return stream_openings(checks, interval_ms, delay)

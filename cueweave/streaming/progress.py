@@ -6,7 +6,11 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessorHandle
+
+from cueweave.streaming.batches import WATERMARK
+from cueweave.streaming.ordered import Ordered, closes, in_order
 
 _SCHEMA = "task_id BIGINT, seq BIGINT, percent INT"
 
@@ -17,38 +21,39 @@ def first_per_percent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]
     Run before the exchange: a task sends a hundred rows per batch at most.
     """
     for rows in batches:
-        yield rows.groupby(["task_id", "percent"], as_index=False)["seq"].min()[["task_id", "seq", "percent"]]
+        yield rows.sort_values(["ts_ms", "seq"]).drop_duplicates(["task_id", "percent"])
 
 
-class Highwater(StatefulProcessor):
+class Highwater(Ordered):
     """Passes a percentage only above the highest one seen so far."""
 
+    columns = {"ts_ms": "BIGINT", "seq": "BIGINT", "percent": "INT"}
+    order = ["ts_ms", "seq"]
+    result = ["task_id", "seq", "percent"]
+    cell_ms = 1 << 40  # one row per percentage is held, whatever the time
+
     def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
         self.high = handle.getValueState("high", "percent INT")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        first: dict[int, int] = {}
-        for frame in rows:
-            for seq, percent in zip(frame["seq"], frame["percent"]):
-                first[percent] = min(seq, first.get(percent, seq))
+    def reduce(self, rows: pd.DataFrame) -> pd.DataFrame:
+        return rows.sort_values(self.order).drop_duplicates("percent")
+
+    def take(self, key: tuple, rows: pd.DataFrame) -> list[tuple]:
         high = self.high.get()[0] if self.high.exists() else -1
-        kept = []
-        for percent, seq in sorted(first.items(), key=lambda x: x[1]):
-            if percent > high:
-                high = percent
-                kept.append((key[0], seq, percent))
-        self.high.update((int(high),))
-        yield pd.DataFrame(kept, columns=["task_id", "seq", "percent"])
-
-    def close(self) -> None:
-        pass
-
-
-def stream_progress(events: DataFrame) -> DataFrame:
-    """Streaming form of `progress_highwater`: task_id, seq, percent."""
-    return (
-        events.select("task_id", "seq", "percent")
-        .mapInPandas(first_per_percent, _SCHEMA)
-        .groupBy("task_id")
-        .transformWithStateInPandas(Highwater(), _SCHEMA, "Append", "None")
-    )
+        rows = rows[rows["percent"] > rows["percent"].cummax().shift(fill_value=high).clip(lower=high)]
+        if len(rows):
+            self.high.update((int(rows["percent"].iloc[-1]),))
+        return [(key[0], int(seq), int(percent)) for seq, percent in zip(rows["seq"], rows["percent"])]
+
+
+def stream_progress(events: DataFrame, delay: str = WATERMARK) -> DataFrame:
+    """Streaming form of `progress_highwater`: task_id, seq, percent.
+
+    Input: task_id, seq, ts_ms, percent. Rows are judged in order of their times, then of
+    `seq`, in whatever order files and micro-batches bring them within
+    `delay`. Beside what waits, state is one number per task.
+    """
+    first = events.where(F.col("percent").isNotNull() | closes()).select("task_id", "ts_ms", "seq", "percent").mapInPandas(
+        first_per_percent, "task_id BIGINT, ts_ms BIGINT, seq BIGINT, percent INT")
+    return in_order(first, "task_id", Highwater(), _SCHEMA, delay)

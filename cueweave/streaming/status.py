@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessorHandle
 
+from cueweave.functions.timecode import int_div
+from cueweave.operators.blocks import BLOCK, block_of, block_scan, in_block
 from cueweave.operators.events import task_status
+from cueweave.streaming.batches import WATERMARK
+from cueweave.streaming.ordered import Ordered, closes, in_order
 
 # Fixed value: outcome code that says nothing about the watched service.
 INCONCLUSIVE_CODE = 12
 
+DAY_MS = 86_400_000
+#: Runs of a target are ordered within blocks of about a year.
+_RUN_BLOCK_MS = 365 * DAY_MS
+
 
 def stream_status(events: DataFrame) -> DataFrame:
     """Streaming form of `task_status` (update mode): a native aggregation."""
@@ -49,28 +55,35 @@ def watch_state(code: Column, term_found: Column) -> Column:
     )
 
 
-def watch_actions(runs: DataFrame) -> DataFrame:
-    """Batch form: (target_id, day, action) with open, append or close.
+def watch_actions(runs: DataFrame, block_ms: int = _RUN_BLOCK_MS) -> DataFrame:
+    """Batch form: (target_id, ts_ms, seq, day, action) with open, append or close.
 
-    `runs` has one outcome per target and day: target_id, day, state. A failure
-    opens an incident or is added to the open one, a success closes it,
-    inconclusive runs change nothing.
+    `runs`: target_id, ts_ms, seq, state; every run counts, in order of time and
+    `seq`. A failure opens an incident or is added to the open one, a success
+    closes it, inconclusive runs change nothing.
     """
-    w = Window.partitionBy("target_id").orderBy("day")
-    conclusive = runs.where(F.col("state") != "inconclusive")
-    previous = F.lag("state").over(w)
+    conclusive = runs.where(F.col("state") != "inconclusive").withColumn(BLOCK, block_of(F.col("ts_ms"), block_ms))
+    latest = F.max_by("state", F.struct("ts_ms", "seq"))
+    placed = block_scan(conclusive, ["target_id"], [latest.alias("_end")],
+                        lambda order, before: {"_carry": F.last("_end").over(before)})
+    ordered, _ = in_block(["target_id"], "ts_ms", "seq")
+    previous = F.coalesce(F.lag("state").over(ordered), F.col("_carry"))
     action = (
         F.when((F.col("state") == "failure") & (previous == "failure"), "append")
         .when(F.col("state") == "failure", "open")
         .when(previous == "failure", "close")
     )
-    return conclusive.withColumn("action", action).where(F.col("action").isNotNull()).select("target_id", "day", "action")
+    return placed.withColumn("action", action).where(F.col("action").isNotNull()).select(
+        "target_id", "ts_ms", "seq", int_div(F.col("ts_ms"), DAY_MS).alias("day"), "action")
 
 
-def incidents(actions: DataFrame) -> DataFrame:
+def incidents(actions: DataFrame, block_ms: int = _RUN_BLOCK_MS) -> DataFrame:
     """(target_id, incident, opened, failures, closed) from the actions."""
-    w = Window.partitionBy("target_id").orderBy("day")
-    numbered = actions.withColumn("incident", F.sum((F.col("action") == "open").cast("bigint")).over(w))
+    opens = (F.col("action") == "open").cast("bigint")
+    placed = block_scan(actions.withColumn(BLOCK, block_of(F.col("ts_ms"), block_ms)), ["target_id"], [F.sum(opens).alias("_opens")],
+                        lambda order, before: {"_before": F.coalesce(F.sum("_opens").over(before), F.lit(0))})
+    ordered, _ = in_block(["target_id"], "ts_ms", "seq")
+    numbered = placed.withColumn("incident", F.col("_before") + F.sum(opens).over(ordered))
     return numbered.groupBy("target_id", "incident").agg(
         F.min("day").alias("opened"),
         F.count_if(F.col("action") != "close").alias("failures"),
@@ -78,52 +91,39 @@ def incidents(actions: DataFrame) -> DataFrame:
     )
 
 
-_RUNS = "target_id BIGINT, day BIGINT, seq BIGINT, state STRING"
-
-
-def last_run_of_day(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The last run of each (target, day) of an Arrow batch, before the exchange."""
-    for rows in batches:
-        yield rows.sort_values("seq").drop_duplicates(["target_id", "day"], keep="last")
-
+class Watch(Ordered):
+    """State machine per target; state is held only while an incident is open."""
 
-class Watch(StatefulProcessor):
-    """Keeps whether an incident is open, per target."""
+    columns = {"ts_ms": "BIGINT", "seq": "BIGINT", "state": "STRING"}
+    order = ["ts_ms", "seq"]
+    result = ["target_id", "ts_ms", "seq", "day", "action"]
+    cell_ms = _RUN_BLOCK_MS
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
         self.open = handle.getValueState("open", "open BOOLEAN")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        days: dict[int, tuple[int, str]] = {}
-        for frame in rows:
-            for day, seq, state in zip(frame["day"], frame["seq"], frame["state"]):
-                days[day] = max(days.get(day, (seq, state)), (seq, state))
-        is_open = self.open.exists() and self.open.get()[0]
+    def take(self, key: tuple, rows: pd.DataFrame) -> list[tuple]:
+        was_open = is_open = self.open.exists()
         out = []
-        for day, (_, state) in sorted(days.items()):
+        for ts_ms, seq, state in zip(rows["ts_ms"], rows["seq"], rows["state"]):
             if state == "failure":
-                out.append((key[0], day, "append" if is_open else "open"))
+                out.append((key[0], int(ts_ms), int(seq), int(ts_ms) // DAY_MS, "append" if is_open else "open"))
                 is_open = True
-            elif state == "success" and is_open:
-                out.append((key[0], day, "close"))
+            elif is_open:
+                out.append((key[0], int(ts_ms), int(seq), int(ts_ms) // DAY_MS, "close"))
                 is_open = False
-        self.open.update((bool(is_open),))
-        yield pd.DataFrame(out, columns=["target_id", "day", "action"])
+        if is_open and not was_open:
+            self.open.update((True,))
+        elif was_open and not is_open:
+            self.open.clear()
+        return out
 
-    def close(self) -> None:
-        pass
 
+def stream_watch(runs: DataFrame, delay: str = WATERMARK) -> DataFrame:
+    """Streaming form of `watch_actions` over runs (target_id, ts_ms, seq, state).
 
-def daily_outcomes(runs: DataFrame) -> DataFrame:
-    """One outcome per target and day: the day's last run counts."""
-    return runs.groupBy("target_id", "day").agg(F.max_by("state", "seq").alias("state"))
-
-
-def stream_watch(runs: DataFrame) -> DataFrame:
-    """Streaming form of `watch_actions` over runs (target_id, day, seq, state)."""
-    return (
-        runs.select("target_id", "day", "seq", "state")
-        .mapInPandas(last_run_of_day, _RUNS)
-        .groupBy("target_id")
-        .transformWithStateInPandas(Watch(), "target_id BIGINT, day BIGINT, action STRING", "Append", "None")
-    )
+    Every run counts, in order of time, whatever micro-batch brings it within `delay`.
+    """
+    conclusive = runs.where((F.col("state") != "inconclusive") | closes()).select("target_id", "ts_ms", "seq", "state")
+    return in_order(conclusive, "target_id", Watch(), "target_id BIGINT, ts_ms BIGINT, seq BIGINT, day BIGINT, action STRING", delay)

@@ -4,11 +4,12 @@ import json
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cueweave.operators import events
 from cueweave.session import shared_dir
-from cueweave.sources import readers, writers
+from cueweave.sources import manifest, readers, result_table, writers
 from cueweave.streaming import batches, progress, runner, status
 
 
@@ -81,10 +82,81 @@ def test_guarded_writes(spark, tmp_path):
     assert sorted(p.name for p in tmp_path.iterdir()) == ["file", "out"]
 
 
-def in_steps(spark, tmp_path, frame, steps):
-    """The frame as a stream of `steps` files, one per micro-batch, in seq order."""
+ENTRIES = "digest STRING, entry_id BIGINT, written_at BIGINT, accessed BIGINT, bytes BIGINT"
+
+
+def test_results_in_buckets(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "results")
+    first = spark.createDataFrame([(f"d{i}", i, 1, 10, 5) for i in range(20)], ENTRIES)
+    assert result_table.upsert_results(first, path, buckets=4) == 1
+    state = lambda: rows(result_table.read_results(spark, path), "digest", "entry_id", "accessed")
+    before, folders = state(), manifest.read(spark, path)
+    fresh = spark.createDataFrame([("d3", 99, 2, 12, 5)], ENTRIES)
+    hits = spark.createDataFrame([("d3", 11), ("d7", 40), ("d7", 30), ("gone", 50), (None, 1)], "digest STRING, accessed BIGINT")
+
+    def fails(*_):
+        raise OSError("the driver dies between the files and the manifest")
+
+    with monkeypatch.context() as m:
+        m.setattr(manifest, "publish", fails)
+        with pytest.raises(OSError):
+            result_table.upsert_results(fresh, path, hits)
+    assert state() == before and manifest.read(spark, path) == folders
+    result_table.upsert_results(fresh, path, hits)
+    want = [(d, 99 if d == "d3" else i, {"d3": 12, "d7": 40}.get(d, a)) for d, i, a in before]
+    assert state() == sorted(want)
+    changed = {b for b, f in manifest.read(spark, path).items() if folders.get(b) != f}
+    assert len(changed) <= 3 and len(folders) == 5  # the buckets of d3, d7 and gone; two of four stay or more
+    with pytest.raises(manifest.Conflict):
+        manifest.publish(spark, path, {}, 1)
+    result_table.evict_results(spark, path, 3 * 5)
+    assert [d for d, *_ in state()] == ["d0", "d3", "d7"]
+    with pytest.raises(ValueError):
+        result_table.upsert_results(spark.createDataFrame([(None, 1, 1, 1, 1)], ENTRIES), path)
+
+
+def test_published_documents_are_all_old_or_all_new(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "docs")
+    made = lambda text: spark.createDataFrame([(i, "txt", f"{i}.txt", 0, text) for i in range(5)],
+                                              "media_id BIGINT, format STRING, filename STRING, part BIGINT, content STRING")
+    assert writers.publish_documents(made("old"), path) == 1
+    content = lambda: {r["content"] for r in writers.read_documents(spark, path).collect()}
+    boom = F.udf(lambda t: 1 / 0, "string")
+    with pytest.raises(Exception):
+        writers.publish_documents(made("new").withColumn("content", boom("content")), path)  # the files
+    assert content() == {"old"}
+    with monkeypatch.context() as m:
+        m.setattr(manifest, "publish", lambda *_: 1 / 0)  # the pointer
+        with pytest.raises(ZeroDivisionError):
+            writers.publish_documents(made("new"), path)
+    assert content() == {"old"}
+    writers.publish_documents(made("new"), path)
+    assert content() == {"new"}
+
+
+def test_a_failed_replacement_puts_the_old_result_back(spark, tmp_path, monkeypatch):
+    frame = spark.createDataFrame([(1, "txt", "a.txt", 0, "old")], "media_id BIGINT, format STRING, filename STRING, part BIGINT, content STRING")
+    target = str(tmp_path / "out")
+    writers.write_documents(frame, target)
+    real, calls = writers._rename, []
+
+    def second_fails(fs, source, goal):
+        calls.append(1)
+        if len(calls) == 2:
+            raise writers.OutputRefused("no")
+        real(fs, source, goal)
+
+    monkeypatch.setattr(writers, "_rename", second_fails)
+    with pytest.raises(writers.OutputRefused):
+        writers.write_documents(frame.withColumn("content", F.lit("new")), target, overwrite=True)
+    assert spark.read.parquet(target).first()["content"] == "old"
+
+
+def in_steps(spark, tmp_path, frame, steps, interleaved=True):
+    """The frame as a stream of `steps` files, one per micro-batch: rows dealt out in turn, or in seq order."""
     source = tmp_path / "source"
-    cuts = frame.withColumn("_step", F.ntile(steps).over(__import__("pyspark").sql.Window.orderBy("seq")))
+    deal = F.pmod("seq", F.lit(steps)) + 1 if interleaved else F.ntile(steps).over(Window.orderBy("seq"))
+    cuts = frame.withColumn("_step", deal)
     for k in range(1, steps + 1):
         cuts.where(F.col("_step") == k).drop("_step").coalesce(1).write.mode("append").parquet(str(source))
     return spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(str(source))
@@ -101,7 +173,8 @@ def events_frame(spark):
 
 def test_progress_over_micro_batches(spark, tmp_path):
     _, frame = events_frame(spark)
-    got = runner.drain(progress.stream_progress(in_steps(spark, tmp_path, frame, 3)), "t-progress")
+    source, delay = in_steps(spark, tmp_path, frame, 3), runner.table_delay(frame)
+    got = runner.drain_closed(source, lambda s: progress.stream_progress(s, delay), "t-progress", frame)
     assert rows(got, "task_id", "seq", "percent") == rows(events.progress_highwater(frame), "task_id", "seq", "percent")
 
 
@@ -109,28 +182,86 @@ def test_a_source_without_rows(spark, tmp_path):
     _, frame = events_frame(spark)
     (tmp_path / "none").mkdir()
     empty = spark.readStream.schema(frame.schema).parquet(str(tmp_path / "none"))
-    assert runner.drain(progress.stream_progress(empty), "t-none").count() == 0
-    assert batches.settled(runner.drain_batches(empty, "t-none", batches.coalesce_batch)).count() == 0
+    assert runner.drain_closed(empty, progress.stream_progress, "t-none").count() == 0
+    assert runner.drain_closed_batches(empty, batches.closed_windows, "t-none", batches.coalesce_batch).count() == 0
+    with pytest.raises(runner.SourceNotRead):
+        runner.drain(empty, "t-unread", frame)
 
 
 def test_exact_batches_over_micro_batches(spark, tmp_path):
     data, frame = events_frame(spark)
-    opened = runner.drain(batches.stream_openings(in_steps(spark, tmp_path, frame, 3)), "t-openings")
-    want = []
+    source, delay = in_steps(spark, tmp_path, frame, 3), runner.table_delay(frame)
+    opened = runner.drain_closed(source, lambda s: batches.stream_openings(s, delay=delay), "t-openings", frame)
+    assert rows(batches.assign_batches(frame, opened), "task_id", "seq", "batch_ms") == sorted(reference_batches(data))
+
+
+def test_windows_close_in_order_and_end_their_state(spark, tmp_path):
+    """With files in order a short delay does; the last window comes with the closing only."""
+    data, frame = events_frame(spark)
+    source = in_steps(spark, tmp_path, frame, 4, interleaved=False)
+    work = lambda s: batches.stream_openings(s, delay="1 second")
+    early = runner.drain(work(source), "t-open")
+    closed = runner.drain_closed(source, work, "t-closed", frame)
+    want = {(task, t) for task, _, t in reference_batches(data)}
+    assert set(map(tuple, closed.collect())) == want
+    assert set(map(tuple, early.collect())) < want
+
+
+def reference_batches(data):
+    """(task, seq, start of the window) message by message."""
+    out = []
     for task in range(3):
         start = None
         for _, seq, t, *_ in (d for d in data if d[0] == task):
             if start is None or t - start >= 100:
                 start = t
-            want.append((task, seq, start))
-    assert rows(batches.assign_batches(frame, opened), "task_id", "seq", "batch_ms") == sorted(want)
+            out.append((task, seq, start))
+    return out
 
 
 def test_coalescing_over_micro_batches(spark, tmp_path):
     _, frame = events_frame(spark)
-    written = runner.drain_batches(in_steps(spark, tmp_path, frame, 3), "t-coalesced", batches.coalesce_batch)
+    source, delay = in_steps(spark, tmp_path, frame, 3), runner.table_delay(frame)
+    written = runner.drain_closed_batches(source, lambda s: batches.closed_windows(s, delay=delay), "t-coalesced", batches.coalesce_batch, frame)
     whole = batches.coalesce_batch(frame)
-    assert rows(batches.settled(written), *whole.columns) == rows(whole, *whole.columns)
+    assert rows(written, *whole.columns) == rows(whole, *whole.columns)
+
+
+def test_closing_gives_the_last_windows(spark, tmp_path):
+    _, frame = events_frame(spark)
+    source, delay = in_steps(spark, tmp_path, frame, 3), runner.table_delay(frame)
+    counted = lambda s: batches.windowed_counts(s.withColumn("ts", F.timestamp_millis("ts_ms")), watermark=delay)
+    want = rows(frame.groupBy("task_id", (F.floor(F.col("ts_ms") / 100) * 100).alias("w")).agg(F.count("*").alias("n")), "task_id", "w", "n")
+    closed = runner.drain_closed(source, counted, "t-flush", frame).withColumn("w", F.unix_millis("window_start"))
+    assert rows(closed, "task_id", "w", "n") == want
+    assert runner.drain(counted(source), "t-open").count() < len(want)
+
+
+def test_every_watch_run_counts(spark, tmp_path):
+    """A failure, then a success on one day in two micro-batches; and many runs in any order."""
+    day = 86_400_000
+    runs = [(1, 100 + day, 1, "failure"), (1, 200 + day, 2, "success"), (1, 300 + day, 3, "inconclusive")]
+    rnd = random.Random(6)
+    runs += [(rnd.choice([2, 3, None]), rnd.randrange(400) * day // 3, i, rnd.choice(["failure", "success", "inconclusive"])) for i in range(4, 200)]
+    frame = spark.createDataFrame(runs, "target_id BIGINT, ts_ms BIGINT, seq BIGINT, state STRING")
+    known = frame.where("target_id IS NOT NULL")
+    source, delay = in_steps(spark, tmp_path, known, 3), runner.table_delay(known)
+    got = runner.drain_closed(source, lambda s: status.stream_watch(s, delay), "t-watch", known)
+    whole = status.watch_actions(known, day)
+    assert rows(got, *whole.columns) == rows(whole, *whole.columns)
+    assert [r[1:] for r in rows(whole.where("target_id = 1"), "target_id", "day", "action")] == [(1, "close"), (1, "open")]
+    found = status.incidents(whole, day).where("target_id = 1").collect()
+    assert [(r["opened"], r["failures"], r["closed"]) for r in found] == [(1, 1, 1)]
+
+
+def test_a_table_of_several_files_is_read(spark, tmp_path):
+    frame = spark.range(90).select((F.col("id") % 4).alias("task_id"), F.col("id").alias("seq"), (F.col("id") * 50).alias("ts_ms"))
+    frame.repartition(3).write.parquet(str(tmp_path / "many.parquet"))
+    frame.coalesce(1).write.parquet(str(tmp_path / "dir"))
+    next((tmp_path / "dir").glob("part-*.parquet")).rename(tmp_path / "one.parquet")
+    for table in ("many", "one"):
+        read = runner.drain(runner.table_stream(spark, str(tmp_path), table, maxBytesPerTrigger="1"), f"t-{table}", frame)
+        assert rows(read, "seq") == [(i,) for i in range(90)]
 
 
 def test_status_over_micro_batches(spark, tmp_path):

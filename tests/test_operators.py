@@ -1,12 +1,13 @@
 """Operators on literal cases, and on random data with tiny blocks against
 plain loops: the blocks must not show in any result."""
 
+import datetime
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from cueweave.operators import audio, audits, captions, cues, events, planning, quality, render, results, timeline, words
+from cueweave.operators import audio, audits, blocks, captions, cues, events, planning, quality, render, results, timeline, words
 from cueweave.operators.blocks import lookup_join
 from cueweave.streaming import batches, status
 
@@ -245,6 +246,39 @@ def test_words(spark, block):
     assert got == sorted(want)
 
 
+def test_words_on_the_original_axis(spark):
+    spans = spark.createDataFrame([(1, 160_000, 192_000, 10**12), (1, 10**10, 10**10 + 32_000, 10**12)], SPANS)
+    pieces = timeline.compact_timeline(timeline.merge_spans(spans))
+    second = 192_000 - 160_000 + 1_600 + 1_600  # where the second span lies in compacted sound, years of silence left out
+    made = spark.createDataFrame(
+        [(1, 0, 0, "a", -3, 50), (1, 0, 2, "b", 190, second // 160 + 10), (1, 1, 5, "c", second // 160 + 100, second // 160 + 900),
+         (2, 0, 0, "none", 7, 9), (None, 0, 0, "null", 1, None)],
+        "media_id BIGINT, segment_id BIGINT, word_id BIGINT, word STRING, start BIGINT, end BIGINT")
+    got = {r["word"]: (r["start_ms"], r["end_ms"]) for r in words.on_original_axis(made, pieces).collect()}
+    far = 10**10 // 16
+    assert got == {"a": (10_000, 10_500), "b": (11_900, far + 100), "c": (far + 1_000, far + 9_000), "none": (70, 90), "null": (10, None)}
+    segs = spark.createDataFrame([(1, 0, 10_000, far + 100, ""), (1, 1, far, far + 9_000, "")], SEGMENTS)
+    mapped = words.on_original_axis(made, pieces)
+    assert words.words_outside_segment(mapped, segs).count() == 0
+    left_out = made.withColumns({"start_ms": F.col("start") * 10, "end_ms": F.col("end") * 10})
+    assert rows(words.words_outside_segment(left_out, segs), "word") == [("a",), ("b",), ("c",)]
+
+
+def test_as_of_takes_the_last_step(spark):
+    rnd = random.Random(4)
+    steps = [(m, rnd.randrange(1000), i) for i, m in enumerate([1, 2, 2, 1, 2, None, None] * 9)]
+    steps = list({(m, at): (m, at, i) for m, at, i in steps}.values())
+    points = [(rnd.choice([1, 2, 3, None]), rnd.choice([None, *range(1000)]), i) for i in range(400)]
+    left = spark.createDataFrame(points, "k INT, p BIGINT, _hit2 INT")
+    right = spark.createDataFrame(steps, "k INT, at BIGINT, v INT")
+    for width in (1, 13, 5000):
+        got = {r["_hit2"]: (r["_hit"], r["_first"]) for r in blocks.as_of(left, right, ["k"], F.col("p"), F.col("at"), F.col("v"), width).collect()}
+        for k, p, i in points:
+            mine = sorted((at, v) for m, at, v in steps if m == k)
+            upto = [v for at, v in mine if p is not None and at <= p]
+            assert got[i] == (upto[-1] if upto else None, mine[0][1] if mine and p is not None else None)
+
+
 def test_words_outside(spark):
     segs = spark.createDataFrame([(1, 0, 1_000, 2_000, "x")], SEGMENTS)
     frame = spark.createDataFrame([(1, 0, 0, 960, 1_900), (1, 0, 1, 940, 1_900), (1, 0, 2, 1_500, 2_051)],
@@ -323,6 +357,20 @@ def test_eviction(spark, cap):
     assert rows(results.cache_evict(frame, cap), "digest", "kept") == sorted(want)
 
 
+@pytest.mark.parametrize("cap", [0, 35, 130, 10**6])
+def test_eviction_within_a_second(spark, cap):
+    """Microseconds count, unknown times are the oldest, unknown sizes weigh nothing."""
+    start = datetime.datetime(2024, 5, 1, 12)
+    data = [(f"{i:02x}" * 32, 10 if i % 9 else None, None if i % 5 == 4 else start + datetime.timedelta(microseconds=(i * 7) % 11)) for i in range(40)]
+    frame = spark.createDataFrame(data, "digest STRING, bytes BIGINT, accessed TIMESTAMP")
+    total, want = 0, []
+    for d, n, a in sorted(data, key=lambda x: (x[2] is None, -(x[2] or start).microsecond, x[0])):
+        total += n or 0
+        want.append((d, total <= cap))
+    assert rows(results.cache_evict(frame, cap), "digest", "kept") == sorted(want)
+    assert results.cache_evict(frame.limit(0), cap).count() == 0
+
+
 def test_replacing_entries(spark):
     schema = "digest STRING, entry_id BIGINT, written_at BIGINT, title STRING"
     old = spark.createDataFrame([("a", 1, 5, "old"), ("b", 2, 5, "kept")], schema)
@@ -520,6 +568,6 @@ def test_parts_make_the_whole(spark):
 
 def test_watch(spark):
     states = ["success", "failure", "inconclusive", "failure", "success", "success", "failure"]
-    frame = spark.createDataFrame([(1, d, s) for d, s in enumerate(states)], "target_id BIGINT, day BIGINT, state STRING")
+    frame = spark.createDataFrame([(1, d * 86_400_000, d, s) for d, s in enumerate(states)], "target_id BIGINT, ts_ms BIGINT, seq BIGINT, state STRING")
     assert rows(status.watch_actions(frame), "day", "action") == [(1, "open"), (3, "append"), (4, "close"), (6, "open")]
     assert rows(status.incidents(status.watch_actions(frame)), "opened", "failures") == [(1, 2), (6, 1)]
