@@ -120,7 +120,8 @@ def stitch(
 
 
 def as_of(
-    points: DataFrame, steps: DataFrame, keys: list[str], position: Column, at: Column, value: Column, width: int
+    points: DataFrame, steps: DataFrame, keys: list[str], position: Column, at: Column, value: Column, width: int,
+    asked_in: DataFrame | None = None,
 ) -> DataFrame:
     """`points` plus `_hit`, `value` of the last step at or before their position, and
     `_first`, that of their key's first step; null where there is none.
@@ -129,12 +130,14 @@ def as_of(
     gets what is in force where it begins, and one ordered pass over the block
     hands the value down. Points are shuffled once; a value reaches later blocks
     through one summary row per block. Null keys are a key of their own, null
-    positions find nothing.
+    positions find nothing. Both inputs are read twice, so they should be stored; where
+    the points are costly, `asked_in` may name keys and positions of at least the same blocks.
     """
     here, lowest = [F.col(k) for k in keys], F.lit(-(2**63)).cast("bigint")
     asked = points.select(*keys, block_of(position, width).alias(BLOCK), position.cast("bigint").alias("_at"), F.struct(*points.columns).alias("_row"))
     given = steps.select(*keys, block_of(at, width).alias(BLOCK), at.cast("bigint").alias("_at"), value.alias("_value"))
-    cells = asked.select(*keys, BLOCK).distinct().unionByName(given, allowMissingColumns=True).groupBy(*keys, BLOCK).agg(
+    blocks = asked if asked_in is None else asked_in.select(*keys, block_of(position, width).alias(BLOCK))
+    cells = blocks.select(*keys, BLOCK).distinct().unionByName(given, allowMissingColumns=True).groupBy(*keys, BLOCK).agg(
         F.max_by("_value", "_at").alias("_end"), F.min_by("_value", "_at").alias("_begin"))
     order = Window.partitionBy(*keys).orderBy(BLOCK)
     carried = cells.select(

@@ -496,13 +496,21 @@ def is_translation(docs: DataFrame) -> DataFrame:
     )
 
 
+def _stored(frame: DataFrame, label: str) -> DataFrame:
+    """The frame as a written table, for operators that read it several times."""
+    path = scratch(frame.sparkSession, label)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
 def _timemap(evts: DataFrame) -> DataFrame:
     return timeline.compact_timeline(timeline.merge_spans(b.spans(evts), PAD))
 
 
 @query("events")
 def remap_timeline(evts: DataFrame) -> DataFrame:
-    return timeline.remap_timeline(b.points(evts), _timemap(evts))
+    merged = _stored(timeline.merge_spans(b.spans(evts), PAD), "merged")
+    return timeline.remap_timeline(b.points(evts), _stored(timeline.compact_timeline(merged), "timemap"))
 
 
 @query("documents")
@@ -557,8 +565,8 @@ def assemble_words(docs: DataFrame) -> DataFrame:
 @query("documents")
 def assemble_words_mapped(docs: DataFrame) -> DataFrame:
     """Words of recognised compacted sound, with times on the original axis."""
-    pieces = timeline.compact_timeline(timeline.merge_spans(b.speech(docs)))
-    made = words.on_original_axis(words.assemble_words(b.tokens(docs)), pieces)
+    pieces = timeline.compact_timeline(_stored(timeline.merge_spans(b.speech(docs)), "merged"))
+    made = words.on_original_axis(_stored(words.assemble_words(b.tokens(docs)), "words"), _stored(pieces, "timemap"))
     return made.withColumn("probability", r6("probability"))
 
 
