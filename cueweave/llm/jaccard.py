@@ -28,7 +28,7 @@ from cueweave.llm.common import group_count, slices, stored
 from cueweave.llm.components import components
 
 #: Members of a family that one task compares with each other (or with another such block).
-BLOCK = 1500
+BLOCK = 3000
 
 _ODD = tuple(np.uint64(x) for x in (
     0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53))
@@ -270,7 +270,7 @@ def similar(frame: DataFrame, k: int, share: int, key: str = "doc_id", text: str
 
     rows = stored(docs.mapInArrow(describe, "_id bigint, _hash bigint, n bigint, f1 bigint, f2 bigint"), "sets")
     signed = docs.mapInArrow(sign, "bucket int, signs binary, nodes binary, which binary")
-    edges = signed.groupBy("bucket").applyInArrow(meet, "a bigint, b bigint")
+    edges = stored(signed.groupBy("bucket").applyInArrow(meet, "a bigint, b bigint"), "edges")  # read twice below
     family = stored(components(edges).withColumnRenamed("node", "f1"), "families")
 
     # One member per distinct set, for sets that share a signature with another.

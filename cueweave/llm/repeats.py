@@ -35,7 +35,9 @@ from cueweave.llm.jaccard import _ODD, mixed
 from cueweave.session import scratch
 
 K = 20
-#: Documents beyond which an anchor is dealt by whole strings.
+#: Groups of segments per group of texts.
+FINER = 4
+#: Occurrences beyond which an anchor is dealt by whole strings.
 HOT = 8192
 #: Segments that a collection gathers before it is sorted; an anchor is never cut.
 COLLECTED = 4096
@@ -234,6 +236,8 @@ def find(frame: DataFrame, width: int = 50, key: str = "doc_id", text: str = "te
     docs = docs.withColumn("digest", F.sha2("text", 256))
     rows = stored(docs.select("o", "digest", F.octet_length("text").cast("bigint").alias("n")), "digests")
     groups = max(least, -(-(rows.agg(F.sum("n")).first()[0] or 0) // GROUP_BYTES))
+    # Segments around shared anchors can take more bytes than the texts and several arrays each.
+    dealt_to = groups * FINER
     # A copy of a whole text is removed whole; the smallest key of each text stands for it.
     firsts = rows.groupBy("digest").agg(F.min("o").alias("o"))
     marks = firsts.select(F.xxhash64("o", "digest").alias("id")).withColumn("g", F.pmod("id", F.lit(groups)))
@@ -331,8 +335,8 @@ def find(frame: DataFrame, width: int = 50, key: str = "doc_id", text: str = "te
                 s = np.repeat(a1 - np.cumsum(n) + n, n) + np.arange(n.sum())
                 a, z, of = np.concatenate([a, s]), np.concatenate([z, s + width]), np.concatenate([of, np.repeat(doc[hot], n)])
                 where = np.concatenate([where, window_hashes(data, width)[s]])
-            bucket = ((where >> np.uint64(48)) * np.uint64(groups) >> np.uint64(16)).astype(np.int64)
-            order, cut = _cut_by(bucket, groups)
+            bucket = ((where >> np.uint64(32)) * np.uint64(dealt_to) >> np.uint64(32)).astype(np.int64)
+            order, cut = _cut_by(bucket, dealt_to)
             for b in np.flatnonzero(np.diff(cut)):
                 i = order[cut[b] : cut[b + 1]]
                 size = z[i] - a[i]
