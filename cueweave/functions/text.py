@@ -44,7 +44,7 @@ def vtt_escape(c: Column) -> Column:
     return F.replace(out, F.lit(">"), F.lit("&gt;"))
 
 
-def wrap_lines(c: Column, width: int = 42) -> Column:
+def wrap_lines(c: Column, width: Column | int = 42) -> Column:
     """Greedy wrap of a text into lines of at most `width` code points.
 
     On collapsed text the greedy line is the longest run of at most `width`
@@ -52,11 +52,14 @@ def wrap_lines(c: Column, width: int = 42) -> Column:
     is longer, `width` characters of it are cut. Both are one regex scan, linear
     in the text, so no fold over words is needed.
     """
-    n = max(int(width), 1)
+    if isinstance(width, Column):
+        n = F.greatest(width, F.lit(1)).cast("string")
+        pattern = F.concat(F.lit("(?s)(?:.{1,"), n, F.lit(r"}(?: |\z)|.{"), n, F.lit("})"))
+    else:
+        n = max(int(width), 1)
+        pattern = F.lit(rf"(?s)(?:.{{1,{n}}}(?: |\z)|.{{{n}}})")
     return F.transform(
-        F.regexp_extract_all(
-            collapse_ws(c), F.lit(rf"(?s)(?:.{{1,{n}}}(?: |\z)|.{{{n}}})"), F.lit(0)
-        ),
+        F.regexp_extract_all(collapse_ws(c), pattern, F.lit(0)),
         lambda line: F.rtrim(line),
     )
 

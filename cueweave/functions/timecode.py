@@ -64,7 +64,7 @@ def _pad(c: Column, width: int) -> Column:
     return F.lpad(c.cast("string"), width, "0")
 
 
-def format_timestamp(ms: Column, separator: str) -> Column:
+def format_timestamp(ms: Column, separator: Column | str) -> Column:
     """`HH:MM:SS<sep>mmm`; hours are unbounded (lpad would cut them)."""
     t = F.greatest(ms.cast("bigint"), F.lit(0).cast("bigint"))
     hours = int_div(t, 3_600_000)
@@ -72,7 +72,7 @@ def format_timestamp(ms: Column, separator: str) -> Column:
     mm = int_div(t, 60_000) % 60
     ss = int_div(t, 1000) % 60
     return F.concat(
-        hh, F.lit(":"), _pad(mm, 2), F.lit(":"), _pad(ss, 2), F.lit(separator),
+        hh, F.lit(":"), _pad(mm, 2), F.lit(":"), _pad(ss, 2), separator if isinstance(separator, Column) else F.lit(separator),
         _pad(t % 1000, 3),
     )
 

@@ -335,7 +335,8 @@ def runs(docs: DataFrame) -> DataFrame:
     """Two runs per document, on a processor and on a graphics card."""
     d = F.col("doc_id")
     elapsed = d * 131 % 5000
-    run = lambda backend, ms: F.struct(F.lit(backend).alias("backend"), ms.alias("elapsed_ms"))
+    run = lambda backend, ms: F.struct(
+        F.lit(backend).alias("backend"), ms.alias("elapsed_ms"), (ms % 977 + 600).alias("peak_mb"))
     names = F.array(*[F.lit(m[0]) for m in MODELS])
     return docs.select(
         d.alias("media_id"), F.get(names, (d % 6).cast("int")).alias("model"), (d % 2 == 0).alias("vad"),

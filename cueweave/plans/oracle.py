@@ -246,7 +246,7 @@ CTES: dict[str, str] = {
     "runs": f"""SELECT doc_id AS media_id, {_list(m[0] for m in MODELS)}[doc_id % 6 + 1] AS model, doc_id % 2 = 0 AS vad, n_chars * 66 AS audio_ms,
             coalesce(segments, 0) AS segments, backend, CASE backend WHEN 'cpu' THEN doc_id * 131 % 5000 ELSE doc_id * 131 % 5000 // 3 END AS elapsed_ms
         FROM documents LEFT JOIN (SELECT media_id, count(*) AS segments FROM segs GROUP BY 1) s ON s.media_id = doc_id, (VALUES ('cpu'), ('vulkan')) AS b(backend)""",
-    "timed_runs": "SELECT *, CASE WHEN elapsed_ms > 0 THEN floor(CAST(audio_ms AS DOUBLE) / elapsed_ms * 10 + 0.5) / 10 ELSE 0.0 END AS speed FROM runs",
+    "timed_runs": "SELECT *, 600 + elapsed_ms % 977 AS peak_mb, CASE WHEN elapsed_ms > 0 THEN floor(CAST(audio_ms AS DOUBLE) / elapsed_ms * 10 + 0.5) / 10 ELSE 0.0 END AS speed FROM runs",
     "stderr": f"SELECT event_id, {_list(STDERR)}[CAST(regexp_extract(props, '\\d+') AS BIGINT) % 12 + 1] AS message FROM events WHERE event_type = 'error'",
     "classified": f"""SELECT event_id, message, CASE WHEN {_any('message', AUTH_NEEDLES)} THEN 12 WHEN {_any('message', UNAVAILABLE_NEEDLES)} THEN 11
             WHEN {_any('message', LIVE_NEEDLES)} THEN 13 ELSE 20 END AS code FROM stderr""",
@@ -506,7 +506,11 @@ _BODIES: dict[str, str] = {
     "cache_stats": """SELECT count(*) AS entries, CAST(sum(bytes) AS BIGINT) AS total_bytes, max(accessed) AS last_access,
         arg_max(title, (accessed, digest)) AS last_title FROM latest""",
     "bench_summary": """SELECT model, backend, vad, count(*) AS runs, round(avg(speed), 4) AS mean_speed, round(min(speed), 6) AS min_speed, round(max(speed), 6) AS max_speed,
-        CAST(sum(segments) AS BIGINT) AS segments FROM timed_runs GROUP BY ALL""",
+        CAST(sum(segments) AS BIGINT) AS segments, max(peak_mb) AS max_peak_mb, quantile_disc(speed, 0.5) AS speed_p50, quantile_disc(speed, 0.95) AS speed_p95,
+        CAST(quantile_disc(peak_mb, 0.5) AS DOUBLE) AS peak_mb_p50, CAST(quantile_disc(peak_mb, 0.95) AS DOUBLE) AS peak_mb_p95 FROM timed_runs GROUP BY ALL""",
+    "bench_by_backend": """SELECT backend, count(*) AS runs, max(peak_mb) AS max_peak_mb, round(avg(speed), 4) AS mean_speed,
+        quantile_disc(speed, 0.5) AS speed_p50, quantile_disc(speed, 0.95) AS speed_p95,
+        CAST(quantile_disc(peak_mb, 0.5) AS DOUBLE) AS peak_mb_p50, CAST(quantile_disc(peak_mb, 0.95) AS DOUBLE) AS peak_mb_p95 FROM timed_runs GROUP BY ALL""",
     "quality_report": f"""SELECT *, anomalies = 0 AS passed FROM (SELECT *, (CASE WHEN covered THEN 0 ELSE 1 END) + (CASE WHEN language_ok THEN 0 ELSE 1 END)
             + (CASE WHEN short_cues > 0 THEN 1 ELSE 0 END) + (CASE WHEN order_faults > 0 THEN 1 ELSE 0 END) + (CASE WHEN loops > 0 THEN 1 ELSE 0 END) AS anomalies
         FROM (SELECT m.media_id, coalesce(x.n, 0) AS segments, x.c AS covered_ms, coalesce(x.c > m.duration_ms * 0.95, false) AS covered, coalesce(x.s, 0) AS short_cues,
@@ -571,6 +575,11 @@ _BODIES: dict[str, str] = {
     "build_documents": f"""SELECT p.doc_id AS media_id, 'https://www.youtube.com/watch?v=' || p.video_id AS url, p.video_id, p.title, p.channel, {_round6('p.duration', 'duration_s')},
         p.upload_date, 'whisper.cpp' AS engine, r.model, r.backend, 'fr' AS language, false AS translated, r.vad, r.elapsed_ms AS duration_ms, {_round6('r.speed', 'speed_realtime')}
         FROM probes p JOIN timed_runs r ON r.media_id = p.doc_id AND r.backend = 'cpu'""",
+    "sql_functions": f"""SELECT doc_id, md5({_collapse('text')}) AS collapsed_md5,
+        len(list_distinct(list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda w: length(w) > 3))) AS words, lang,
+        printf('%02d:%02d:%02d,%03d', n_chars * 66 // 3600000, n_chars * 66 // 60000 % 60, n_chars * 66 // 1000 % 60, n_chars * 66 % 1000) AS ends,
+        CAST(ceil(n_chars * CAST(0.066 AS DOUBLE) / 60) AS BIGINT) AS minutes, substr(sha256(text), 1, 11) AS video_id,
+        CASE WHEN doc_id % 2 = 0 THEN 11 ELSE 20 END AS code FROM documents""",
     "stream_coalesce": "SELECT task_id, seq, ts_ms, type, item, amount, batch_ms, message_seq FROM merged_msgs",
     "stream_batches": "SELECT m.task_id, seq, ts_ms, o.opened_ms AS batch_ms FROM msgs m ASOF JOIN openings o ON o.task_id = m.task_id AND o.opened_ms <= m.ts_ms",
     "stream_status": """SELECT task_id, percent, position_ms, elapsed_ms, CASE WHEN elapsed_ms >= 1000 THEN floor(CAST(position_ms AS DOUBLE) / elapsed_ms * 10 + 0.5) / 10 END AS speed

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cueweave.functions import admission, catalogue, errors, text, timecode, urls
+from cueweave.functions import admission, catalogue, errors, registration, text, timecode, urls
 from cueweave.operators import (
     audio, audits, captions, cues, events, planning, quality, render, results, timeline, words,
 )
@@ -621,6 +621,17 @@ def bench_summary(docs: DataFrame) -> DataFrame:
     )
 
 
+@query("documents")
+def bench_by_backend(docs: DataFrame) -> DataFrame:
+    """Sketches per model, written, then merged per backend without the runs."""
+    timed = b.runs(docs).withColumn("speed", timecode.speed_realtime(F.col("audio_ms"), F.col("elapsed_ms")))
+    merged = audits.merge_bench(_stored(audits.bench_sketches(timed), "sketches"), ("backend",))
+    return audits.bench_figures(merged).select(
+        "backend", "runs", "max_peak_mb", F.round("mean_speed", 4).alias("mean_speed"),
+        # Exact where the sketch holds all runs; beyond, between the exact quantiles a percent to both sides.
+        *[c for c in ("speed_p50", "speed_p95", "peak_mb_p50", "peak_mb_p95")])
+
+
 @query("documents")
 def quality_report(docs: DataFrame) -> DataFrame:
     return quality.quality_report(b.segments(docs), b.media(docs))
@@ -787,6 +798,17 @@ def build_documents(docs: DataFrame) -> DataFrame:
     )
 
 
+@query("documents")
+def sql_functions(docs: DataFrame) -> DataFrame:
+    """The registered SQL functions, called from SQL text."""
+    registration.register(docs.sparkSession)
+    return docs.selectExpr(
+        "doc_id", "md5(cue_collapse_ws(text)) AS collapsed_md5", "size(cue_words_of(text)) AS words", "cue_lang_primary(concat(lang, '-x')) AS lang",
+        "cue_format_timestamp(n_chars * 66, ',') AS ends", "cue_duration_min(n_chars * 0.066D) AS minutes",
+        "cue_canonical_url(concat('https://youtu.be/', substr(sha2(text, 256), 1, 11))).video_id AS video_id",
+        "cue_classify_error(if(doc_id % 2 = 0, 'This is a Private Video', 'odd')).code AS code")
+
+
 # --- streams -----------------------------------------------------------------
 
 

@@ -2,13 +2,14 @@
 
 import hashlib
 import math
+import random
 import struct
 
 import pytest
 from pyspark.sql import functions as F
 
 from cueweave.functions import admission, catalogue, digest, errors, text, timecode, urls
-from cueweave.functions.registration import register
+from cueweave.functions.registration import FUNCTIONS, register
 
 
 @pytest.mark.parametrize("ms,out", [(0, "00:00:00,000"), (12_500, "00:00:12,500"), (3_661_125, "01:01:01,125"),
@@ -160,13 +161,21 @@ def test_samples(value):
 
 def test_sql_functions_agree(spark):
     names = register(spark)
-    assert len(names) == 10
-    texts = ["  a   b ", "<b>x</b> &amp; y", "R&D <a>", "fr-FR", "un mot interminablementlong ici"]
-    frame = spark.createDataFrame([(t,) for t in texts], "s STRING")
-    for name, fn in [("collapse_ws", text.collapse_ws), ("strip_tags", text.strip_tags), ("vtt_escape", text.vtt_escape),
-                     ("lang_primary", text.lang_primary), ("wrap_lines", lambda c: text.wrap_lines(c, 9))]:
-        extra = ", 9" if name == "wrap_lines" else ""
-        for row in frame.select(fn(F.col("s")).alias("a"), F.expr(f"cue_{name}(s{extra})").alias("b")).collect():
-            assert row["a"] == row["b"]
+    assert len(names) == len(FUNCTIONS) == 26
+    texts = ["  a   b ", "<b>x</b> &amp; y", "R&D <a>", "fr-FR", "un mot interminablementlong ici", "", None, "it's \\ \"q\"\n", "00:01.5", "1:02:03,250 --> 2:00:00.1 x",
+             "https://youtu.be/abcdefghijk?list=1", "https://www.youtube.com/watch?v=abcdefghijk", "http://x", "Sign in to confirm", "ERROR: private video", "x" * 900]
+    numbers = [None, 0, -5, 13, 61, 3661125, 8589934592]
+    flags = [None, True, False]
+    rnd = random.Random(2)
+    pick = {"STRING": lambda: rnd.choice(texts), "BIGINT": lambda: rnd.choice(numbers), "INT": lambda: rnd.choice([None, 0, 9, 12, 42]),
+            "DOUBLE": lambda: rnd.choice([None, 0.0, -1.5, 61.0, math.nan, math.inf]), "FLOAT": lambda: rnd.choice([None, 0.6, 2.4]),
+            "BOOLEAN": lambda: rnd.choice(flags)}
+    for name, (parameters, make) in FUNCTIONS.items():
+        columns = [p.split(" ") for p in parameters.split(", ")]
+        frame = spark.createDataFrame([tuple(pick[t]() for _, t in columns) for _ in range(60)], parameters)
+        args = ", ".join(n for n, _ in columns)
+        both = frame.select(make(*[F.col(n) for n, _ in columns]).alias("a"), F.expr(f"cue_{name}({args})").alias("b"))
+        assert both.where(~F.col("a").eqNullSafe(F.col("b"))).collect() == [], name
+        assert both.schema["a"].dataType.simpleString() == both.schema["b"].dataType.simpleString(), name
     row = spark.sql("SELECT cue_format_timestamp(3661125, ','), cue_max_minutes(8589934592, true), cue_memory_required(1.5, false), cue_is_live(null, 'post_live'), cue_duration_min(61.0)").first()
     assert tuple(row) == ("01:01:01,125", (8589934592 // 100 * 85 - (1 << 30)) // 224_000 // 60, (1 << 30) + 240_000, True, 2)

@@ -371,6 +371,26 @@ def test_eviction_within_a_second(spark, cap):
     assert results.cache_evict(frame.limit(0), cap).count() == 0
 
 
+def test_sketches_merge_within_their_error(spark):
+    """50,000 runs in parts: ranks of the quantiles are off by less than half a percent; few runs are exact."""
+    runs = spark.range(50_000).select(
+        F.lit("m").alias("model"), F.when(F.col("id") < 10, "gpu").otherwise("cpu").alias("backend"), (F.col("id") % 2 == 0).alias("vad"),
+        (F.col("id") * 7919 % 50_021).cast("double").alias("speed"), F.lit(1).alias("segments"), F.when(F.col("id") % 3 > 0, F.col("id")).alias("peak_mb"),
+        (F.col("id") % 7).alias("day"))
+    parts = audits.bench_sketches(runs, ("model", "backend", "vad", "day"))
+    got = {r["backend"]: r for r in audits.bench_figures(audits.merge_bench(parts, ("backend",))).collect()}
+    for backend, r in got.items():
+        mine = runs.where(F.col("backend") == backend)
+        assert r["runs"] == mine.count() and r["mean_speed"] == pytest.approx(mine.agg(F.avg("speed")).first()[0])
+        for name, share in (("speed_p50", 0.5), ("speed_p95", 0.95)):
+            rank = mine.where(F.col("speed") <= r[name]).count() / r["runs"]
+            assert abs(rank - share) < (0.005 if backend == "cpu" else 0.11)
+    assert got["gpu"]["speed_p50"] == sorted(i * 7919 % 50_021 for i in range(10))[4]
+    none = audits.bench_summary(runs.limit(3).withColumn("speed", F.lit(None).cast("double"))).collect()
+    assert all(r["speed_p50"] is None and r["mean_speed"] is None for r in none)
+    assert audits.bench_summary(runs.limit(0)).count() == 0
+
+
 def test_replacing_entries(spark):
     schema = "digest STRING, entry_id BIGINT, written_at BIGINT, title STRING"
     old = spark.createDataFrame([("a", 1, 5, "old"), ("b", 2, 5, "kept")], schema)
