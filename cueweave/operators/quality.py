@@ -12,6 +12,8 @@ from cueweave.operators.blocks import BLOCK, MULTI, block_of, block_scan, in_blo
 MIN_COVERAGE_CAPTIONS = 0.9
 MIN_COVERAGE_RECOGNISED = 0.95
 MIN_OVERLAP = 0.55
+# Arrays that the vocabulary of a media is kept in.
+VOCABULARY_PARTS = 8
 SHORT_CUE_MS = 100
 MAX_REPEATS = 3
 TOP_REPEATS = 5
@@ -168,38 +170,45 @@ def vocabulary(texts: DataFrame) -> DataFrame:
     return said.where(F.col("media_id").isNotNull() & F.col("word").isNotNull()).distinct()
 
 
-def vocab_intersect(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(left_id, right_id, word) both media of a pair use.
+def vocabulary_parts(texts: DataFrame, parts: int = VOCABULARY_PARTS) -> DataFrame:
+    """(media_id, part, words): the distinct words of a media in `parts` arrays, by their hash.
 
-    Only the given pairs are compared; a media met in very many of them is
-    spread by its partners.
+    Words of one task collapse before the exchange, so a media of very many
+    texts sends a few arrays per task, and no array holds its whole vocabulary.
     """
-    vocab = vocabulary(texts)
-    left = lookup_join(
-        pairs, vocab.withColumnRenamed("media_id", "left_id"), ["left_id"], ["right_id"], how="inner"
-    )
-    return left.join(vocab.withColumnRenamed("media_id", "right_id"), ["right_id", "word"]).select(
-        "left_id", "right_id", "word"
-    )
+    said = texts.where(F.col("media_id").isNotNull()).select("media_id", F.explode(words_of(F.col("text"))).alias("word"))
+    return said.groupBy("media_id", F.pmod(F.xxhash64("word"), F.lit(parts)).alias("part")).agg(F.collect_set("word").alias("words"))
+
+
+def _side_by_side(pairs: DataFrame, texts: DataFrame, parts: int) -> DataFrame:
+    """Each distinct pair once per part, with the words of both (`_l`, `_r`). Both joins use one
+    exchange of the vocabulary; a media met in very many pairs is split by AQE."""
+    words = vocabulary_parts(texts, parts)
+    each = pairs.select("left_id", "right_id").distinct().withColumn(
+        "part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))))
+    left = words.select(F.col("media_id").alias("left_id"), "part", F.col("words").alias("_l"))
+    right = words.select(F.col("media_id").alias("right_id"), "part", F.col("words").alias("_r"))
+    return each.join(left, ["left_id", "part"], "left").join(right, ["right_id", "part"], "left")
+
+
+def vocab_intersect(pairs: DataFrame, texts: DataFrame, parts: int = VOCABULARY_PARTS) -> DataFrame:
+    """(left_id, right_id, word) both media of a pair use; only the given pairs are compared."""
+    return _side_by_side(pairs, texts, parts).select("left_id", "right_id", F.explode(F.array_intersect("_l", "_r")).alias("word"))
 
 
-def vocab_overlap(pairs: DataFrame, texts: DataFrame, minimum: float = MIN_OVERLAP) -> DataFrame:
-    """Shared words over the smaller vocabulary, for the given pairs.
+def vocab_overlap(pairs: DataFrame, texts: DataFrame, minimum: float = MIN_OVERLAP, parts: int = VOCABULARY_PARTS) -> DataFrame:
+    """Shared words over the smaller vocabulary, one row per distinct pair; media without
+    texts have no words.
 
     (left_id, right_id, left_words, right_words, shared, overlap, agrees)
     """
-    vocab = vocabulary(texts)
-    sizes = vocab.groupBy("media_id").agg(F.count(F.lit(1)).alias("_n"))
-    shared = vocab_intersect(pairs, texts).groupBy("left_id", "right_id").agg(F.count(F.lit(1)).alias("_shared"))
-    n = lambda c: F.coalesce(F.col(c), F.lit(0).cast("bigint"))
+    n = lambda c: F.coalesce(F.sum(F.size(c)), F.lit(0)).cast("bigint")
+    none = F.array().cast("array<string>")
+    both = _side_by_side(pairs, texts, parts).select("left_id", "right_id", F.coalesce("_l", none).alias("_l"), F.coalesce("_r", none).alias("_r"))
     overlap = F.col("shared") / F.greatest(F.least("left_words", "right_words"), F.lit(1))
-    left_sizes = sizes.select(F.col("media_id").alias("left_id"), F.col("_n").alias("_l"))
-    right_sizes = sizes.select(F.col("media_id").alias("right_id"), F.col("_n").alias("_r"))
-    sized = lookup_join(pairs, left_sizes, ["left_id"], ["right_id"])
-    sized = lookup_join(sized, right_sizes, ["right_id"], ["left_id"], count_in=pairs)
     return (
-        sized.join(shared, ["left_id", "right_id"], "left")
-        .select("left_id", "right_id", n("_l").alias("left_words"), n("_r").alias("right_words"), n("_shared").alias("shared"))
+        both.groupBy("left_id", "right_id")
+        .agg(n("_l").alias("left_words"), n("_r").alias("right_words"), n(F.array_intersect("_l", "_r")).alias("shared"))
         .withColumn("overlap", overlap)
         .withColumn("agrees", F.col("overlap") > minimum)
     )

@@ -256,6 +256,7 @@ CTES: dict[str, str] = {
     "latest": "SELECT * FROM entries QUALIFY row_number() OVER (PARTITION BY digest ORDER BY written_at DESC, entry_id DESC) = 1",
     "pairs": """SELECT doc_id AS left_id, nxt AS right_id FROM (SELECT doc_id, lead(doc_id) OVER (PARTITION BY lang ORDER BY doc_id) AS nxt FROM documents)
         WHERE nxt IS NOT NULL""",
+    "wordlists": r"""SELECT doc_id AS media_id, list_distinct(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda w: length(w) > 3)) AS ws FROM documents""",
     "vocab": r"""SELECT DISTINCT doc_id AS media_id, w AS word FROM (SELECT doc_id, unnest(string_split_regex(lower(text), '[^\p{L}\p{N}]+')) AS w FROM documents)
         WHERE length(w) > 3""",
     "runs_of_text": """SELECT media_id, text, count(*) AS n, min(segment_id) AS first_segment, min(start_ms) AS start_ms, max(end_ms) AS end_ms
@@ -499,7 +500,8 @@ _BODIES: dict[str, str] = {
         FROM pairs p LEFT JOIN (SELECT media_id, count(*) AS n FROM vocab GROUP BY 1) a ON a.media_id = left_id
         LEFT JOIN (SELECT media_id, count(*) AS n FROM vocab GROUP BY 1) b ON b.media_id = right_id
         LEFT JOIN (SELECT left_id AS l, count(*) AS n FROM pairs q JOIN vocab x ON x.media_id = q.left_id JOIN vocab y ON y.media_id = q.right_id AND y.word = x.word GROUP BY 1) s ON s.l = left_id""",
-    "vocab_intersect": "SELECT left_id, right_id, x.word FROM pairs q JOIN vocab x ON x.media_id = q.left_id JOIN vocab y ON y.media_id = q.right_id AND y.word = x.word",
+    "vocab_intersect": """SELECT left_id, right_id, unnest(list_intersect(x.ws, y.ws)) AS word
+        FROM pairs q JOIN wordlists x ON x.media_id = q.left_id JOIN wordlists y ON y.media_id = q.right_id""",
     "caption_langs": """SELECT video_id, CASE WHEN doc_id % 5 = 1 THEN spoken WHEN doc_id % 5 = 2 THEN 'aa,' || spoken || ',zz'
         WHEN doc_id % 5 = 3 THEN spoken || '-XX,' || spoken WHEN doc_id % 5 = 4 THEN spoken ELSE '' END AS langs FROM probes""",
     "auto_caption_origin": "SELECT video_id, CASE WHEN doc_id % 5 >= 2 THEN language END AS origin FROM probes",
