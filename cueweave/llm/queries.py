@@ -84,4 +84,24 @@ QUERIES = {f.__name__: f for f in (
     op11_best_fit_sharding, op12_phrase_mining, op13_token_alignment,
 )}
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op12_phrase_mining": r"""
+        WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+            worded AS (SELECT lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda w: w <> '') AS ws FROM pieces),
+            placed AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM worded),
+            grams AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS p, count(*) AS f
+                FROM placed, range(1, 5) AS t(k) WHERE i + k - 1 <= len(ws) GROUP BY ALL),
+            candidates AS (SELECT lang, k, p, f AS a, string_split(p, ' ') AS ws FROM grams WHERE k > 1 AND f >= 30),
+            cuts AS (SELECT c.lang, c.p, c.a, j, h.f AS l, t.f AS r, (CAST(2000000 AS HUGEINT) * c.a) // (h.f + t.f) AS score
+                FROM (SELECT *, unnest(range(1, k)) AS j FROM candidates) c
+                JOIN grams h ON h.lang = c.lang AND h.p = array_to_string(c.ws[1:j], ' ')
+                JOIN grams t ON t.lang = c.lang AND t.p = array_to_string(c.ws[j + 1:], ' ')),
+            lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, j) = 1),
+            inner_ones AS (SELECT lang, array_to_string(ws[i:i + m - 1], ' ') AS p, max(a) AS longer
+                FROM (SELECT *, unnest(range(2, k)) AS m FROM candidates WHERE k > 2), range(1, 4) AS t(i) WHERE i + m - 1 <= k GROUP BY ALL),
+            kept AS (SELECT x.* FROM lowest x LEFT JOIN inner_ones y ON y.lang = x.lang AND y.p = x.p WHERE y.p IS NULL OR 100 * y.longer < 80 * x.a),
+            totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM grams WHERE k = 1 GROUP BY lang)
+        SELECT k.lang, row_number() OVER (PARTITION BY k.lang ORDER BY score DESC, a DESC, p) AS rank, p AS phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+        FROM kept k JOIN totals t ON t.lang = k.lang QUALIFY rank <= 2000""",
+}
