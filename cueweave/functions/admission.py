@@ -31,9 +31,9 @@ def bytes_per_second(words: Column) -> Column:
 
 
 def memory_required(duration_s: Column, words: Column) -> Column:
-    """Bytes a transcription of `duration_s` seconds needs."""
+    """Bytes a transcription of `duration_s` seconds needs; unknown for an unknown duration."""
     audio = F.ceil(F.greatest(duration_s, F.lit(0.0)) * bytes_per_second(words).cast("double"))
-    return F.lit(FIXED_BYTES).cast("bigint") + audio.cast("bigint")
+    return F.when(duration_s.isNotNull(), F.lit(FIXED_BYTES).cast("bigint") + audio.cast("bigint"))
 
 
 def _div(a: Column, b: Column | int) -> Column:
@@ -49,9 +49,9 @@ def memory_budget(available: Column) -> Column:
 
 
 def max_minutes(available: Column, words: Column) -> Column:
-    """Longest media, in minutes, that the available memory permits."""
+    """Longest media, in minutes, that the available memory permits; unknown for unknown memory."""
     useful = F.greatest(memory_budget(available) - F.lit(FIXED_BYTES), F.lit(0).cast("bigint"))
-    return _div(_div(useful, bytes_per_second(words)), 60)
+    return F.when(available.isNotNull(), _div(_div(useful, bytes_per_second(words)), 60))
 
 
 def too_long(duration_s: Column, limit_min: Column) -> Column:

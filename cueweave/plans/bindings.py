@@ -259,7 +259,7 @@ def probe_json(docs: DataFrame) -> DataFrame:
     )
     doc = F.struct(
         video_id(d).alias("id"),
-        F.substring(collapse_ws(F.split("text", "\n")[0]), 1, 100).alias("title"),
+        collapse_ws(F.split("text", "\n")[0]).alias("title"),
         F.col("source").alias("channel"),
         F.when(d % 19 != 0, F.col("n_chars") / 15.0).alias("duration"),
         F.lit("20240131").alias("upload_date"),

@@ -229,7 +229,7 @@ CTES: dict[str, str] = {
             || CASE WHEN entropy_thold IS NOT NULL THEN encode('entropy_thold' || chr(31)) || '\x9A\x99\x19\x40'::BLOB ELSE ''::BLOB END) END AS digest
         FROM keyed""",
     "stored": "SELECT digest, min('title ' || video_id) AS title FROM digests WHERE digest IS NOT NULL AND request_id % 5 = 1 GROUP BY digest",
-    "probes": f"""SELECT doc_id, substr(sha256('v' || doc_id), 1, 11) AS video_id, substr({_collapse("string_split(text, chr(10))[1]")}, 1, 100) AS title,
+    "probes": f"""SELECT doc_id, substr(sha256('v' || doc_id), 1, 11) AS video_id, {_collapse("string_split(text, chr(10))[1]")} AS title,
             source AS channel, CASE WHEN doc_id % 19 <> 0 THEN n_chars / 15.0 END AS duration, '20240131' AS upload_date,
             CASE WHEN doc_id % 7 <> 0 THEN lang END AS language, doc_id % 23 = 0 AS is_live,
             CASE WHEN doc_id % 17 = 0 THEN 'is_upcoming' ELSE 'not_live' END AS live_status, lang AS spoken
@@ -327,7 +327,7 @@ def _samples(x: str) -> str:
 
 
 _NEED = "1073741824 + CAST(ceil(duration * {0}.0) AS BIGINT)"
-_MAX_MIN = "greatest(({0}) // 100 * 85 - 1073741824, 0) // {1} // 60"
+_MAX_MIN = "CASE WHEN ({0}) IS NOT NULL THEN greatest(({0}) // 100 * 85 - 1073741824, 0) // {1} // 60 END"
 _BEST = """SELECT p.video_id, t.lang, t.auto, t.url FROM (SELECT video_id, {0} AS wanted FROM probes) p LEFT JOIN (
     SELECT video_id, lang, auto, url, asked FROM (
         SELECT *, row_number() OVER (PARTITION BY video_id, asked ORDER BY auto) AS r FROM (
@@ -404,7 +404,7 @@ _BODIES: dict[str, str] = {
             FROM segs GROUP BY media_id) s ON s.media_id = p.doc_id""",
     "safe_filename": "SELECT doc_id, " + _filename(
         """CASE WHEN doc_id % 9 = 4 THEN ' ?? ' ELSE (CASE WHEN doc_id % 3 = 0 THEN 'a/b: "c" ? ' ELSE '' END)
-        || substr(string_split(text, chr(10))[1], 1, 120) END""") + " || 'srt' AS filename FROM documents",
+        || string_split(text, chr(10))[1] END""") + " || 'srt' AS filename FROM documents",
     "write_documents": f"""SELECT media_id, format, {_filename('d.source')} || format AS filename, part, md5(content) AS md5 FROM (
         SELECT *, 'txt' AS format FROM ({_TXT}) UNION ALL SELECT *, 'vtt' FROM ({_render(_VTT)})) x JOIN documents d ON d.doc_id = x.media_id""",
     "cache_put": """SELECT digest, entry_id, bytes, written_at, title FROM (
@@ -429,14 +429,14 @@ _BODIES: dict[str, str] = {
     "lang_primary": "SELECT split_part(lang, '-', 1) AS primary_lang, auto, count(*) AS n FROM tracks GROUP BY ALL",
     "is_live": "SELECT video_id, is_live OR live_status IN ('is_live', 'is_upcoming', 'post_live') AS live FROM probes",
     "duration_min": "SELECT video_id, CAST(ceil(duration / 60) AS BIGINT) AS minutes FROM probes",
-    "memory_required": f"SELECT video_id, {_NEED.format(160000)} AS bytes, {_NEED.format(224000)} AS bytes_with_words FROM probes WHERE duration IS NOT NULL",
-    "memory_budget": "SELECT request_id, (available_bytes + request_id * 7919) // 100 * 85 AS budget FROM reqs WHERE available_bytes IS NOT NULL",
+    "memory_required": f"SELECT video_id, {_NEED.format(160000)} AS bytes, {_NEED.format(224000)} AS bytes_with_words FROM probes",
+    "memory_budget": "SELECT request_id, (available_bytes + request_id * 7919) // 100 * 85 AS budget FROM reqs",
     "max_minutes": f"""SELECT request_id, {_MAX_MIN.format('available_bytes + request_id * 7919000', 160000)} AS minutes,
-        {_MAX_MIN.format('available_bytes + request_id * 7919000', 224000)} AS minutes_with_words FROM reqs WHERE available_bytes IS NOT NULL""",
+        {_MAX_MIN.format('available_bytes + request_id * 7919000', 224000)} AS minutes_with_words FROM reqs""",
     "normalise_prompt": "SELECT request_id, initial_prompt AS prompt FROM reqs",
     "model_id": "SELECT request_id, model_id FROM named",
     "translate_supported": """SELECT request_id, NOT (translate AND (CASE WHEN model = 'auto' AND model_path IS NULL THEN true ELSE contains(lower(model_id), 'turbo') END)) AS supported
-        FROM named WHERE model_id IS NOT NULL""",
+        FROM named""",
     "config_digest": "SELECT request_id, early_code, digest FROM digests",
     "speed_realtime": f"SELECT media_id, backend, {_round6('speed', 'speed')} FROM timed_runs",
     "cs_to_samples": f"SELECT event_id, CASE WHEN event_id % 50 IN (0, 1) THEN 0 ELSE {_samples('value')} END AS samples FROM events",
@@ -446,7 +446,7 @@ _BODIES: dict[str, str] = {
         CASE WHEN code = 15 AND word_timestamps THEN {_MAX_MIN.format('available_bytes', 160000)} END AS limit_without_words_min
         FROM (SELECT r.*, p.duration, CASE WHEN is_live OR live_status = 'is_upcoming' THEN 13 WHEN ceil(duration / 60) > max_duration_min THEN 14
             WHEN 1073741824 + ceil(duration * (CASE WHEN word_timestamps THEN 224000.0 ELSE 160000.0 END)) > available_bytes // 100 * 85 THEN 15 END AS code
-            FROM reqs r JOIN urls u ON u.page_id = r.request_id JOIN probes p ON p.video_id = u.v)""",
+            FROM reqs r JOIN urls u ON u.page_id = r.request_id LEFT JOIN probes p ON p.video_id = u.v)""",
     "drop_empty_segments": "SELECT media_id, count(*) AS segments FROM segs GROUP BY media_id",
     "filter_no_speech": """SELECT media_id, segment_id, CASE WHEN segment_id % 10 <> 9 THEN (segment_id * 37 % 100) / 100.0 END AS no_speech_prob
         FROM segs WHERE segment_id % 10 = 9 OR (segment_id * 37 % 100) / 100.0 <= 0.6""",

@@ -221,7 +221,7 @@ def render_formats(docs: DataFrame) -> DataFrame:
 
 @query("documents")
 def safe_filename(docs: DataFrame) -> DataFrame:
-    first = F.substring(F.split("text", "\n")[0], 1, 120)
+    first = F.split("text", "\n")[0]
     title = F.concat(F.when(F.col("doc_id") % 3 == 0, 'a/b: "c" ? ').otherwise(""), first)
     blank = F.when(F.col("doc_id") % 9 == 4, " ?? ").otherwise(title)
     return docs.select("doc_id", text.safe_filename(blank, "srt").alias("filename"))
@@ -357,14 +357,14 @@ def duration_min(docs: DataFrame) -> DataFrame:
 @query("documents")
 def memory_required(docs: DataFrame) -> DataFrame:
     need = lambda words: admission.memory_required(F.col("duration"), F.lit(words))
-    return b.good_probes(docs).where(F.col("duration").isNotNull()).select(
+    return b.good_probes(docs).select(
         "video_id", need(False).alias("bytes"), need(True).alias("bytes_with_words")
     )
 
 
 @query("pages")
 def memory_budget(pages: DataFrame) -> DataFrame:
-    return b.requests(pages).where(F.col("available_bytes").isNotNull()).select(
+    return b.requests(pages).select(
         "request_id", admission.memory_budget(F.col("available_bytes") + F.col("request_id") * 7919).alias("budget")
     )
 
@@ -372,7 +372,7 @@ def memory_budget(pages: DataFrame) -> DataFrame:
 @query("pages")
 def max_minutes(pages: DataFrame) -> DataFrame:
     available = F.col("available_bytes") + F.col("request_id") * 7_919_000
-    return b.requests(pages).where(F.col("available_bytes").isNotNull()).select(
+    return b.requests(pages).select(
         "request_id", admission.max_minutes(available, F.lit(False)).alias("minutes"),
         admission.max_minutes(available, F.lit(True)).alias("minutes_with_words"),
     )
@@ -391,7 +391,7 @@ def model_id(pages: DataFrame) -> DataFrame:
 @query("pages")
 def translate_supported(pages: DataFrame) -> DataFrame:
     model = catalogue.model_id(F.col("model"), F.col("model_path"), gpu=True)
-    return b.requests(pages).where(model.isNotNull()).select(
+    return b.requests(pages).select(
         "request_id", catalogue.translate_supported(model, F.col("translate")).alias("supported")
     )
 
@@ -421,7 +421,7 @@ def cs_to_samples(evts: DataFrame) -> DataFrame:
 def admit_requests(docs: DataFrame, pages: DataFrame) -> DataFrame:
     asked = b.requests(pages).withColumn("video_id", b.video_id(b.wanted_doc(F.col("request_id"))))
     facts = b.good_probes(docs).select("video_id", "duration", "is_live", "live_status")
-    rows = lookup_join(asked, facts, ["video_id"], ["request_id"], how="inner")
+    rows = lookup_join(asked, facts, ["video_id"], ["request_id"])  # requests of unknown media stay
     return planning.admit_requests(rows).select(
         "request_id", "code", "actual_min", "limit_min", "available_mb", "limit_without_words_min"
     )
