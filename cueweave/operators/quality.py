@@ -47,9 +47,14 @@ def coverage(segments: DataFrame, media: DataFrame, minimum: float = MIN_COVERAG
 
 
 def repeated_segments(segments: DataFrame, more_than: int = MAX_REPEATS) -> DataFrame:
-    """(media_id, text, n) of texts met in more than 3 segments of one media."""
+    """(media_id, text, n) of texts met in more than 3 segments of one media.
+
+    Case does not matter; the text is shown as its first segment has it.
+    """
     return (
-        segments.groupBy("media_id", "text").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > more_than)
+        segments.groupBy("media_id", F.lower("text").alias("_same"))
+        .agg(F.min_by("text", "segment_id").alias("text"), F.count(F.lit(1)).alias("n"))
+        .where(F.col("n") > more_than).drop("_same")
     )
 
 
@@ -249,13 +254,29 @@ def compare_paths(left: DataFrame, right: DataFrame) -> DataFrame:
     return a.join(b, "media_id", "full_outer").join(vocab, "media_id", "left")
 
 
+def _overlap_of_paths(captions: DataFrame, segments: DataFrame, parts: int = VOCABULARY_PARTS) -> DataFrame:
+    """(media_id, overlap) of the media that have captions: shared words over the smaller vocabulary."""
+    ours = vocabulary_parts(segments, parts).withColumnRenamed("words", "_r")
+    theirs = captions.select("media_id").distinct().withColumn(
+        "part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))))
+    both = theirs.join(vocabulary_parts(captions, parts).withColumnRenamed("words", "_l"), ["media_id", "part"], "left").join(
+        ours, ["media_id", "part"], "left")
+    n = lambda c: F.coalesce(F.sum(F.size(c)), F.lit(0))
+    none = F.array().cast("array<string>")
+    sized = both.select("media_id", F.coalesce("_l", none).alias("_l"), F.coalesce("_r", none).alias("_r")).groupBy("media_id").agg(
+        n("_l").alias("_a"), n("_r").alias("_b"), n(F.array_intersect("_l", "_r")).alias("_s"))
+    return sized.select("media_id", (F.col("_s") / F.greatest(F.least("_a", "_b"), F.lit(1))).alias("overlap"))
+
+
 def quality_report(
     segments: DataFrame, media: DataFrame, minimum: float = MIN_COVERAGE_RECOGNISED,
-    block_segments: int = BLOCK_SEGMENTS,
+    block_segments: int = BLOCK_SEGMENTS, captions: DataFrame | None = None, min_overlap: float = MIN_OVERLAP,
 ) -> DataFrame:
     """One row per media: coverage, brief cues, loops, order, language, verdict.
 
-    `media`: media_id, duration_ms, language (declared), detected.
+    `media`: media_id, duration_ms, language (declared), detected. Loops are a note and
+    fail nothing. With `captions` (media_id, text) the vocabularies of both paths are
+    compared: `overlap`, null for media without captions, which fails below `min_overlap`.
     """
     times = segments.select("media_id", "segment_id", "start_ms", "end_ms")
     per_media = _with_duration(times, media, block_segments).groupBy("media_id").agg(
@@ -268,17 +289,22 @@ def quality_report(
     covered = F.coalesce(F.col("covered_ms") > F.col("duration_ms") * minimum, F.lit(False))
     language_ok = F.col("language").isNull() | F.col("language").eqNullSafe(F.col("detected"))
     bad = lambda c: c.cast("bigint")
+    if captions is None:
+        shown, overlap = [], media.select("media_id", F.lit(None).cast("double").alias("overlap")).limit(0)
+    else:
+        shown, overlap = ["overlap"], _overlap_of_paths(captions, segments)
     return (
         media.join(per_media, "media_id", "left")
         .join(loops, "media_id", "left")
+        .join(overlap, "media_id", "left")
         .na.fill(0, ["segments", "short_cues", "order_faults", "loops"])
         .withColumn("covered", covered)
         .withColumn("language_ok", language_ok)
         .withColumn(
             "anomalies",
             bad(~F.col("covered")) + bad(~F.col("language_ok")) + bad(F.col("short_cues") > 0)
-            + bad(F.col("order_faults") > 0) + bad(F.col("loops") > 0),
+            + bad(F.col("order_faults") > 0) + bad(F.coalesce(F.col("overlap") <= min_overlap, F.lit(False))),
         )
         .select("media_id", "segments", "covered_ms", "covered", "short_cues", "order_faults", "loops",
-                "language_ok", "anomalies", (F.col("anomalies") == 0).alias("passed"))
+                "language_ok", *shown, "anomalies", (F.col("anomalies") == 0).alias("passed"))
     )

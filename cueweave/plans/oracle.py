@@ -256,6 +256,9 @@ CTES: dict[str, str] = {
     "latest": "SELECT * FROM entries QUALIFY row_number() OVER (PARTITION BY digest ORDER BY written_at DESC, entry_id DESC) = 1",
     "pairs": """SELECT doc_id AS left_id, nxt AS right_id FROM (SELECT doc_id, lead(doc_id) OVER (PARTITION BY lang ORDER BY doc_id) AS nxt FROM documents)
         WHERE nxt IS NOT NULL""",
+    "looped": "SELECT media_id, arg_min(text, segment_id) AS text, count(*) AS n FROM segs GROUP BY media_id, lower(text) HAVING count(*) > 3",
+    "cut_lists": r"""SELECT doc_id AS media_id, list_distinct(list_filter(string_split_regex(lower(string_split(text, '.')[1]), '[^\p{L}\p{N}]+'), lambda w: length(w) > 3)) AS ws
+        FROM documents WHERE doc_id % 3 = 0""",
     "wordlists": r"""SELECT doc_id AS media_id, list_distinct(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda w: length(w) > 3)) AS ws FROM documents""",
     "vocab": r"""SELECT DISTINCT doc_id AS media_id, w AS word FROM (SELECT doc_id, unnest(string_split_regex(lower(text), '[^\p{L}\p{N}]+')) AS w FROM documents)
         WHERE length(w) > 3""",
@@ -490,10 +493,10 @@ _BODIES: dict[str, str] = {
             start * 10 + (segment_id + 1) * 3000 AS start_ms, "end" * 10 + (segment_id + 1) * 3000 AS end_ms FROM words""",
     "coverage": """SELECT m.media_id, c AS covered_ms, duration_ms, round(CAST(c AS DOUBLE) / duration_ms, 6) AS coverage, c > duration_ms * 0.9 AS sufficient
         FROM media m JOIN (SELECT media_id, arg_max(end_ms, segment_id) AS c FROM segs GROUP BY 1) s ON s.media_id = m.media_id""",
-    "repeated_segments": "SELECT media_id, text, count(*) AS n FROM segs GROUP BY ALL HAVING count(*) > 3",
+    "repeated_segments": "SELECT media_id, text, n FROM looped",
     "top_repeats": """SELECT media_id, r AS rank, n, CASE WHEN length(text) > 55 THEN substr(text, 1, 55) || '...' ELSE text END AS label
         FROM (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY n DESC, text) AS r FROM (
-            SELECT media_id, text, count(*) AS n FROM segs GROUP BY ALL HAVING count(*) > 3)) WHERE r <= 5""",
+            SELECT * FROM looped)) WHERE r <= 5""",
     "vocab_overlap": """SELECT left_id, right_id, coalesce(a.n, 0) AS left_words, coalesce(b.n, 0) AS right_words, coalesce(s.n, 0) AS shared,
             round(CAST(coalesce(s.n, 0) AS DOUBLE) / greatest(least(coalesce(a.n, 0), coalesce(b.n, 0)), 1), 6) AS overlap,
             CAST(coalesce(s.n, 0) AS DOUBLE) / greatest(least(coalesce(a.n, 0), coalesce(b.n, 0)), 1) > 0.55 AS agrees
@@ -513,14 +516,16 @@ _BODIES: dict[str, str] = {
     "bench_by_backend": """SELECT backend, count(*) AS runs, max(peak_mb) AS max_peak_mb, round(avg(speed), 4) AS mean_speed,
         quantile_disc(speed, 0.5) AS speed_p50, quantile_disc(speed, 0.95) AS speed_p95,
         CAST(quantile_disc(peak_mb, 0.5) AS DOUBLE) AS peak_mb_p50, CAST(quantile_disc(peak_mb, 0.95) AS DOUBLE) AS peak_mb_p95 FROM timed_runs GROUP BY ALL""",
-    "quality_report": f"""SELECT *, anomalies = 0 AS passed FROM (SELECT *, (CASE WHEN covered THEN 0 ELSE 1 END) + (CASE WHEN language_ok THEN 0 ELSE 1 END)
-            + (CASE WHEN short_cues > 0 THEN 1 ELSE 0 END) + (CASE WHEN order_faults > 0 THEN 1 ELSE 0 END) + (CASE WHEN loops > 0 THEN 1 ELSE 0 END) AS anomalies
+    "quality_report": f"""SELECT * REPLACE (round(overlap, 6) AS overlap), anomalies = 0 AS passed FROM (SELECT *, (CASE WHEN covered THEN 0 ELSE 1 END) + (CASE WHEN language_ok THEN 0 ELSE 1 END)
+            + (CASE WHEN short_cues > 0 THEN 1 ELSE 0 END) + (CASE WHEN order_faults > 0 THEN 1 ELSE 0 END) + (CASE WHEN overlap <= 0.55 THEN 1 ELSE 0 END) AS anomalies
         FROM (SELECT m.media_id, coalesce(x.n, 0) AS segments, x.c AS covered_ms, coalesce(x.c > m.duration_ms * 0.95, false) AS covered, coalesce(x.s, 0) AS short_cues,
                 coalesce(x.f, 0) AS order_faults, coalesce(l.n, 0) AS loops, m.language IS NULL OR m.language IS NOT DISTINCT FROM m.detected AS language_ok
             FROM media m LEFT JOIN (SELECT media_id, count(*) AS n, arg_max(end_ms, segment_id) AS c, count(*) FILTER (WHERE end_ms - start_ms < 100) AS s,
                     count(*) FILTER (WHERE start_ms < 0 OR end_ms < start_ms OR backward OR end_ms > duration_ms + 1000) AS f
                 FROM ({_CHECKED} FROM segs s JOIN media m ON m.media_id = s.media_id) GROUP BY media_id) x ON x.media_id = m.media_id
-            LEFT JOIN (SELECT media_id, count(*) AS n FROM (SELECT media_id, text FROM segs GROUP BY ALL HAVING count(*) > 3) GROUP BY 1) l ON l.media_id = m.media_id))""",
+            LEFT JOIN (SELECT media_id, count(*) AS n FROM looped GROUP BY 1) l ON l.media_id = m.media_id)
+            LEFT JOIN (SELECT x.media_id, len(list_intersect(x.ws, y.ws)) / greatest(least(len(x.ws), len(y.ws)), 1) AS overlap
+                FROM cut_lists x JOIN wordlists y ON y.media_id = x.media_id) v USING (media_id))""",
     "error_summary": """SELECT x.code, variant, x.n FROM (SELECT coalesce(c.code, 0) AS code, count(*) AS n FROM events e LEFT JOIN classified c ON c.event_id = e.event_id GROUP BY 1) x
         JOIN codes k ON k.code = x.code""",
     "pcm_decode": r"""SELECT media_id, chunk_no, len(v) AS n_samples, CAST(coalesce(list_sum(v), 0) AS BIGINT) AS sample_sum, CAST(list_max(list_transform(v, lambda x: abs(x))) AS BIGINT) AS peak

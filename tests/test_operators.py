@@ -591,3 +591,16 @@ def test_watch(spark):
     frame = spark.createDataFrame([(1, d * 86_400_000, d, s) for d, s in enumerate(states)], "target_id BIGINT, ts_ms BIGINT, seq BIGINT, state STRING")
     assert rows(status.watch_actions(frame), "day", "action") == [(1, "open"), (3, "append"), (4, "close"), (6, "open")]
     assert rows(status.incidents(status.watch_actions(frame)), "opened", "failures") == [(1, 2), (6, 1)]
+
+
+def test_quality_verdict(spark):
+    """Loops are a note, whatever their case; captions that say something else fail the verdict."""
+    said = ["Hello wonderful world"] + ["Again AGAIN", "again again"] * 3
+    segs = spark.createDataFrame([(m, i, i * 1000, i * 1000 + 900, t) for m in (1, 2, 3) for i, t in enumerate(said)], SEGMENTS)
+    media = spark.createDataFrame([(m, 7000, "en", "en") for m in (1, 2, 3)], "media_id BIGINT, duration_ms BIGINT, language STRING, detected STRING")
+    captions = spark.createDataFrame([(1, "hello WONDERFUL world again"), (2, "quite another caption text"), (2, "more lines")], "media_id BIGINT, text STRING")
+    assert rows(quality.repeated_segments(segs), "media_id", "text", "n") == [(m, "Again AGAIN", 6) for m in (1, 2, 3)]
+    got = quality.quality_report(segs, media, captions=captions)
+    assert rows(got.fillna(-1.0, ["overlap"]), "media_id", "loops", "overlap", "anomalies", "passed") == [
+        (1, 1, 1.0, 0, True), (2, 1, 0.0, 1, False), (3, 1, -1.0, 0, True)]
+    assert "overlap" not in quality.quality_report(segs, media).columns
