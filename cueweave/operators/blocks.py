@@ -65,12 +65,13 @@ def in_block(keys: list[str], *order: str | Column) -> tuple[Window, Window]:
 
 
 def hot_keys(rows: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Keys with more than `hot_rows` rows; reads only the key columns."""
+    """Keys with more than `hot_rows` rows, and in how many ways (`_ways`) to spread them
+    for at most half of that each; reads only the key columns."""
     return (
         rows.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_n"))
         .where(F.col("_n") > hot_rows)
-        .select(*keys, F.lit(True).alias("_hot"))
+        .select(*keys, F.lit(True).alias("_hot"), F.ceil(F.col("_n") * 2 / F.lit(hot_rows)).cast("bigint").alias("_ways"))
     )
 
 
@@ -82,7 +83,7 @@ def sparse_block(
     Cutting every key would leave cold keys with a block per row, so only hot
     ones are cut.
     """
-    hot = F.broadcast(hot_keys(rows, keys, hot_rows))
+    hot = F.broadcast(hot_keys(rows, keys, hot_rows).drop("_ways"))
     return (
         rows.join(hot, keys, "left")
         .withColumn(BLOCK, F.when(F.col("_hot"), block_of(position, width)).otherwise(F.lit(0).cast("bigint")))
@@ -163,31 +164,32 @@ def lookup_join(
     spread_by: list[str],
     how: str = "left",
     hot_rows: int = HOT_ROWS,
-    salts: int = 64,
+    salts: int = 2,
     count_in: DataFrame | None = None,
 ) -> DataFrame:
     """Equi-join with a table that has few rows per key, safe for hot left keys.
 
-    Rows of a hot key are spread over `salts` partitions and only the matching
-    right rows are copied that often; all other keys join as usual. Spark still
+    Rows of a hot key are spread in as many ways as its count asks for, at least `salts`, and only the
+    matching right rows are copied that often; all other keys join as usual. Left rows
+    with a null key meet nothing and are spread as well. Spark still
     broadcasts the right side by itself when its measured size allows it.
     `spread_by` names columns that tell the rows of a key apart. Hot keys are
     counted in `count_in` (default: `left`), which should be cheap to compute
     and may count a key too often, never too rarely.
     """
-    hot = hot_keys(left if count_in is None else count_in, keys, hot_rows)
+    hot = hot_keys(left if count_in is None else count_in, keys, hot_rows).withColumn(
+        "_ways", F.greatest(F.col("_ways"), F.lit(salts).cast("bigint"))).drop("_hot")
+    unmet = F.lit(False)
+    for key in keys:
+        unmet = unmet | F.col(key).isNull()
+    spread = F.xxhash64(*spread_by)
     salted_left = (
         left.join(F.broadcast(hot), keys, "left")
-        .withColumn(
-            "_salt",
-            F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread_by), F.lit(salts))).otherwise(F.lit(0).cast("bigint")),
-        )
-        .drop("_hot")
+        .withColumn("_salt", F.when(unmet, spread).otherwise(F.pmod(spread, F.coalesce("_ways", F.lit(1).cast("bigint")))))
+        .drop("_ways")
     )
-    copies = F.when(
-        F.col("_hot"), F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))
-    ).otherwise(F.array(F.lit(0).cast("bigint")))
+    copies = F.sequence(F.lit(0).cast("bigint"), F.coalesce("_ways", F.lit(1).cast("bigint")) - 1)
     salted_right = (
-        right.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+        right.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(copies)).drop("_ways")
     )
     return salted_left.join(salted_right, [*keys, "_salt"], how).drop("_salt")

@@ -407,6 +407,16 @@ def test_hot_keys_join_like_others(spark, how):
     assert rows(got, *want.columns) == rows(want, *want.columns)
 
 
+@pytest.mark.parametrize("how", ["left", "left_anti", "inner"])
+def test_null_keys_join_like_others(spark, how):
+    left = spark.range(300).select("id", F.when(F.col("id") % 2 == 0, F.col("id") % 10).alias("k"))
+    right = spark.createDataFrame([(4, 1), (8, 2), (None, 3)], "k BIGINT, v INT")
+    want = left.join(right, "k", how)
+    got = lookup_join(left, right, ["k"], ["id"], how, hot_rows=20)
+    nulls = lambda f: sorted((tuple(r) for r in f.select(*want.columns).collect()), key=repr)
+    assert nulls(got) == nulls(want)
+
+
 # --- planning ----------------------------------------------------------------
 
 V, J = {"ext": "vtt", "url": "u-vtt", "name": None}, {"ext": "json3", "url": "u-json", "name": None}
