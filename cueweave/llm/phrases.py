@@ -31,13 +31,13 @@ from pyspark.sql import functions as F
 from cueweave.llm.common import group_count, pack, pack_columns, stored, unpack, unpack_columns
 
 #: Bytes of text per shard: bounds the memory of a task.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 6 << 20
 
 #: Bits of a word's number for its place in the shard's dictionary, and of a shard's for its place in the task.
 PLACE_BITS, TURN_BITS = 30, 11
 
 #: Occurrences that one step looks at together.
-STEP_ROWS = 1 << 19
+STEP_ROWS = 1 << 18
 
 #: What separates pieces of a text, and the language of documents without one.
 SEPARATORS = "[.,;:!?\n-\r]+"
@@ -54,22 +54,26 @@ def word_ids(texts: pa.Array, langs: pa.Array) -> tuple[np.ndarray, pa.Array, pa
     ends, between = (pa.scalar(c, pa.large_string()) for c in ("\n", " "))
     spaced = pc.binary_join_element_wise(pc.replace_substring(spaced, "\t", " "), ends, between)
     lists = pc.split_pattern(spaced, " ")
+    del spaced  # each of these arrays is as large as the texts
     names = langs.dictionary_encode()
     lang = np.repeat(names.indices.to_numpy(zero_copy_only=False), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
     coded = lists.flatten().dictionary_encode()
-    code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    empty, gap = (pc.index(coded.dictionary, pa.scalar(w, coded.dictionary.type)).as_py() for w in ("", "\n"))
+    del lists
+    words, code = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+    empty, gap = (pc.index(words, pa.scalar(w, words.type)).as_py() for w in ("", "\n"))
     real = code != empty
     code, lang = code[real], lang[real]
-    both = np.where(code == gap, -1, lang * len(coded.dictionary) + code)
+    both = lang * np.int64(len(words)) + code
+    both[code == gap] = -1
+    del coded, code, lang, real
     seen, ids, counts = np.unique(both, return_inverse=True, return_counts=True)
+    del both
     ids, seen, counts = (ids, seen[1:], counts[1:]) if len(seen) and seen[0] == -1 else (ids + 1, seen, counts)
     order = np.argsort(-counts, kind="stable")  # frequent words have small ids, which compress well
     place = np.zeros(len(seen) + 1, np.int64)
     place[order + 1] = np.arange(1, len(seen) + 1)
     seen, counts = seen[order], counts[order]
-    return (place[ids], names.dictionary.take(pa.array(seen // max(1, len(coded.dictionary)))),
-            coded.dictionary.take(pa.array(seen % max(1, len(coded.dictionary)))), counts)
+    return place[ids], names.dictionary.take(pa.array(seen // max(1, len(words)))), words.take(pa.array(seen % max(1, len(words)))), counts
 
 
 def tidy(s: np.ndarray) -> np.ndarray:
