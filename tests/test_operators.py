@@ -246,6 +246,33 @@ def test_words(spark, block):
     assert got == sorted(want)
 
 
+def test_words_of_segments_that_hold_their_tokens_are_not_shuffled(spark):
+    schema = "media_id BIGINT, segment_id BIGINT, token_index BIGINT, token_id BIGINT, text STRING, t0 BIGINT, t1 BIGINT, probability DOUBLE"
+    texts = ["he", "llo", " wor", "ld", "  ", " [x]", "!", "\u3000a", " b", None, "c"]
+    flat = spark.createDataFrame(
+        [(m, s, i, 50_300 if t == " [x]" else i, t, i * 10, None if i == 3 else i * 10 + 9, None if i % 4 == 1 else i / 16)
+         for m in (1, 2, None) for s in (0, 1, None) for i, t in enumerate(texts[s or 0:])], schema)
+    held = flat.groupBy("media_id", "segment_id").agg(F.reverse(F.collect_list(F.struct(*flat.columns[:1:-1]))).alias("tokens"))
+    found = words.words_of_segments(held.localCheckpoint())
+    names = ("media_id", "segment_id", "word_id", "word", "start", "end", "probability")
+    assert rows(found, *names) == rows(words.assemble_words(flat), *names) == rows(words.assemble_words(flat, block_tokens=2), *names)
+    assert found.count() > 8 and "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_both_bounds_in_one_shuffle(spark):
+    pieces = spark.createDataFrame(
+        [(m, p * 700, p * 1_000 + m, 700, 700 if p % 2 else 900) for m in (1, 2) for p in range(1, 9)],
+        "media_id BIGINT, processed BIGINT, original BIGINT, processed_len BIGINT, original_len BIGINT")
+    spans = [(m, i, a, a + i * 37 % 200) for m in (1, 2, 3) for i, a in enumerate(range(0, 8_000, 90))]
+    points = spark.createDataFrame([*spans, (1, 100, None, None)], "media_id BIGINT, id BIGINT, a BIGINT, b BIGINT")
+    near = points.where(timeline.block_of_sample("a", 1_024).eqNullSafe(timeline.block_of_sample("b", 1_024)))
+    got = timeline.remap_bounds(near, pieces, "a", "b", block_samples=1_024)
+    twice = timeline.remap_timeline(
+        timeline.remap_timeline(near, pieces, "a").withColumnRenamed("original", "_start"), pieces, "b").withColumnRenamed("original", "_end")
+    names = ("media_id", "id", "a", "b", "_start", "_end")
+    assert 200 < near.count() < len(spans) and rows(got, *names) == rows(twice, *names)
+
+
 def test_words_on_the_original_axis(spark):
     spans = spark.createDataFrame([(1, 160_000, 192_000, 10**12), (1, 10**10, 10**10 + 32_000, 10**12)], SPANS)
     pieces = timeline.compact_timeline(timeline.merge_spans(spans))
