@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cueweave.functions.errors import classify_error, error_variant
+from cueweave.functions.timecode import int_div
 from cueweave.operators.blocks import BLOCK, block_of, in_block
 
 BLOCK_CHUNKS = 65_536
@@ -113,7 +116,7 @@ def merge_bench(sketches: DataFrame, keys: tuple[str, ...] = ("model", "backend"
 
 
 def bench_figures(sketches: DataFrame) -> DataFrame:
-    """What the sketches say: means, extremes, the median and the 95th percentile of speed and memory."""
+    """What the sketches say, without the runs: means, extremes, the median and the 95th percentile of speed and memory."""
     rest = ("speed_sketch", "peak_sketch", "speed_sum", "timed")
 
     def quantile(sketch: str, share: float) -> Column:
@@ -127,9 +130,54 @@ def bench_figures(sketches: DataFrame) -> DataFrame:
     }).drop(*rest)
 
 
+def exact_quantiles(figures: DataFrame, sketches: DataFrame, runs: DataFrame, keys: tuple[str, ...] = ("model", "backend", "vad")) -> DataFrame:
+    """`bench_figures` with the quantiles that the runs have: the smallest value that at least the share
+    of the values reaches, whatever the sketch left out.
+
+    The sketches only say where to look: values a percent of ranks around each share are
+    zones of their own. Values are counted first, then zones; only the zones that hold a wanted rank are ordered,
+    so a sketch that is off costs time and no digit. `runs` should be a stored table.
+    """
+    asked = {"speed": ("speed_sketch", "speed"), "peak_mb": ("peak_sketch", "peak_mb")}
+    shares = {"p50": 50, "p95": 95}
+    edges = [(q + d) / 100 for q in shares.values() for d in (-1, 1)]
+    named = [F.col(k).alias(f"_{k}") for k in keys]
+    same = lambda names: F.lit(True) if not names else functools.reduce(
+        lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in names])
+    found = figures
+    for measure, (sketch, column) in asked.items():
+        some = F.kll_sketch_get_n_double(sketch) > 0
+        cuts = sketches.select(*named, *[F.when(some, F.kll_sketch_get_quantile_double(sketch, F.lit(e))).alias(f"_e{i}") for i, e in enumerate(edges)])
+        values = runs.where(F.col(column).isNotNull()).groupBy(*keys, F.col(column).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+        # One row per group, as few as the result has.
+        zone = sum((F.coalesce(F.col("_v") > F.col(f"_e{i}"), F.lit(False)).cast("int") for i in range(len(edges))), F.lit(0))
+        placed = values.join(F.broadcast(cuts), same(keys)).select(*keys, "_v", "_n", zone.alias("_zone"))
+        order = Window.partitionBy(*keys).orderBy("_zone")
+        zones = placed.groupBy(*keys, "_zone").agg(F.sum("_n").alias("_in")).select(
+            *[F.col(k).alias(f"_{k}") for k in keys], F.col("_zone").alias("_at"),
+            (F.sum("_in").over(order) - F.col("_in")).alias("_below"), F.col("_in"),
+            F.sum("_in").over(Window.partitionBy(*keys)).alias("_all"))
+        ranks = {name: int_div(F.col("_all") * q + 99, 100) for name, q in shares.items()}
+        holds = functools.reduce(lambda a, b: a | b, [(r > F.col("_below")) & (r <= F.col("_below") + F.col("_in")) for r in ranks.values()])
+        inside = Window.partitionBy(*keys, "_zone").orderBy("_v")
+        ordered = placed.join(F.broadcast(zones.where(holds)), same(keys) & (F.col("_zone") == F.col("_at"))).withColumn(
+            "_upto", F.col("_below") + F.sum("_n").over(inside))
+        exact = ordered.groupBy(*keys).agg(*[
+            F.min(F.when(F.col("_upto") >= r, F.col("_v"))).cast("double").alias(f"_{measure}_{name}") for name, r in ranks.items()])
+        exact = exact.select(*named, *[f"_{measure}_{name}" for name in shares])
+        found = found.drop(*[f"{measure}_{name}" for name in shares]).join(F.broadcast(exact), same(keys), "left").select(
+            *[c for c in found.columns if c not in {f"{measure}_{name}" for name in shares}],
+            *[F.col(f"_{measure}_{name}").alias(f"{measure}_{name}") for name in shares])
+    return found
+
+
 def bench_summary(runs: DataFrame) -> DataFrame:
-    """Runs, speed, memory and segments by model, backend and speech detection."""
-    return bench_figures(bench_sketches(runs))
+    """Runs, speed, memory and segments by model, backend and speech detection; quantiles are exact.
+
+    `runs` should be a stored table: it is read for the sketches, then for the values near the quantiles.
+    """
+    sketches = bench_sketches(runs)
+    return exact_quantiles(bench_figures(sketches), sketches, runs)
 
 
 def error_summary(logs: DataFrame, message: str = "message") -> DataFrame:

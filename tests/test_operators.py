@@ -398,6 +398,21 @@ def test_eviction_within_a_second(spark, cap):
     assert results.cache_evict(frame.limit(0), cap).count() == 0
 
 
+def test_quantiles_of_more_runs_than_a_sketch_holds_are_exact(spark):
+    n = 60_000
+    runs = spark.range(n).select(
+        F.lit(None).cast("string").alias("model"), F.when(F.col("id") % 3 == 0, "cpu").otherwise("gpu").alias("backend"), F.lit(True).alias("vad"),
+        F.when(F.col("id") % 7 != 0, F.col("id") * 7919 % 60_013 / 8).alias("speed"), (F.col("id") * 31 % 50_021).alias("peak_mb"), F.lit(1).alias("segments"))
+    held = [(r["backend"], r["speed"], r["peak_mb"]) for r in runs.collect()]
+    got = {r["backend"]: r for r in audits.bench_summary(runs).collect()}
+    assert len(got) == 2
+    for backend, row in got.items():
+        for name, at in (("speed", 1), ("peak_mb", 2)):
+            values = sorted(h[at] for h in held if h[0] == backend and h[at] is not None)
+            for share in (50, 95):
+                assert row[f"{name}_p{share}"] == values[-(-len(values) * share // 100) - 1]
+
+
 def test_sketches_merge_within_their_error(spark):
     """50,000 runs in parts: ranks of the quantiles are off by less than half a percent; few runs are exact."""
     runs = spark.range(50_000).select(
