@@ -242,11 +242,12 @@ def compare_paths(left: DataFrame, right: DataFrame) -> DataFrame:
     """Two results per media side by side, whichever of them exists."""
     a = path_summary(left).select("media_id", F.col("segments").alias("left_segments"), F.col("covered_ms").alias("left_covered_ms"))
     b = path_summary(right).select("media_id", F.col("segments").alias("right_segments"), F.col("covered_ms").alias("right_covered_ms"))
-    words = lambda s, name: (
-        vocabulary(s).select("media_id", "word", F.lit(True).alias(name))
-    )
+    # A word of both paths is shipped once, and no vocabulary is sorted for a join.
+    said = lambda s, name: s.select(
+        "media_id", F.explode(words_of(F.col("text"))).alias("word"), *[F.when(F.lit(n == name), True).alias(n) for n in ("_a", "_b")])
+    both = said(left, "_a").unionByName(said(right, "_b")).where(F.col("media_id").isNotNull() & F.col("word").isNotNull())
     vocab = (
-        words(left, "_a").join(words(right, "_b"), ["media_id", "word"], "full_outer")
+        both.groupBy("media_id", "word").agg(F.max("_a").alias("_a"), F.max("_b").alias("_b"))
         .groupBy("media_id")
         .agg(F.count("_a").alias("_na"), F.count("_b").alias("_nb"), F.count(F.when(F.col("_a") & F.col("_b"), 1)).alias("_s"))
         .select("media_id", (F.col("_s") / F.greatest(F.least("_na", "_nb"), F.lit(1))).alias("overlap"))

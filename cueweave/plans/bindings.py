@@ -40,19 +40,29 @@ STDERR = (
 )
 
 
+#: Bytes of a stored table per partition, where a table in few files is spread.
+SPREAD_BYTES = 8 << 20
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A test table; texts in fewer files than cores are spread over the cores.
+    """A test table; texts in fewer files than cores are spread.
 
-    Parquet splits at row groups, and these files have one. A table of a real
-    cluster has more files than cores and is read as it lies.
+    Parquet splits at row groups, and these files have one. They are spread over the
+    cores, and over more partitions where they are large, so that a task's share does not grow
+    with the table. A table of a real cluster has more files than cores and is read as it lies.
     """
     frame = spark.read.parquet(f"{folder}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    if name == "documents" and len(frame.inputFiles()) < cores:
-        return frame.repartition(cores, "doc_id")
+    if name == "documents" and len(files := frame.inputFiles()) < cores:
+        return frame.repartition(max(cores, -(-_bytes(spark, files) // SPREAD_BYTES)), "doc_id")
     return frame
 
 
+def _bytes(spark: SparkSession, files: list[str]) -> int:
+    paths = [spark._jvm.org.apache.hadoop.fs.Path(f) for f in files]
+    return sum(p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).getLen() for p in paths)
+
+
 def micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cueweave.operators import events
+from cueweave.plans import bindings
 from cueweave.session import shared_dir
 from cueweave.sources import manifest, readers, result_table, writers
 from cueweave.streaming import batches, progress, runner, status
@@ -279,3 +280,13 @@ def test_watermark_drops_late_windows(spark, tmp_path):
     written = runner.drain_batches(counted, "t-windows", lambda b: b, "update")
     latest = written.groupBy("window_start").agg(F.max("n").alias("n"))
     assert latest.agg(F.sum("n")).first()[0] == 20
+
+
+def test_large_tables_in_few_files_get_more_partitions(spark, tmp_path, monkeypatch):
+    """A task's share does not grow with the table."""
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.sha2(F.col("id").cast("string"), 512).alias("text"))
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    assert bindings.table(spark, str(tmp_path), "documents").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(bindings, "SPREAD_BYTES", 1 << 10)
+    spread = bindings.table(spark, str(tmp_path), "documents")
+    assert spread.rdd.getNumPartitions() > 2 * spark.sparkContext.defaultParallelism and spread.count() == 400

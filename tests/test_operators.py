@@ -3,6 +3,7 @@ plain loops: the blocks must not show in any result."""
 
 import datetime
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -656,3 +657,14 @@ def test_quality_verdict(spark):
     assert rows(got.fillna(-1.0, ["overlap"]), "media_id", "loops", "overlap", "anomalies", "passed") == [
         (1, 1, 1.0, 0, True), (2, 1, 0.0, 1, False), (3, 1, -1.0, 0, True)]
     assert "overlap" not in quality.quality_report(segs, media).columns
+
+
+def test_paths_are_compared_in_one_count_per_word(spark):
+    left = spark.createDataFrame([(1, 0, 0, 5, "alpha bravo alpha"), (1, 1, 5, 9, "charlie"), (2, 0, 0, 4, "xray xray"), (3, 0, 0, 1, ""), (None, 0, 0, 1, "november")], SEGMENTS)
+    right = spark.createDataFrame([(1, 0, 0, 7, "bravo delta bravo"), (4, 0, 0, 4, "yankee zulu"), (3, 0, 0, 1, "quebec"), (None, 0, 0, 1, "november")], SEGMENTS)
+    found = quality.compare_paths(left, right)
+    got = {r["media_id"]: r["overlap"] for r in found.where("media_id IS NOT NULL").collect()}
+    assert got == {1: 0.5, 2: 0.0, 3: 0.0, 4: 0.0}
+    # Only media are joined: a join by words would sort both vocabularies.
+    joins = re.findall(r"Join .*", found._jdf.queryExecution().optimizedPlan().toString())
+    assert joins and not any("word" in j for j in joins)
