@@ -1,5 +1,9 @@
 """Exact Jaccard join of documents on word shingles, with set relations.
 
+0. Sets that cannot be linked are left aside. A set may lack a few of its shingles
+   in another one only, so that one with more shingles that no other set has is linked
+   with nothing. Half of the shingles, chosen by hash, are counted: that finds fewer
+   such shingles, never more.
 1. Signatures make families. Two sets as similar as the threshold differ in at
    most `d` shingles, d from their sizes. If the shingles are dealt by hash into
    d + 1 + e classes, two such sets agree on e + 1 classes at least, hence on a
@@ -152,6 +156,21 @@ def signatures(values: np.ndarray, levels: Levels) -> np.ndarray:
     return np.concatenate(out)
 
 
+def probes(values: np.ndarray) -> np.ndarray:
+    """Which shingles are counted to tell the sets that cannot be linked."""
+    return values & np.uint64(1) == 0
+
+
+def _met(node: np.ndarray, shingle: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, how many of its shingles another node has too), for nodes that have such."""
+    order = np.lexsort((node, shingle))
+    node, shingle = node[order], shingle[order]
+    new = np.concatenate([[True], (shingle[1:] != shingle[:-1]) | (node[1:] != node[:-1])])
+    node, shingle = node[new], shingle[new]
+    same = shingle[1:] == shingle[:-1]
+    return np.unique(node[np.concatenate([[False], same]) | np.concatenate([same, [False]])], return_counts=True)
+
+
 def links(sets: list[np.ndarray], share: int, first: int = 0) -> Iterator[tuple[int, np.ndarray]]:
     """(i, linked sets before i) for sets in order of size, exactly.
 
@@ -226,32 +245,57 @@ def similar(frame: DataFrame, k: int, share: int, key: str = "doc_id", text: str
     rows are copies of each other. `n_links` counts the other rows linked. An
     empty table gives none. Other columns are not read.
 
-    Shuffled are signatures (packed per task and bucket), a few numbers per row,
-    and the texts of the members of families.
+    Shuffled are half of the shingles as 32-bit numbers (packed per task and bucket), a few
+    numbers per row, the texts, and signatures and sets of what may be linked.
     """
     spark = frame.sparkSession
     docs = frame.select(F.col(key).cast("bigint").alias("_id"), F.col(text).alias("_text"), F.xxhash64(text).alias("_hash"))
     buckets = group_count(docs, "_text")
+    wide = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-buckets // 4))  # a probe takes 4 bytes
     levels = Levels(share)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text", 2 << 20):
             values, border = shingle_sets(batch.column("_text").to_pylist(), k)
             f1, f2 = prints(values, border)
+            probed = np.concatenate([[0], np.cumsum(probes(values), dtype=np.int64)])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("_id"), batch.column("_hash"), pa.array(np.diff(border), pa.int64()), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64))],
-                ["_id", "_hash", "n", "f1", "f2"])
+                [batch.column("_id"), batch.column("_hash"), pa.array(np.diff(border), pa.int64()), pa.array(np.diff(probed[border])),
+                 pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64))],
+                ["_id", "_hash", "n", "probes", "f1", "f2"])
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text", 2 << 20):
             values, border = shingle_sets(batch.column("_text").to_pylist(), k)
             f1, _ = prints(values, border)
-            _, some = np.unique(f1, return_index=True)  # copies within the batch sign once
-            some = [d for d in some if border[d] < border[d + 1]]
-            if not some:
-                continue
-            each = [signatures(values[border[d] : border[d + 1]], levels) for d in some]
-            node = np.repeat(f1[some], [len(x) for x in each])
+            doc = np.repeat(np.arange(len(f1)), np.diff(border))
+            use = probes(values)
+            values, doc = values[use], doc[use]
+            bucket = ((values >> np.uint64(32)) * np.uint64(wide) >> np.uint64(32)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            bucket, values, doc = bucket[order], (values[order] >> np.uint64(1)).astype(np.uint32), doc[order]
+            cut = np.searchsorted(bucket, np.arange(wide + 1))
+            rows = []
+            for b in np.flatnonzero(np.diff(cut)):
+                some, count = np.unique(doc[cut[b] : cut[b + 1]], return_counts=True)
+                rows.append((b, f1[some].tobytes(), count.astype(np.uint32).tobytes(), values[cut[b] : cut[b + 1]].tobytes()))
+            if rows:
+                b, *packed = zip(*rows)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(b, pa.int32()), *(pa.array(x, pa.binary()) for x in packed)], ["bucket", "nodes", "counts", "probes"])
+
+    def count(table: pa.Table) -> pa.Table:
+        node, times, value = (np.concatenate([np.frombuffer(x, kind) for x in table[name].to_pylist()])
+                              for name, kind in (("nodes", np.int64), ("counts", np.uint32), ("probes", np.uint32)))
+        node, met = _met(np.repeat(node, times), value)
+        return pa.table({"f1": pa.array(node), "met": pa.array(met, pa.int64())})
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "set", 4 << 20):
+            sets = [np.frombuffer(x, np.uint64) for x in batch.column("set").to_pylist()]
+            f1 = batch.column("f1").to_numpy().view(np.uint64)
+            each = [signatures(x, levels) for x in sets]
+            node = np.repeat(f1, [len(x) for x in each])
             sign = np.concatenate(each)
             bucket = (sign % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
@@ -268,19 +312,6 @@ def similar(frame: DataFrame, k: int, share: int, key: str = "doc_id", text: str
         sign = np.concatenate(raw("signs", np.uint64))
         return pa.table(dict(zip("ab", (pa.array(x.view(np.int64)) for x in _stars(sign, node)))))
 
-    rows = stored(docs.mapInArrow(describe, "_id bigint, _hash bigint, n bigint, f1 bigint, f2 bigint"), "sets")
-    signed = docs.mapInArrow(sign, "bucket int, signs binary, nodes binary, which binary")
-    edges = stored(signed.groupBy("bucket").applyInArrow(meet, "a bigint, b bigint"), "edges")  # read twice below
-    family = stored(components(edges).withColumnRenamed("node", "f1"), "families")
-
-    # One member per distinct set, for sets that share a signature with another.
-    members = rows.where("n > 0").groupBy("f1", "f2").agg(F.min("_id").alias("_rep"), F.count("*").alias("copies"))
-    members = stored(members.withColumn("member", F.monotonically_increasing_id()), "members")
-    inside = members.join(family, "f1")
-    count = inside.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    inside = inside.join(count, "root").withColumn("block", F.pmod(F.xxhash64("f1", "f2"), F.col("blocks")))
-    inside = inside.select("root", "blocks", "block", "f1", "f2", "_rep", "member", "copies")
-
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text", 2 << 20):
             values, border = shingle_sets(batch.column("_text").to_pylist(), k)
@@ -289,12 +320,33 @@ def similar(frame: DataFrame, k: int, share: int, key: str = "doc_id", text: str
             keep = np.flatnonzero(own)
             sets = [values[border[d] : border[d + 1]].tobytes() for d in keep]
             some = batch.take(pa.array(keep))
-            names = [n for n in batch.schema.names if n != "_text"]
+            names = ["f1", "member", "copies"]
             yield pa.RecordBatch.from_arrays([*(some.column(n) for n in names), pa.array(sets, pa.binary())], [*names, "set"])
 
+    rows = stored(docs.mapInArrow(describe, "_id bigint, _hash bigint, n bigint, probes bigint, f1 bigint, f2 bigint"), "sets")
+    # One member per distinct set.
+    members = rows.where("n > 0").groupBy("f1", "f2").agg(
+        F.min("_id").alias("_rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("probes").alias("probes"))
+    met = docs.mapInArrow(probe, "bucket int, nodes binary, counts binary, probes binary").groupBy("bucket").applyInArrow(
+        count, "f1 bigint, met bigint").groupBy("f1").agg(F.sum("met").alias("met"))
+    lacking = F.col("probes") - F.coalesce("met", F.lit(0))
+    members = members.join(met, "f1", "left").select(
+        "f1", "f2", "_rep", "copies", (100 * lacking <= (100 - share) * F.col("n")).alias("near"))
+    members = stored(members.withColumn("member", F.monotonically_increasing_id()), "members")
+
+    # The sets that may be linked, and families of those that share a signature with another.
+    near = members.where("near").drop("near")
     docs = docs.drop("_hash")
-    sets = docs.hint("shuffle_hash").join(inside.hint("shuffle_hash"), docs["_id"].eqNullSafe(inside["_rep"])).drop("_id").mapInArrow(
-        fetch, "root bigint, blocks bigint, block bigint, f1 bigint, f2 bigint, _rep bigint, member bigint, copies bigint, set binary")
+    sets = stored(docs.hint("shuffle_hash").join(near.hint("shuffle_hash"), docs["_id"].eqNullSafe(near["_rep"])).mapInArrow(
+        fetch, "f1 bigint, member bigint, copies bigint, set binary"), "near")
+    signed = sets.mapInArrow(sign, "bucket int, signs binary, nodes binary, which binary")
+    edges = stored(signed.groupBy("bucket").applyInArrow(meet, "a bigint, b bigint"), "edges")  # read twice below
+    family = stored(components(edges).withColumnRenamed("node", "f1"), "families")
+    inside = near.join(family, "f1")
+    blocks = inside.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    inside = inside.join(blocks, "root").select(
+        "root", "blocks", F.pmod(F.xxhash64("f1", "f2"), F.col("blocks")).alias("block"), "member")
+    sets = sets.drop("f1").join(inside, "member")
     # A family of one block shares a task with others; of several, each pair of blocks has its own.
     one = F.col("blocks") == 1
     sets = sets.withColumn("other", F.explode(F.when(one, F.array(F.lit(0).cast("bigint"))).otherwise(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))))

@@ -92,6 +92,19 @@ def test_similar_equals_brute_force(spark, monkeypatch, k, share, block):
     assert got == sorted(((key, n, key if n == 0 else c) for key, n, c in want), key=repr)
 
 
+def test_sets_that_cannot_be_linked_are_not_signed(spark, monkeypatch):
+    """A passage that all share does not bring texts into one family."""
+    rng = random.Random(2)
+    prose = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    passage, twin = prose(40), prose(200)
+    rows = [(i, f"{prose(80)} {passage} {prose(80)}") for i in range(60)] + [(100, twin), (101, f"{twin} more"), (102, twin)]
+    held, store = {}, jaccard.stored
+    monkeypatch.setattr(jaccard, "stored", lambda frame, label: held.setdefault(label, store(frame, label)))
+    found = jaccard.similar(spark.createDataFrame(rows, "doc_id BIGINT, text STRING").repartition(3), 5, 80).collect()
+    assert {r.doc_id: (r.component_id, r.n_links) for r in found} == {i: (100, 2) if i >= 100 else (i, 0) for i, _ in rows}
+    assert held["near"].count() == 2
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(500, 500)]
