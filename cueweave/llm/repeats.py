@@ -41,6 +41,8 @@ FINER = 4
 HOT = 8192
 #: Segments that a collection gathers before it is sorted; an anchor is never cut.
 COLLECTED = 4096
+#: Bytes of text whose hashes are in memory at once; a text is never cut.
+HASHED = 512 << 10
 #: Bytes of a column file that stay in memory.
 IN_MEMORY = 32 << 20
 LAST = np.iinfo(np.int64).max
@@ -78,6 +80,18 @@ def _sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
 
 def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, width: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, position, text number) of every position that is the smallest of some `width`-byte string of a text."""
+    none = np.zeros(0, np.int64)
+    found, first = [(none.astype(np.uint64), none, none)], 0
+    while first < len(starts):
+        stop = max(first + 1, int(np.searchsorted(ends, starts[first] + HASHED, "right")))
+        base = starts[first]
+        h, at, doc = _anchors(data[base : ends[stop - 1]], starts[first:stop] - base, ends[first:stop] - base, width, k)
+        found.append((h, at + base, doc + first))
+        first = stop
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, width: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     none = np.zeros(0, np.int64)
     if len(data) < width:
         return none.astype(np.uint64), none, none
@@ -375,8 +389,7 @@ def find(frame: DataFrame, width: int = 50, key: str = "doc_id", text: str = "te
         kind = np.empty(len(order), np.int64)
         kind[order] = np.cumsum(new) - 1
         owner, hashes = o[doc[lead]], where[lead]
-        flags = np.zeros((len(lead), 256 - width), bool)
-        at = 0
+        runs, at = [], 0  # (segment, first start, the start behind the last) of strings found elsewhere
         while at < len(lead):
             stop = min(at + COLLECTED, len(lead))
             stop = int(np.searchsorted(hashes, hashes[stop - 1], "right"))
@@ -384,17 +397,22 @@ def find(frame: DataFrame, width: int = 50, key: str = "doc_id", text: str = "te
             n = size[some]
             bytes_ = data[np.repeat(begin[some] - np.cumsum(n) + n, n) + np.arange(n.sum())]
             part = suffix_classes(bytes_, n, owner[at:stop], width)
-            flags[at:stop, : part.shape[1]] = part
+            edge = np.diff(np.pad(part.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+            row, first = np.nonzero(edge == 1)
+            runs.append((row + at, first, np.nonzero(edge == -1)[1]))
             at = stop
         least = owner[kind]
         later = o[doc] > least
         out_doc, out_start, out_count = [doc[later]], [pos[later]], [size[later] - width + 1]
         # The smallest document of a segment loses what an even smaller one has in another segment.
-        some = np.flatnonzero(~later & flags.any(1)[kind])
-        edge = np.diff(np.pad(flags[kind[some]].astype(np.int8), ((0, 0), (1, 1))), axis=1)
-        row, first = np.nonzero(edge == 1)
-        _, last = np.nonzero(edge == -1)
-        out_doc.append(doc[some][row]), out_start.append(pos[some][row] + first), out_count.append(last - first)
+        row, first, last = (np.concatenate(x) for x in zip(*runs))
+        begin = np.searchsorted(row, np.arange(len(lead) + 1))
+        n = np.diff(begin)
+        some = np.flatnonzero(~later & (n > 0)[kind])
+        n = n[kind[some]]
+        run = np.repeat(begin[kind[some]] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        some = np.repeat(some, n)
+        out_doc.append(doc[some]), out_start.append(pos[some] + first[run]), out_count.append(last[run] - first[run])
         doc, begin, count = (np.concatenate(x) for x in (out_doc, out_start, out_count))
         order = np.argsort(gs[doc], kind="stable")
         doc, begin, count = doc[order], begin[order], count[order]

@@ -1,7 +1,9 @@
 """Suffix-array dedup, the n-gram Jaccard join and components against brute force."""
 
 import random
+import tracemalloc
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,6 +46,18 @@ def test_repeats_equal_brute_force(spark):
     assert repeats.find(docs.where("doc_id < 0")).count() == 0
 
 
+def test_anchors_take_memory_by_piece():
+    size = np.random.default_rng(4).integers(0, 4000, 2000)
+    data, end = np.random.default_rng(5).integers(97, 100, size.sum()).astype(np.uint8), np.cumsum(size)
+    whole = repeats._anchors(data, end - size, end, 50, 20)
+    tracemalloc.start()
+    got = repeats.anchors(data, end - size, end, 50, 20)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert all((a == b).all() for a, b in zip(got, whole))
+    assert peak < 20 * len(data)
+
+
 def brute_similar(rows, k, share):
     sets = []
     for _, text in rows:
