@@ -7,10 +7,10 @@ event-time timer per key wakes the state; what is behind the watermark leaves it
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -108,12 +108,17 @@ class Ordered(StatefulProcessor):
         self.handle.registerTimer(ms + SHIFT_MS)
 
 
-def in_order(rows: DataFrame, key: str, processor: Ordered, schema: str, delay: str) -> DataFrame:
-    """Run `processor` over `rows` (`key`, `ts_ms` and its columns); rows that come more than
-    `delay` behind the latest time are dropped. The closing row moves the watermark only."""
+def by_key(rows: DataFrame, key: str, columns: Iterable[str], delay: str) -> GroupedData:
+    """`rows` (`key`, `ts_ms` and the columns) per key; those that come more than `delay`
+    behind the latest time are dropped. The closing row moves the watermark only."""
     at = F.timestamp_millis(F.col("ts_ms") + SHIFT_MS)
     return (
-        rows.where(F.col("ts_ms").isNotNull()).select(key, *processor.columns, at.alias("at")).withWatermark("at", delay)
+        rows.where(F.col("ts_ms").isNotNull()).select(key, *columns, at.alias("at")).withWatermark("at", delay)
         .where(F.col("at") < F.timestamp_millis(F.lit(CLOSE_MS + SHIFT_MS)))
-        .groupBy(key).transformWithStateInPandas(processor, schema, "Append", "EventTime")
+        .groupBy(key)
     )
+
+
+def in_order(rows: DataFrame, key: str, processor: Ordered, schema: str, delay: str) -> DataFrame:
+    """Run `processor` over `by_key`."""
+    return by_key(rows, key, processor.columns, delay).transformWithStateInPandas(processor, schema, "Append", "EventTime")

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from cueweave.streaming.batches import WATERMARK
-from cueweave.streaming.ordered import Ordered, closes, in_order
+from cueweave.streaming.ordered import SHIFT_MS, by_key, closes
 
 _SCHEMA = "task_id BIGINT, seq BIGINT, percent INT"
+_STATE = "ts_ms ARRAY<BIGINT>, seq ARRAY<BIGINT>, percent ARRAY<BIGINT>, high BIGINT"
 
 
 def first_per_percent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -24,27 +26,27 @@ def first_per_percent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]
         yield rows.sort_values(["ts_ms", "seq"]).drop_duplicates(["task_id", "percent"])
 
 
-class Highwater(Ordered):
-    """Passes a percentage only above the highest one seen so far."""
+def highwater(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Passes a percentage only above the highest one seen so far, in order of `ts_ms`, then of `seq`.
 
-    columns = {"ts_ms": "BIGINT", "seq": "BIGINT", "percent": "INT"}
-    order = ["ts_ms", "seq"]
-    result = ["task_id", "seq", "percent"]
-    cell_ms = 1 << 40  # one row per percentage is held, whatever the time
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.high = handle.getValueState("high", "percent INT")
-
-    def reduce(self, rows: pd.DataFrame) -> pd.DataFrame:
-        return rows.sort_values(self.order).drop_duplicates("percent")
-
-    def take(self, key: tuple, rows: pd.DataFrame) -> list[tuple]:
-        high = self.high.get()[0] if self.high.exists() else -1
-        rows = rows[rows["percent"] > rows["percent"].cummax().shift(fill_value=high).clip(lower=high)]
-        if len(rows):
-            self.high.update((int(rows["percent"].iloc[-1]),))
-        return [(key[0], int(seq), int(percent)) for seq, percent in zip(rows["seq"], rows["percent"])]
+    One row per percentage waits, whatever the time, so the state of a task is one small
+    value that travels with its rows: no calls of the state store per task.
+    """
+    held = state.get if state.exists else ([], [], [], -1)
+    parts = [held[:3], *((f["ts_ms"], f["seq"], f["percent"]) for f in frames)]
+    ts, seq, percent = (np.concatenate([np.asarray(p[i], np.int64) for p in parts]) for i in range(3))
+    order = np.lexsort((seq, ts))
+    first = np.sort(np.unique(percent[order], return_index=True)[1])
+    ts, seq, percent = (x[order][first] for x in (ts, seq, percent))
+    now = state.getCurrentWatermarkMs() - SHIFT_MS
+    n = int(np.searchsorted(ts, now, "right"))  # no row at or before the watermark comes any more
+    before = np.maximum.accumulate(np.concatenate([[held[3]], percent[:n]]))
+    up = percent[:n] > before[:-1]
+    state.update((ts[n:].tolist(), seq[n:].tolist(), percent[n:].tolist(), int(before[-1])))
+    if n < len(ts):
+        state.setTimeoutTimestamp(int(ts[n]) + SHIFT_MS)
+    if up.any():
+        yield pd.DataFrame({"task_id": key[0], "seq": seq[:n][up], "percent": percent[:n][up]})
 
 
 def stream_progress(events: DataFrame, delay: str = WATERMARK) -> DataFrame:
@@ -56,4 +58,5 @@ def stream_progress(events: DataFrame, delay: str = WATERMARK) -> DataFrame:
     """
     first = events.where(F.col("percent").isNotNull() | closes()).select("task_id", "ts_ms", "seq", "percent").mapInPandas(
         first_per_percent, "task_id BIGINT, ts_ms BIGINT, seq BIGINT, percent INT")
-    return in_order(first, "task_id", Highwater(), _SCHEMA, delay)
+    return by_key(first, "task_id", ["ts_ms", "seq", "percent"], delay).applyInPandasWithState(
+        highwater, _SCHEMA, _STATE, "append", GroupStateTimeout.EventTimeTimeout)

@@ -3,6 +3,7 @@
 import json
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from cueweave.operators import events
 from cueweave.plans import bindings
 from cueweave.session import shared_dir
 from cueweave.sources import manifest, readers, result_table, writers
-from cueweave.streaming import batches, progress, runner, status
+from cueweave.streaming import batches, ordered, progress, runner, status
 
 
 def rows(frame, *columns):
@@ -179,6 +180,45 @@ def test_progress_over_micro_batches(spark, tmp_path):
     assert rows(got, "task_id", "seq", "percent") == rows(events.progress_highwater(frame), "task_id", "seq", "percent")
 
 
+class OneState:
+    """What `highwater` asks of the state of one task."""
+
+    def __init__(self):
+        self.get, self.due, self.watermark = None, None, 0
+
+    exists = property(lambda self: self.get is not None)
+
+    def getCurrentWatermarkMs(self):  # noqa: N802
+        return self.watermark
+
+    def update(self, value):
+        self.get, self.due = value, None
+
+    def setTimeoutTimestamp(self, ms):  # noqa: N802
+        assert ms > self.watermark
+        self.due = ms
+
+
+def test_progress_waits_in_one_small_value():
+    rnd = random.Random(9)
+    data = [(t, i, rnd.randrange(-1, 100)) for i, t in enumerate(rnd.choices(range(500), k=3000))]
+    state, got = OneState(), []
+    for cut in range(0, 3000, 500):
+        part = pd.DataFrame(data[cut:cut + 500], columns=["ts_ms", "seq", "percent"])
+        got += list(progress.highwater((7,), iter([part[:200], part[200:]]), state))
+        assert not got and len(state.get[0]) <= 101 and state.due == min(state.get[0]) + ordered.SHIFT_MS
+    for now in (200, 600):
+        state.watermark = now + ordered.SHIFT_MS
+        got += list(progress.highwater((7,), iter([]), state))
+    high, want = -1, []
+    for _, seq, percent in sorted(data):
+        if percent > high:
+            high = percent
+            want.append((7, seq, percent))
+    assert [tuple(r) for frame in got for r in frame.itertuples(index=False)] == want
+    assert state.get == ([], [], [], high) and state.due is None
+
+
 def test_a_source_without_rows(spark, tmp_path):
     _, frame = events_frame(spark)
     (tmp_path / "none").mkdir()
