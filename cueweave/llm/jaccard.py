@@ -288,7 +288,21 @@ def similar(frame: DataFrame, k: int, share: int, key: str = "doc_id", text: str
         node, times, value = (np.concatenate([np.frombuffer(x, kind) for x in table[name].to_pylist()])
                               for name, kind in (("nodes", np.int64), ("counts", np.uint32), ("probes", np.uint32)))
         node, met = _met(np.repeat(node, times), value)
-        return pa.table({"f1": pa.array(node), "met": pa.array(met, pa.int64())})
+        # A set's shingles lie in as many buckets as it has shingles, so its counts travel packed, by groups of sets.
+        group = ((node.view(np.uint64) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        order = np.argsort(group, kind="stable")
+        node, met = node[order], met[order].astype(np.uint32)
+        some, cut = np.unique(group[order], return_index=True)
+        cut = [*cut.tolist(), len(node)]
+        return pa.table({"g": pa.array(some, pa.int32()),
+                         "nodes": pa.array([node[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary()),
+                         "mets": pa.array([met[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary())})
+
+    def total(table: pa.Table) -> pa.Table:
+        node, met = (np.concatenate([np.frombuffer(x, kind) for x in table[name].to_pylist()])
+                     for name, kind in (("nodes", np.int64), ("mets", np.uint32)))
+        node, which = np.unique(node, return_inverse=True)
+        return pa.table({"f1": pa.array(node), "met": pa.array(np.bincount(which, met).astype(np.int64))})
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "set", 4 << 20):
@@ -328,7 +342,7 @@ def similar(frame: DataFrame, k: int, share: int, key: str = "doc_id", text: str
     members = rows.where("n > 0").groupBy("f1", "f2").agg(
         F.min("_id").alias("_rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("probes").alias("probes"))
     met = docs.mapInArrow(probe, "bucket int, nodes binary, counts binary, probes binary").groupBy("bucket").applyInArrow(
-        count, "f1 bigint, met bigint").groupBy("f1").agg(F.sum("met").alias("met"))
+        count, "g int, nodes binary, mets binary").groupBy("g").applyInArrow(total, "f1 bigint, met bigint")
     lacking = F.col("probes") - F.coalesce("met", F.lit(0))
     members = members.join(met, "f1", "left").select(
         "f1", "f2", "_rep", "copies", (100 * lacking <= (100 - share) * F.col("n")).alias("near"))

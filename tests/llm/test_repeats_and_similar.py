@@ -119,6 +119,27 @@ def test_sets_that_cannot_be_linked_are_not_signed(spark, monkeypatch):
     assert held["near"].count() == 2
 
 
+def test_counts_of_shared_shingles_travel_packed(spark, monkeypatch):
+    """A set lies in as many buckets as it has shingles; the step does not give a row for each of them."""
+    from pyspark.sql.pandas.group_ops import PandasGroupedOpsMixin as grouped
+
+    rng = random.Random(6)
+    rows = []
+    for i in range(150):
+        text = " ".join(f"w{rng.randrange(10**9)}" for _ in range(120))
+        rows += [(2 * i, text), (2 * i + 1, f"{text} more")]
+    made, apply = [], grouped.applyInArrow
+    monkeypatch.setattr(grouped, "applyInArrow", lambda *a: made.append(apply(*a)) or made[-1])
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    try:
+        found = jaccard.similar(spark.createDataFrame(rows, "doc_id BIGINT, text STRING").repartition(3), 5, 80).collect()
+        assert {r.doc_id: r.component_id for r in found} == {i: i - i % 2 for i in range(300)}
+        assert made[0].count() <= 12 * 12
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(500, 500)]
