@@ -1,4 +1,4 @@
-"""Repeated passages: a multi-document suffix order, built column by column.
+"""Repeated passages: a multi-document suffix order, built by doubling.
 
 Two equal strings of `width` bytes have the same smallest k-byte hash at the
 same offset, their anchor. So:
@@ -9,18 +9,16 @@ same offset, their anchor. So:
    that anchor can hold are a short segment, dealt by anchor; equal segments
    are one, with the smallest document that has it. Anchors of very many
    documents are dealt by whole strings instead, which splits them.
-3. The segments of neighbouring anchors are a collection. Its Burrows-Wheeler
-   transform and common prefixes grow by one symbol per segment each round,
-   from the segments' ends to their beginnings, in files that a round reads
-   once in order and writes anew. Runs of common prefixes of `width` bytes are
-   equal strings; their smallest document decides.
+3. The segments of neighbouring anchors are a collection. Its suffixes are
+   put in order by their first bytes, twice as many each round. Those that
+   still share a place by their first `width` bytes are equal strings; their
+   smallest document decides.
 4. The starts found go back to the documents' rows, which lie bucketed in the
    shared folder, so texts are shuffled once.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -43,8 +41,8 @@ HOT = 8192
 COLLECTED = 4096
 #: Bytes of text whose hashes are in memory at once; a text is never cut.
 HASHED = 512 << 10
-#: Bytes of a column file that stay in memory.
-IN_MEMORY = 32 << 20
+#: The bits of an anchor's hash that travel.
+LOW = np.uint64((1 << 48) - 1)
 LAST = np.iinfo(np.int64).max
 
 
@@ -112,91 +110,37 @@ def _anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, width: int,
 def suffix_classes(data: np.ndarray, lengths: np.ndarray, owner: np.ndarray, width: int) -> np.ndarray:
     """Per segment and start: is the string of `width` bytes there in a segment of a smaller owner?
 
-    `data` holds the segments one after the other. The collection's transform
-    `b` and common prefixes `common` begin with the empty suffixes and take in,
-    each round, the suffixes that are one symbol longer.
+    `data` holds the segments one after the other. Suffixes are put in order by
+    their first bytes, twice as many each round up to `width`: a suffix's place
+    among those of `size` bytes and the place of the one that many bytes on
+    give its place by both. Suffixes that share a place at the end share `width` bytes.
     """
     m, longest = len(lengths), int(lengths.max())
     end = np.cumsum(lengths)
-    with tempfile.SpooledTemporaryFile(IN_MEMORY) as symbols, tempfile.SpooledTemporaryFile(IN_MEMORY) as prefixes:
-        _write(symbols, np.zeros(m, np.uint8))  # 0 ends a segment, bytes count from 1
-        _write(prefixes, np.zeros(m, np.uint8))
-        place = np.arange(m)  # where the symbol before each segment's suffix belongs
-        for j in range(1, longest + 1):
-            b, common = _read(symbols), _read(prefixes)
-            n = len(b)
-            active = np.flatnonzero(lengths >= j)
-            at = place[active]
-            b[at] = data[end[active] - j] + 1
-            new = np.zeros(n + 1, bool)
-            new[at] = True
-            order = np.argsort(b, kind="stable")  # suffixes with their symbol put in front, in order
-            sorted_new = new[order]
-            index = np.flatnonzero(sorted_new)
-            ended = m - len(active)  # symbols 0 that stay: whole segments
-            rank = np.empty(n, np.int32)
-            rank[order[index]] = index
-            spots = np.flatnonzero(new[:n])  # in order of place, so that ranges are read forwards
-            r = rank[spots]
-            # With the suffix before: one more than the least common prefix since that one's place.
-            before = order[r - 1]
-            same = (r > ended) & (b[before] == b[spots])
-            shared = np.zeros(len(spots), np.uint8)
-            bounded = np.append(common, np.uint8(0))
-            shared[same] = _least(bounded, before[same] + 1, spots[same] + 1) + 1
-            after = order[np.minimum(r + 1, n - 1)]
-            follows = (r + 1 < n) & (b[after] == b[spots]) & ~new[after]
-            changed = _least(bounded, spots[follows] + 1, after[follows] + 1) + 1
-            to = m - ended
-            keep = np.ones(n + len(spots), bool)
-            keep[index + to] = False
-            longer, prefix = np.zeros(len(keep), np.uint8), np.empty(len(keep), np.uint8)
-            longer[keep], prefix[keep] = b, common
-            prefix[r + to] = shared
-            prefix[r[follows] + 1 + to] = changed
-            place[active] = rank[at] + to
-            _write(symbols, longer)
-            _write(prefixes, prefix)
-        b, common = _read(symbols), _read(prefixes)
-    # Walk back from the empty suffixes to find the place of every long one.
-    order = np.argsort(b, kind="stable")
-    step = np.empty(len(b), np.int32)
-    step[order] = np.arange(len(b), dtype=np.int32)
-    place, starts = np.arange(m), longest - width + 1
-    found = np.zeros((m, max(starts, 1)), np.int32)
-    for j in range(1, longest + 1):
-        active = np.flatnonzero(lengths >= j)
-        place[active] = step[place[active]]
-        if j >= width:
-            found[active, lengths[active] - j] = place[active]
-    segment, start = np.nonzero(np.arange(found.shape[1])[None, :] <= (lengths - width)[:, None])
-    where = found[segment, start]
-    first = common < width
-    first[0] = True
-    smallest = np.full(len(b), LAST, np.int64)
-    smallest[where] = owner[segment]
-    smallest = np.minimum.reduceat(smallest, np.flatnonzero(first))
-    out = np.zeros(found.shape, bool)
-    out[segment, start] = smallest[np.cumsum(first)[where] - 1] < owner[segment]
+    left = np.repeat(end, lengths) - np.arange(len(data))  # bytes from here to the segment's end
+    place, places, size = data.astype(np.uint64), 256, 1
+    at = np.arange(len(data))
+    while size < width:
+        step = min(size, width - size)
+        if places * places > 1 << 64:
+            place[at], places = _dense(place[at])
+        size += step
+        at = np.flatnonzero(left >= size)
+        place[at] = place[at] * np.uint64(places) + place[at + step]
+        places *= places
+    which, places = _dense(place[at])
+    segment = np.repeat(np.arange(m), lengths)[at]
+    smallest = np.full(places, LAST, np.int64)
+    np.minimum.at(smallest, which, owner[segment])
+    out = np.zeros((m, max(longest - width + 1, 1)), bool)
+    out[segment, at - (end - lengths)[segment]] = smallest[which] < owner[segment]
     return out
 
 
-def _least(values: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """Minima of the ranges, given in order of `stop`."""
-    if not len(start):
-        return np.zeros(0, np.uint8)
-    return np.minimum.reduceat(values, np.stack([start, stop], 1).ravel())[::2]
-
-
-def _read(file) -> np.ndarray:
-    file.seek(0)
-    return np.frombuffer(bytearray(file.read()), np.uint8)
-
-
-def _write(file, column: np.ndarray) -> None:
-    file.seek(0)
-    file.truncate()
-    file.write(column.data)
+def _dense(values: np.ndarray) -> tuple[np.ndarray, int]:
+    """The place of each value among the distinct ones, and their number."""
+    some, which = np.unique(values, return_inverse=True)
+    return which, len(some)
 
 
 def _fields(*arrays: np.ndarray) -> bytes:
@@ -226,6 +170,11 @@ def _cut_by(key: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(key[order], np.arange(n + 1))
 
 
+def _bucket(h: np.ndarray, n: int) -> np.ndarray:
+    """One of `n` buckets by hash. Anchors are the smallest hashes around them, so they are mixed again."""
+    return ((mixed(h, 3) >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+
+
 def _parts(table: pa.Table, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     return slices(iter(table.to_batches()), "text", size)
 
@@ -271,9 +220,8 @@ def find(frame: DataFrame, width: int = 50, key: str = "doc_id", text: str = "te
         for batch in slices(batches, "text"):
             data, start, end = _laid(batch.column("text").to_pylist())
             h, _, doc = anchors(data, start, end, width, K)
-            bucket = (h >> np.uint64(48)) * np.uint64(groups) >> np.uint64(16)
             o, g = batch.column("o").to_numpy(), batch.column("g").to_numpy()
-            order, cut = _cut_by(bucket.astype(np.int64), groups)
+            order, cut = _cut_by(_bucket(h & LOW, groups), groups)
             h, doc = h[order], doc[order]
             out = []
             for b in np.flatnonzero(np.diff(cut)):
@@ -321,7 +269,6 @@ def find(frame: DataFrame, width: int = 50, key: str = "doc_id", text: str = "te
             for x, a, b in zip(o.tolist(), at - n, at):
                 asked.setdefault(x, []).append(h[a:b])
         out_b, out_v = [], []
-        low = np.uint64((1 << 48) - 1)
         left = left.filter(left["first"]).combine_chunks()
         _, one = np.unique(left["id"].to_numpy(), return_index=True)  # repeated rows once
         for batch in _parts(left.take(pa.array(one))):
@@ -333,11 +280,11 @@ def find(frame: DataFrame, width: int = 50, key: str = "doc_id", text: str = "te
             for d in range(len(o)):
                 if (mine := asked.get(int(o[d]))) is not None and cut[d] < cut[d + 1]:
                     mine = np.concatenate(mine)
-                    x = h[cut[d] : cut[d + 1]] & low
-                    use[cut[d] : cut[d + 1]] = np.isin(x, mine & low)
+                    x = h[cut[d] : cut[d + 1]] & LOW
+                    use[cut[d] : cut[d + 1]] = np.isin(x, mine & LOW)
                     very = mine[mine >> np.uint64(63) > 0]
                     if len(very):
-                        hot[cut[d] : cut[d + 1]] = np.isin(x, very & low)
+                        hot[cut[d] : cut[d + 1]] = np.isin(x, very & LOW)
             plain = use & ~hot
             a = np.maximum(at[plain] - (width - K), start[doc[plain]])
             z = np.minimum(at[plain] + width, end[doc[plain]])
@@ -349,8 +296,7 @@ def find(frame: DataFrame, width: int = 50, key: str = "doc_id", text: str = "te
                 s = np.repeat(a1 - np.cumsum(n) + n, n) + np.arange(n.sum())
                 a, z, of = np.concatenate([a, s]), np.concatenate([z, s + width]), np.concatenate([of, np.repeat(doc[hot], n)])
                 where = np.concatenate([where, window_hashes(data, width)[s]])
-            bucket = ((where >> np.uint64(32)) * np.uint64(dealt_to) >> np.uint64(32)).astype(np.int64)
-            order, cut = _cut_by(bucket, dealt_to)
+            order, cut = _cut_by(_bucket(where, dealt_to), dealt_to)
             for b in np.flatnonzero(np.diff(cut)):
                 i = order[cut[b] : cut[b + 1]]
                 size = z[i] - a[i]

@@ -58,6 +58,42 @@ def test_anchors_take_memory_by_piece():
     assert peak < 20 * len(data)
 
 
+def test_anchors_are_dealt_evenly(spark, monkeypatch):
+    """Anchors are the smallest of many hashes; dealt by these, one bucket would get nearly all."""
+    from pyspark.sql.pandas.group_ops import PandasGroupedOpsMixin as grouped
+
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    shared = text(20000)
+    rows = [(i, text(3000) + shared[500 * i : 500 * i + 3000]) for i in range(40)]
+    dealt, apply = [], grouped.applyInArrow
+    monkeypatch.setattr(grouped, "applyInArrow", lambda self, f, schema: dealt.append(self._df) or apply(self, f, schema))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    try:
+        repeats.find(spark.createDataFrame(rows, "doc_id BIGINT, text STRING").repartition(4))
+        for frame, buckets in zip(dealt, (12, 12 * repeats.FINER)):
+            size = [r.n for r in frame.groupBy("bucket").agg(F.sum(F.octet_length("value")).alias("n")).collect()]
+            assert max(size) < 4 * sum(size) / buckets
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_suffix_classes_equal_brute_force():
+    rng = random.Random(9)
+    for width in (20, 50, 64):
+        base = "".join(rng.choice("ab") for _ in range(150)).encode()
+        texts = [base[(at := rng.randrange(150 - width)) : at + rng.randint(width, 2 * width)] for _ in range(60)]
+        owner = np.array([rng.randrange(20) for _ in texts])
+        least = {}
+        for t, o in zip(texts, owner):
+            for i in range(len(t) - width + 1):
+                least[t[i : i + width]] = min(o, least.get(t[i : i + width], o))
+        got = repeats.suffix_classes(np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts]), owner, width)
+        want = [[i + width <= len(t) and least[t[i : i + width]] < o for i in range(got.shape[1])] for t, o in zip(texts, owner)]
+        assert got.tolist() == want
+
+
 def brute_similar(rows, k, share):
     sets = []
     for _, text in rows:
