@@ -7,7 +7,6 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessorHandle
 
 from cueweave.functions.timecode import int_div
 from cueweave.operators.blocks import BLOCK, block_of, lookup_join
@@ -66,32 +65,21 @@ class Openings(Ordered):
         self.window_ms = window_ms
         self.cell_ms = max(self.cell_ms, 64 * window_ms)
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.opened = handle.getValueState("opened", "opened_ms BIGINT")
-
     def reduce(self, rows: pd.DataFrame) -> pd.DataFrame:
         return rows.drop_duplicates()
 
-    def take(self, key: tuple, rows: pd.DataFrame) -> list[tuple]:
-        last = self.opened.get()[0] if self.opened.exists() else None
+    def take(self, key: tuple, rows: pd.DataFrame, carried: int | None) -> tuple[list[tuple], int | None]:
         opened = []
-        for t in rows["ts_ms"]:
-            if last is None or t - last >= self.window_ms:
-                last = int(t)
-                opened.append((key[0], last))
-        if opened:
-            self.opened.update((last,))
-        return opened
-
-    def idle(self, key: tuple, now: int) -> int | None:
-        if not self.opened.exists():
-            return None
-        end = self.opened.get()[0] + self.window_ms
-        if end <= now:  # every row before the watermark has been handed over
-            self.opened.clear()
-            return None
-        return end
+        for t in rows["ts_ms"].tolist():
+            if carried is None or t - carried >= self.window_ms:
+                carried = t
+                opened.append((key[0], t))
+        return opened, carried
+
+    def idle(self, carried: int | None, now: int) -> tuple[int | None, int | None]:
+        # Once a window has ended, every row before the watermark has been handed over.
+        ended = carried is None or carried + self.window_ms <= now
+        return (None, None) if ended else (carried, carried + self.window_ms)
 
 
 def stream_openings(messages: DataFrame, window_ms: int = WINDOW_MS, delay: str = WATERMARK) -> DataFrame:

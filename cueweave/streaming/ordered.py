@@ -33,8 +33,10 @@ class Ordered(StatefulProcessor):
     Held rows lie in cells of `cell_ms`, so that one cell at a time is in memory; the
     wider they are, the fewer reads of state sparse keys need.
     `columns` (name → SQL type) are kept, `ts_ms` first; `order` breaks ties. `take(key,
-    rows)` gives result rows; `idle(key, now)` may end further state and names
-    the next time to look, if any.
+    rows, carried)` gives result rows and the number that later rows of the key need, or
+    None; `idle(carried, now)` gives that number as it is at `now` and the next time to look, if any.
+    A call of the state store costs more than its rows, so each wake reads and writes `carried`
+    once, and no timer is looked up: timers of the same time are one, and a wake leaves one more at most.
     """
 
     columns: dict[str, str]
@@ -46,33 +48,35 @@ class Ordered(StatefulProcessor):
         self.handle = handle
         arrays = ", ".join(f"{n} ARRAY<{t}>" for n, t in self.columns.items())
         self.held = handle.getMapState("held", "cell BIGINT", arrays)
-        self.due = handle.getValueState("due", "ms BIGINT")
+        self.carried = handle.getValueState("carried", "value BIGINT")
 
     def reduce(self, rows: pd.DataFrame) -> pd.DataFrame:
         """Rows of a cell that are worth keeping."""
         return rows
 
-    def take(self, key: tuple, rows: pd.DataFrame) -> list[tuple]:
+    def take(self, key: tuple, rows: pd.DataFrame, carried: int | None) -> tuple[list[tuple], int | None]:
         raise NotImplementedError
 
-    def idle(self, key: tuple, now: int) -> int | None:
-        return None
+    def idle(self, carried: int | None, now: int) -> tuple[int | None, int | None]:
+        return carried, None
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         names = list(self.columns)
         for frame in rows:
-            for cell, part in frame[names].groupby(frame["ts_ms"] // self.cell_ms):
+            first, last = int(frame["ts_ms"].min()), int(frame["ts_ms"].max())
+            one = first // self.cell_ms
+            several = one < last // self.cell_ms
+            for cell, part in frame[names].groupby(frame["ts_ms"] // self.cell_ms) if several else [(one, frame[names])]:
                 at = (int(cell),)
                 if self.held.containsKey(at):
                     part = pd.concat([self._frame(self.held.getValue(at)), part], ignore_index=True)
                 self._hold(at, self.reduce(part))
-            self._wake(int(frame["ts_ms"].min()))
-        yield pd.DataFrame([], columns=self.result)
+            self._wake(first)
+        yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs() - SHIFT_MS
-        if self.due.exists() and self.due.get()[0] <= now:
-            self.due.clear()
+        before = carried = self.carried.get()[0] if self.carried.exists() else None
         for cell in sorted(c[0] for c in self.held.keys()):
             if cell * self.cell_ms > now:
                 self._wake(cell * self.cell_ms)
@@ -84,8 +88,14 @@ class Ordered(StatefulProcessor):
             else:
                 self._hold((cell,), rows[~ready])
                 self._wake(int(rows["ts_ms"][~ready].min()))
-            yield pd.DataFrame(self.take(key, rows[ready]), columns=self.result)
-        later = self.idle(key, now)
+            found, carried = self.take(key, rows[ready], carried)
+            if found:
+                yield pd.DataFrame(found, columns=self.result)
+        carried, later = self.idle(carried, now)
+        if carried is None and before is not None:
+            self.carried.clear()
+        elif carried != before:
+            self.carried.update((carried,))
         if later is not None:
             self._wake(later)
 
@@ -99,12 +109,6 @@ class Ordered(StatefulProcessor):
         self.held.updateValue(at, tuple(rows[n].tolist() for n in self.columns))
 
     def _wake(self, ms: int) -> None:
-        """A timer at `ms`, unless an earlier one is set."""
-        if self.due.exists():
-            if self.due.get()[0] <= ms:
-                return
-            self.handle.deleteTimer(self.due.get()[0] + SHIFT_MS)
-        self.due.update((ms,))
         self.handle.registerTimer(ms + SHIFT_MS)
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessorHandle
 
 from cueweave.functions.timecode import int_div
 from cueweave.operators.blocks import BLOCK, block_of, block_scan, in_block
@@ -99,25 +98,16 @@ class Watch(Ordered):
     result = ["target_id", "ts_ms", "seq", "day", "action"]
     cell_ms = _RUN_BLOCK_MS
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.open = handle.getValueState("open", "open BOOLEAN")
-
-    def take(self, key: tuple, rows: pd.DataFrame) -> list[tuple]:
-        was_open = is_open = self.open.exists()
+    def take(self, key: tuple, rows: pd.DataFrame, carried: int | None) -> tuple[list[tuple], int | None]:
         out = []
-        for ts_ms, seq, state in zip(rows["ts_ms"], rows["seq"], rows["state"]):
+        for ts_ms, seq, state in zip(rows["ts_ms"].tolist(), rows["seq"].tolist(), rows["state"]):
             if state == "failure":
-                out.append((key[0], int(ts_ms), int(seq), int(ts_ms) // DAY_MS, "append" if is_open else "open"))
-                is_open = True
-            elif is_open:
-                out.append((key[0], int(ts_ms), int(seq), int(ts_ms) // DAY_MS, "close"))
-                is_open = False
-        if is_open and not was_open:
-            self.open.update((True,))
-        elif was_open and not is_open:
-            self.open.clear()
-        return out
+                out.append((key[0], ts_ms, seq, ts_ms // DAY_MS, "append" if carried else "open"))
+                carried = 1
+            elif carried:
+                out.append((key[0], ts_ms, seq, ts_ms // DAY_MS, "close"))
+                carried = None
+        return out, carried
 
 
 def stream_watch(runs: DataFrame, delay: str = WATERMARK) -> DataFrame:

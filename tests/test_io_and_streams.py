@@ -2,6 +2,7 @@
 
 import json
 import random
+from types import SimpleNamespace
 
 import pandas as pd
 import pytest
@@ -343,3 +344,62 @@ def test_large_tables_in_few_files_get_more_partitions(spark, tmp_path, monkeypa
     monkeypatch.setattr(bindings, "SPREAD_BYTES", 1 << 10)
     spread = bindings.table(spark, str(tmp_path), "documents")
     assert spread.rdd.getNumPartitions() > 2 * spark.sparkContext.defaultParallelism and spread.count() == 400
+
+
+class _Counted:
+    """State of one key in a dictionary; counts the calls that would go to the state store."""
+
+    def __init__(self):
+        self.held, self.calls, self.timers = {}, 0, set()
+
+    def getMapState(self, *_):
+        return self
+
+    def getValueState(self, name, _):
+        return _CountedValue(self, name)
+
+    def __getattr__(self, name):
+        work = {
+            "containsKey": lambda k: k in self.held, "getValue": lambda k: self.held[k], "updateValue": lambda k, v: self.held.__setitem__(k, v),
+            "removeKey": lambda k: self.held.pop(k), "keys": lambda: [k for k in self.held if isinstance(k, tuple)],
+            "registerTimer": lambda ms: self.timers.add(ms), "deleteTimer": lambda ms: self.timers.discard(ms),
+        }[name]
+
+        def call(*a):
+            self.calls += 1
+            return work(*a)
+
+        return call
+
+
+class _CountedValue:
+    def __init__(self, handle, name):
+        self.handle, self.name = handle, name
+
+    def exists(self):
+        return self.handle.containsKey(self.name)
+
+    def get(self):
+        return self.handle.getValue(self.name)
+
+    def update(self, value):
+        self.handle.updateValue(self.name, value)
+
+    def clear(self):
+        self.handle.removeKey(self.name)
+
+
+@pytest.mark.parametrize("kind", ["daily", "watch"])
+def test_a_key_takes_few_state_calls(kind):
+    start = 1_704_200_000_000
+    frame = pd.DataFrame({"ts_ms": [start + 2 * 86_400_000, start, start + 1], "seq": [3, 1, 2], "state": ["success", "failure", "failure"]})
+    processor, handle = (batches.Openings(86_400_000) if kind == "daily" else status.Watch()), _Counted()
+    processor.init(handle)
+    now = lambda ms: SimpleNamespace(getCurrentWatermarkInMs=lambda: ms + ordered.SHIFT_MS)
+    found = [*processor.handleInputRows((7,), iter([frame]), now(0)), *processor.handleExpiredTimer((7,), now(ordered.CLOSE_MS), None)]
+    got = [r for f in found for r in f.itertuples(index=False, name=None)]
+    days = [start // 86_400_000, start // 86_400_000 + 2]
+    assert got == ([(7, start), (7, start + 2 * 86_400_000)] if kind == "daily" else [
+        (7, start, 1, days[0], "open"), (7, start + 1, 2, days[0], "append"), (7, start + 2 * 86_400_000, 3, days[1], "close")])
+    assert not handle.held
+    assert handle.calls <= 8
