@@ -58,8 +58,9 @@ def build_cues(
     """
     per_cue = max(options.max_line_count, 1)
     wrapped = (
+        # Generated, so that the filter does not wrap each text a second time.
         segments.select("media_id", "segment_id", "start_ms", "end_ms",
-                        wrap_lines(F.col("text"), options.max_line_width).alias("_lines"))
+                        F.explode(F.array(wrap_lines(F.col("text"), options.max_line_width))).alias("_lines"))
         .where(F.size("_lines") > 0)
         .withColumn(BLOCK, block_of(F.col("segment_id"), block_segments))
     )

@@ -668,3 +668,16 @@ def test_paths_are_compared_in_one_count_per_word(spark):
     # Only media are joined: a join by words would sort both vocabularies.
     joins = re.findall(r"Join .*", found._jdf.queryExecution().optimizedPlan().toString())
     assert joins and not any("word" in j for j in joins)
+
+
+def _optimised(frame):
+    return frame._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_cues_wrap_a_text_once_per_pass(spark):
+    """The filter on wrapped lines is not a second wrapping: one pass over the rows, one for the blocks."""
+    segs = spark.createDataFrame([(1, 0, 0, 900, "a word"), (1, 1, 900, 950, "  ")], SEGMENTS)
+    made = cues.build_cues(segs)
+    assert [r.lines for r in made.collect()] == [["a word"]]
+    assert not any("regexp_extract_all" in line and "Filter" in line for line in _optimised(made).splitlines())
+    assert _optimised(made).count("regexp_extract_all") == 2
