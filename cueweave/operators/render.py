@@ -7,6 +7,8 @@ a whole media. The document is the concatenation of its parts.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -176,3 +178,26 @@ def render(
         cues = build_cues(segments, options)
         out = (render_srt if chosen == "srt" else render_vtt)(cues, part_rows)
     return out.withColumn("format", F.lit(chosen))
+
+
+def render_formats(
+    names: list[str],
+    segments: DataFrame,
+    documents: DataFrame | None = None,
+    options: CueOptions = CueOptions(),
+    part_rows: int = PART_ROWS,
+) -> DataFrame:
+    """`render` for several formats; those made of cues share one pass over them."""
+    chosen = [format_name(name) for name in names]
+    of_cues = [name for name in chosen if name in ("srt", "vtt")]
+    out = [render(name, segments, documents, options, part_rows) for name in chosen if name not in of_cues]
+    if of_cues:
+        lines = F.col("lines")
+        cues = build_cues(segments, options).select(
+            "media_id", "cue_index", block_of(F.col("cue_index") - 1, part_rows).alias(BLOCK),
+            *[(srt_block if name == "srt" else vtt_block)(lines).alias(name) for name in dict.fromkeys(of_cues)])
+        pieces = cues.groupBy("media_id", BLOCK).agg(
+            F.array_sort(F.collect_list(F.struct("cue_index", *dict.fromkeys(of_cues)))).alias("_pieces"))
+        contents = [F.struct(F.array_join(F.col("_pieces")[name], "").alias("content"), F.lit(name).alias("format")) for name in of_cues]
+        out.append(pieces.select("media_id", F.col(BLOCK).alias("part"), F.inline(F.array(*contents))))
+    return reduce(DataFrame.unionByName, out)

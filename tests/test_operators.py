@@ -681,3 +681,17 @@ def test_cues_wrap_a_text_once_per_pass(spark):
     assert [r.lines for r in made.collect()] == [["a word"]]
     assert not any("regexp_extract_all" in line and "Filter" in line for line in _optimised(made).splitlines())
     assert _optimised(made).count("regexp_extract_all") == 2
+
+
+def test_formats_of_cues_share_one_pass(spark):
+    segs = spark.createDataFrame(
+        [(m, i, i * 900, i * 900 + 800, f"Line {i} & so on " * (1 + i % 4)) for m in (1, 2) for i in range(9)] + [(3, 0, 0, 10, " ")],
+        SEGMENTS)
+    names = ["TXT", "srt", "WebVTT", "srt"]
+    got = render.render_formats(names, segs, part_rows=4)
+    columns = ["media_id", "part", "content", "format"]
+    want = [r for name in names for r in rows(render.render(name, segs, part_rows=4), *columns)]
+    assert rows(got, *columns) == sorted(want)
+    assert _optimised(render.render_formats(["srt", "vtt"], segs)).count("row_number()") == _optimised(render.render("srt", segs)).count("row_number()")
+    with pytest.raises(ValueError):
+        render.render_formats(["xml"], segs)
