@@ -137,9 +137,8 @@ def captions(docs: DataFrame) -> DataFrame:
     )
 
 
-def token_lists(docs: DataFrame) -> DataFrame:
-    """Segment words cut into 4-character pieces, a service token after every 6: one row per
-    segment with its `tokens`, as a recogniser delivers them."""
+def _token_lists(docs: DataFrame) -> tuple[DataFrame, Column]:
+    """Segments with what their tokens are made of, and the array of tokens."""
     pieces = F.regexp_extract_all(F.concat(F.lit(" "), "text"), F.lit(" ?[^ ]{1,4}"), F.lit(0))
     start, span = int_div(F.col("start_ms"), 10), int_div(F.col("end_ms") - F.col("start_ms"), 10)
     cut = segments(docs).select("media_id", "segment_id", start.alias("_start"), span.alias("_span"), pieces.alias("_pieces"))
@@ -154,12 +153,24 @@ def token_lists(docs: DataFrame) -> DataFrame:
         (m * 7 - 1).cast("bigint").alias("token_index"), (m * 6 + 50_256).cast("bigint").alias("token_id"), F.lit("[_TT_]").alias("text"),
         F.col("_start").alias("t0"), F.col("_start").alias("t1"), F.lit(0.5).alias("probability"),
     ))
-    return cut.select("media_id", "segment_id", F.concat(spoken, service).alias("tokens"))
+    return cut, F.concat(spoken, service)
+
+
+def token_lists(docs: DataFrame) -> DataFrame:
+    """Segment words cut into 4-character pieces, a service token after every 6: one row per
+    segment with its `tokens`, as a recogniser delivers them."""
+    cut, made = _token_lists(docs)
+    return cut.select("media_id", "segment_id", made.alias("tokens"))
 
 
 def tokens(docs: DataFrame) -> DataFrame:
-    """`token_lists` with one row per token."""
-    return token_lists(docs).select("media_id", "segment_id", F.inline("tokens"))
+    """`token_lists` with one row per token.
+
+    The array is unrolled as it is made: for a column of arrays Spark adds a filter on its size, pushes it
+    below what the array is made of, and so cuts the text of a segment anew for each of its tokens.
+    """
+    cut, made = _token_lists(docs)
+    return cut.select("media_id", "segment_id", F.inline(made))
 
 
 def spans(events: DataFrame) -> DataFrame:

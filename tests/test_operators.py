@@ -260,6 +260,18 @@ def test_words_of_segments_that_hold_their_tokens_are_not_shuffled(spark):
     assert found.count() > 8 and "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
 
 
+def test_tokens_are_cut_once_per_segment(spark):
+    from cueweave.plans import bindings
+
+    docs = spark.createDataFrame([(1, "one  twothree\n\n four five six seven eight nine"), (2, ""), (3, None), (4, "x " * 400)], "doc_id BIGINT, text STRING")
+    made = words.transcribable_tokens(bindings.tokens(docs)).groupBy("media_id").agg(F.count("*").alias("n"))
+    # Cut in a filter too, the text of a segment was cut once for each of its tokens.
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    assert rows(made, "media_id", "n") == [(1, 11), (4, 400)]
+    listed = bindings.token_lists(docs).select("media_id", "segment_id", F.explode("tokens").alias("t")).select("media_id", "segment_id", "t.*")
+    assert rows(bindings.tokens(docs), *listed.columns) == rows(listed, *listed.columns)
+
+
 def test_both_bounds_in_one_shuffle(spark):
     pieces = spark.createDataFrame(
         [(m, p * 700, p * 1_000 + m, 700, 700 if p % 2 else 900) for m in (1, 2) for p in range(1, 9)],
