@@ -17,6 +17,9 @@ from cueweave.session import scratch
 #: groups follows from the measured size of the input.
 GROUP_BYTES = 16 << 20
 
+#: Bits of the largest bitmap that `perhaps_in` broadcasts (16 MB), and of one row of it.
+MOST_BITS, ROW_BITS = 1 << 27, 1 << 15
+
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
@@ -60,6 +63,22 @@ def group_count(frame: DataFrame, text: str, bytes_per_group: int = GROUP_BYTES)
     return max(least, math.ceil(total / bytes_per_group))
 
 
+def perhaps_in(rows: DataFrame, key: Column, wanted: DataFrame, hashed: Column) -> DataFrame:
+    """`rows` plus `_perhaps`: may their hash `key` be that, `hashed`, of a row of `wanted`? No is certain.
+
+    Rows that meet nothing need no shuffle then. What is broadcast is a bitmap with 64 bits or more per
+    hash, so that one row in 64 passes by chance; beyond 2 million hashes it grows no more and more rows pass.
+    """
+    bits = min(MOST_BITS, max(ROW_BITS, 1 << (64 * wanted.count()).bit_length()))
+    place = lambda h: F.pmod(h, F.lit(bits)) + 1
+    bitmap = wanted.select(place(hashed).alias("_at")).groupBy(F.bitmap_bucket_number("_at").alias("_row_of_bits")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("_at")).alias("_bits"))
+    bit = F.bitmap_bit_position(place(key))
+    byte = F.conv(F.hex(F.substr("_bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    met = rows.join(F.broadcast(bitmap), F.bitmap_bucket_number(place(key)) == F.col("_row_of_bits"), "left")
+    return met.select(*rows.columns, F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False)).alias("_perhaps"))
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z in lower case, every other character as it is."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cueweave.llm.common import group_count, slices, stored
+from cueweave.llm.common import group_count, perhaps_in, slices, stored
 from cueweave.llm.components import components
 
 #: Members of a family that one task compares with each other (or with another such block).
@@ -246,7 +246,7 @@ def similar(frame: DataFrame, k: int, share: int, key: str = "doc_id", text: str
     empty table gives none. Other columns are not read.
 
     Shuffled are half of the shingles as 32-bit numbers (packed per task and bucket), a few
-    numbers per row, the texts, and signatures and sets of what may be linked.
+    numbers per row, and texts, signatures and sets of what may be linked.
     """
     spark = frame.sparkSession
     docs = frame.select(F.col(key).cast("bigint").alias("_id"), F.col(text).alias("_text"), F.xxhash64(text).alias("_hash"))
@@ -350,8 +350,8 @@ def similar(frame: DataFrame, k: int, share: int, key: str = "doc_id", text: str
 
     # The sets that may be linked, and families of those that share a signature with another.
     near = members.where("near").drop("near")
-    docs = docs.drop("_hash")
-    sets = stored(docs.hint("shuffle_hash").join(near.hint("shuffle_hash"), docs["_id"].eqNullSafe(near["_rep"])).mapInArrow(
+    some = perhaps_in(docs.drop("_hash"), F.xxhash64("_id"), near, F.xxhash64("_rep")).where("_perhaps").drop("_perhaps")
+    sets = stored(some.hint("shuffle_hash").join(near.hint("shuffle_hash"), some["_id"].eqNullSafe(near["_rep"])).mapInArrow(
         fetch, "f1 bigint, member bigint, copies bigint, set binary"), "near")
     signed = sets.mapInArrow(sign, "bucket int, signs binary, nodes binary, which binary")
     edges = stored(signed.groupBy("bucket").applyInArrow(meet, "a bigint, b bigint"), "edges")  # read twice below
