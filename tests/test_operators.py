@@ -304,6 +304,26 @@ def test_words_on_the_original_axis(spark):
     assert rows(words.words_outside_segment(left_out, segs), "word") == [("a",), ("b",), ("c",)]
 
 
+def test_words_travel_packed_by_block(spark):
+    rnd = random.Random(9)
+    spans = spark.createDataFrame([(m, k * 900_000 + m, k * 900_000 + 300_000, 10**12) for m in (1, 2) for k in range(6)], SPANS)
+    pieces = timeline.compact_timeline(timeline.merge_spans(spans)).localCheckpoint()
+    token = lambda i, n: (i, i, " w" if i % 3 else "v", rnd.choice([None, -5, i * 9000 // n]), rnd.choice([None, i * 9000 // n + 40, 60_000]), i / 8)
+    segs = [(m, s, [token(i, n) for i in range(n)]) for m in (1, 2, 3, None) for s, n in enumerate((0, 1, 7, 90))]
+    held = spark.createDataFrame(
+        segs, "media_id BIGINT, segment_id BIGINT, tokens ARRAY<STRUCT<token_index BIGINT, token_id BIGINT, text STRING, t0 BIGINT, t1 BIGINT, probability DOUBLE>>")
+    packed = words.words_by_block(held).localCheckpoint()
+    flat = words.words_of_segments(held).localCheckpoint()
+    names = ("media_id", "segment_id", "word_id", "word", "probability", "start_ms", "end_ms")
+    got, want = words.blocks_on_original_axis(packed, pieces), words.on_original_axis(flat, pieces)
+    assert got.columns == want.columns == list(names)
+    key = lambda found: sorted(found, key=repr)
+    assert key(map(tuple, got.collect())) == key(map(tuple, want.collect())) and got.count() > 150
+    assert packed.where("_near").count() > 6 and packed.where("NOT _near").count() > 6
+    # One row of the shuffle for a segment's words in a block, not one a word.
+    assert packed.where("_near AND media_id = 1").count() < packed.where("_near AND media_id = 1").select(F.explode("_words")).count()
+
+
 def test_as_of_takes_the_last_step(spark):
     rnd = random.Random(4)
     steps = [(m, rnd.randrange(1000), i) for i, m in enumerate([1, 2, 2, 1, 2, None, None] * 9)]
